@@ -203,7 +203,7 @@ def _bucket(context_count: np.ndarray) -> np.ndarray:
 
 
 def _gridder(n_core: int):
-    def run(_key, state: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, state: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if state.empty:
             return pd.DataFrame({"bucket": [], "q2": [], "q1": [], "n": []}).astype("int64")
         chunk, ((uni, _), (bi, _)) = _answered(state, totals)
@@ -240,7 +240,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], vocabulary: int, round
 
 
 def _scorer(n: int, v: int, weights: np.ndarray):
-    def run(_key, state: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, state: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if state.empty:
             return pd.DataFrame({c.split()[0]: [] for c in _SCORE.split(", ")})
         chunk, ((u1, u2), (b1, b2)) = _answered(state, totals)
@@ -263,7 +263,7 @@ def _scorer(n: int, v: int, weights: np.ndarray):
     return run
 
 
-def score_texts(docs: DataFrame, held_out, deleted, chunk_tokens: int = 2_000_000, range_tokens: int = 2_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, deleted, chunk_tokens: int = 1_500_000, range_tokens: int = 2_000_000) -> DataFrame:
     """Score every text of `docs` (doc_id, text) with a model of those for which `held_out` is not true.
 
     `held_out` and `deleted` are boolean columns or expressions over `docs`: texts that are only scored, and texts of
