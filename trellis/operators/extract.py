@@ -142,7 +142,9 @@ def rule_relations(text: Column, patterns: list[tuple] = RELATION_PATTERNS) -> C
 
 def label_pairs(spans: Column) -> Column:
     """Ordered pairs of spans with different labels, the earlier first: what a pairwise model is asked about."""
-    return F.flatten(F.transform(spans, lambda a, i: F.transform(F.filter(F.slice(spans, i + 2, F.size(spans)), lambda b: b["label"] != a["label"]), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+    # spans may come from a Python function, which a lambda may not call: hand them in as a value
+    later = lambda all_, a, i: F.filter(F.slice(all_, i + 2, F.size(all_)), lambda b: b["label"] != a["label"])
+    return F.flatten(F.flatten(F.transform(F.array(spans), lambda all_: F.transform(all_, lambda a, i: F.transform(later(all_, a, i), lambda b: F.struct(a.alias("first"), b.alias("second")))))))
 
 
 def with_spans(rows: DataFrame, extractor: Callable[[Column], Column], text: str = "text") -> DataFrame:

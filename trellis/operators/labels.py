@@ -20,7 +20,7 @@ def normalize_label(label: Column, types: list[str] = ENTITY_TYPES) -> Column:
 
 
 def normalize_labels(labels: Column) -> Column:
-    return F.transform(labels, normalize_label)
+    return F.transform(labels, lambda x: normalize_label(x))
 
 
 def bio_spans(rows: DataFrame) -> DataFrame:

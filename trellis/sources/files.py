@@ -11,7 +11,7 @@ from ..functions import text
 
 def detect_encoding(spark: SparkSession, path: str, probe: int = 100) -> str:
     """utf-8, gb18030 or gbk: the first that decodes the first lines of a file; utf-8 if none does."""
-    lines = [bytes(r[0]) for r in spark.read.option("encoding", "ISO-8859-1").text(path).limit(probe).select(F.encode("value", "ISO-8859-1")).collect()]
+    lines = [bytes(r[0]) for r in spark.read.text(path).limit(probe).select(F.col("value").cast("binary")).collect()]
     for name in ("utf-8", "gb18030", "gbk"):
         try:
             for line in lines:
@@ -22,6 +22,14 @@ def detect_encoding(spark: SparkSession, path: str, probe: int = 100) -> str:
     return "utf-8"
 
 
+def _csv_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding of a CSV file; ones beyond Unicode and Latin need a setting of the session, which is made here."""
+    name = detect_encoding(spark, path)
+    if name != "utf-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return name
+
+
 def read_triples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Raw triples from .jsonl, .json (array or one object) or .csv (header), with defaults for missing fields and `seq`, the order of input.
 
@@ -53,21 +61,21 @@ def with_defaults(rows: DataFrame) -> DataFrame:
 
 def read_eav(spark: SparkSession, path: str) -> DataFrame:
     """A headerless file of entity, predicate, value; shorter rows are skipped. `seq` is the order of input."""
-    rows = spark.read.schema("entity string, predicate string, value string").option("encoding", detect_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
+    rows = spark.read.schema("entity string, predicate string, value string").option("encoding", _csv_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
     first = F.regexp_replace("entity", "^﻿", "")
     return rows.withColumns({"entity": first, "seq": F.monotonically_increasing_id()}).filter("value is not null")
 
 
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
     """A file with a header, one entity a row; all columns are strings. `seq` is the order of input."""
-    rows = spark.read.option("header", True).option("encoding", detect_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
+    rows = spark.read.option("header", True).option("encoding", _csv_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns)).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, text): whole files, the source being the file's name without its suffix."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return spark.read.option("wholetext", True).text(path).select(F.url_decode(name).alias("source"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("source"), F.col("value").alias("text"))
 
 
 def read_label_sequences(spark: SparkSession, path: str, skip_bad: bool = True) -> DataFrame:
