@@ -209,6 +209,18 @@ def test_questions(spark, medical):
     assert "| samples |" in evaluate.report(scored, "now")
 
 
+def test_nodes_meant_are_those_named(spark):
+    import random
+
+    rng = random.Random(2)
+    name = lambda n: "".join(rng.choice("abAB 病") for _ in range(n))
+    nodes = [(name(rng.randint(1, 7)), rng.choice("XY"), [name(2)] if rng.random() < 0.5 else None) for _ in range(150)]
+    entities = sorted({(name(rng.randint(1, 4)), rng.choice("XY")) for _ in range(60)})
+    n, e = spark.createDataFrame(nodes, "key string, key_label string, aliases array<string>"), spark.createDataFrame(entities, "entity string, key_label string")
+    plain = e.join(n, "key_label").filter(qa.named(F.col("key"), F.col("aliases"), F.col("entity"))).select("entity", "key_label", "key").distinct()
+    assert sorted(map(tuple, qa.nodes_meant(e, n).collect())) == sorted(map(tuple, plain.collect())) != []
+
+
 def test_versions(spark, medical):
     v = versioning.VersionedGraph.of(medical)
     change, v = v.begin("me", "why", change_id="c1", now="2024-01-01 00:00:00")

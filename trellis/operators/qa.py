@@ -120,17 +120,40 @@ def ask(graph: Graph, question: str, top_k: int = 10, active_only: bool = False)
     return reply
 
 
+GRAM = 3
+
+
+def nodes_meant(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(entity, key_label, key): for distinct `entities` (entity, key_label) the `nodes` (key, key_label, aliases) that `named` holds for.
+
+    An alias meets its entity by an equi-join. A name that contains an entity has all its grams of three characters (or fewer for shorter
+    entities): each entity looks for its rarest gram among the names' grams, and candidates are verified.
+    """
+    e = entities.filter("entity <> ''").select("entity", "key_label", F.lower("entity").alias("e"))
+    by_alias = nodes.select("key", "key_label", F.explode("aliases").alias("alias")).select("key", "key_label", F.lower("alias").alias("e"))
+    found = e.join(by_alias, ["key_label", "e"]).select("entity", "key_label", "key")
+    grams = lambda text, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+    names = nodes.select("key", "key_label", F.lower("key").alias("name")).distinct()
+    sized = F.flatten(F.array(*(F.when(F.length("name") >= n, grams(F.col("name"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1))))
+    postings = names.select("key", "key_label", "name", F.explode(sized).alias("gram"))
+    wanted = e.select("entity", "key_label", "e", F.explode(grams(F.col("e"), F.least(F.length("e"), F.lit(GRAM)))).alias("gram"))
+    frequency = postings.groupBy("key_label", "gram").agg(F.count("*").alias("df"))
+    rarest = wanted.join(frequency, ["key_label", "gram"], "left").groupBy("entity", "key_label", "e").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    within = rarest.join(postings, ["key_label", "gram"]).filter(F.col("name").contains(F.col("e"))).select("entity", "key_label", "key")
+    return found.union(within).distinct()
+
+
 def ask_batch(graph: Graph, questions: DataFrame, top_k: int = 10, active_only: bool = False) -> DataFrame:
     """`questions` (question_id, intent, entity) with `predicted`: the ranked answers to all, in one plan.
 
-    Node names and aliases are matched once per distinct entity and label; edges are joined by name, never by a pattern.
+    Node names and aliases are matched once per distinct entity and label, by equi-joins; edges are joined by name.
     """
     wanted = questions.filter(F.col("intent").isin(*INTENTS)).select("question_id", "intent", "entity")
     kinds = questions.sparkSession.createDataFrame([(k, v[1]) for k, v in INTENTS.items()], "intent string, key_label string")
     wanted = wanted.join(F.broadcast(kinds), "intent")
     distinct = wanted.select("entity", "key_label").distinct()
     nodes = graph.nodes.select(F.col("name").alias("key"), F.col("label").alias("key_label"), "aliases")
-    meant = distinct.join(nodes, "key_label").filter(named(F.col("key"), F.col("aliases"), F.col("entity"))).select("entity", "key_label", "key")
+    meant = nodes_meant(distinct, nodes)
     hops = None
     for intent in INTENTS:
         own = _hops(graph.edges, intent, active_only).withColumn("intent", F.lit(intent))
