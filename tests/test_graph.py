@@ -155,6 +155,8 @@ def test_upsert(spark, tmp_path):
     assert twice.nodes.count() == 4 and twice.edges.count() == 2 and graph.duplicate_keys(twice.nodes).count() == 0
     again = {(r["label"], r["name"]): r for r in twice.nodes.collect()}
     assert again["Disease", "d"]["aliases"] == ["d", "dd"] and again["Disease", "d"]["created_at"].month == 1 and again["Disease", "d"]["updated_at"].month == 2 and again["Entity", "d"]["props"] == {"desc": "abcd"}
+    files.write_report(spark, "# one\ntwo", str(tmp_path / "reports"), "1")
+    assert files.read_texts(spark, str(tmp_path / "reports" / "latest_report")).first()["text"].strip() == "# one\ntwo"
     files.write_graph(twice.nodes, twice.edges, str(tmp_path / "g"))
     nodes_, edges_ = files.read_graph(spark, str(tmp_path / "g"))
     assert (nodes_.count(), edges_.count()) == (4, 2)

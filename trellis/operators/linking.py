@@ -46,9 +46,12 @@ def similar_edges(names: DataFrame, threshold: float = 90.0) -> DataFrame:
     spare = F.floor((F.col("n") + longest) * (1 - share))
     ranked = grams.join(rarity, "gram").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("df", "gram")))
     keys = ranked.filter(F.col("r") <= spare + 1).select("name", "n", "gram")
+    # what two names have in common at most: their common elements, in any order
+    keys = keys.join(grams.groupBy("name").agg(F.collect_list("gram").alias("all")), "name")
     a, b = keys.alias("a"), keys.alias("b")
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") < F.col("b.name")))
     pairs = pairs.filter(F.least("a.n", "b.n") * 2 >= share * (F.col("a.n") + F.col("b.n")))
+    pairs = pairs.filter(F.size(F.array_intersect("a.all", "b.all")) * 2 >= share * (F.col("a.n") + F.col("b.n")))
     pairs = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).distinct()
     return pairs.filter(similarity("src", "dst") >= threshold)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
+from ..schemas import EDGES, NODES
 from .stargraph import SQL, Star, pairs
 
 QUERIES: dict = {}
@@ -202,6 +203,22 @@ def drawable_edges(s: Star) -> DataFrame:
     return rows.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.col("edge_score").alias("score"))
 
 
+@query("""WITH both AS (SELECT c_name AS head, 'LIVES' AS relation, n_name AS tail, c_custkey AS seq FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION ALL SELECT c_name, 'TREATS', c_mktsegment, c_custkey + 1000000 FROM customer UNION ALL SELECT c_name, 'VISITS', n_name, c_custkey + 2000000 FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT CASE relation WHEN 'TREATS' THEN 'Drug' ELSE 'Entity' END AS src_label, head AS src, CASE relation WHEN 'TREATS' THEN 'TREATS' ELSE 'RELATED_TO' END AS rel_type,
+      tail AS dst, lower(relation) AS source FROM both WHERE relation <> 'LIVES'""".replace("both", "given"), families=False)
+def graph_upsert(s: Star) -> DataFrame:
+    """Edges after two loads of the same triples: relations without a type of their own share one edge, and its last writer wins."""
+    customer = s.table("customer").join(s.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    triple = lambda relation, tail, shift: customer.select(
+        F.col("c_name").alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), F.array(F.lit(relation.lower())).alias("sources"), F.lit(1.0).alias("confidence"), F.lit(1).alias("frequency"),
+        F.lit(0.5).alias("edge_score"), F.lit(False).alias("conflict"), (F.col("c_custkey") + shift).alias("seq"),
+    )
+    rows = triple("LIVES", "n_name", 0).union(triple("TREATS", "c_mktsegment", 1_000_000)).union(triple("VISITS", "n_name", 2_000_000))
+    empty = graph.Graph(s.spark.createDataFrame([], NODES), s.spark.createDataFrame([], EDGES))
+    return empty.upsert_triples(rows).upsert_triples(rows).edges.select("src_label", "src", "rel_type", "dst", "source")
+
+
 # --- rules
 
 _STAR_RULE = """SELECT DISTINCT l.tail AS head, o.tail AS tail FROM located l JOIN ordered o ON l.head = o.head

@@ -113,6 +113,12 @@ def write_alias_map(canonical: DataFrame, path: str) -> None:
     canonical.groupBy("canonical").agg(F.sort_array(F.collect_set("name")).alias("aliases")).write.mode("overwrite").json(f"{path}/alias_map")
 
 
+def write_report(spark: SparkSession, report: str, path: str, stamp: str) -> None:
+    """A report as text, as the latest one and under its time stamp."""
+    for name in ("latest_report", f"report_{stamp}"):
+        spark.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A new version of the graph; edges are laid out by relation type, so that hops read one directory."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
