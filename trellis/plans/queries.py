@@ -444,10 +444,9 @@ def alias_components(s: Star) -> DataFrame:
     return linking.canonical_names(s.table("supplier").select(F.concat("s_name", F.lit(" ("), alias, F.lit(")")).alias("name")))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(left(regexp_replace(text, '[^ -~]', '', 'g'), 200)), '\\s+', ' ', 'g')) AS name FROM documents
-    WHERE regexp_matches(left(text, 1), '[A-Za-z]')""", families=False)
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\t-\r -~]', '', 'g')), '[\t-\r ]+', ' ', 'g')) AS name FROM documents""", families=False)
 def normalize_ascii(s: Star) -> DataFrame:
-    rows = s.table("documents").filter(F.col("text").rlike("^[A-Za-z]")).select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200).alias("t"))
+    rows = s.table("documents").select("doc_id", F.regexp_replace("text", r"[^\t-\r -~]", "").alias("t"))
     return rows.select("doc_id", text.fold_blanks(F.lower("t")).alias("name"))
 
 
