@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import zstandard
+from pyspark.sql import DataFrame
+
+#: Arrow batches are bounded by bytes, whatever the length of texts, so that tasks need little memory beside the JVM's.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 #: A-Z to a-z, every other byte as it is.
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches; a session that has settings of its own for them keeps those."""
+    conf, own = df.sparkSession.conf, df.sparkSession.sparkContext.getConf()
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if not own.contains(key):
+            conf.set(key, str(value))
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, A-Z in lower case, as UTF-8. bytes.split() splits at just these bytes."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_ASCII).split()

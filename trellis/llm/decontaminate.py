@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
-from .common import pack, unpack
+from .common import in_batches, pack, unpack
 
 WINDOW = 10
 SEGMENT_WORDS = 1_000_000
@@ -189,8 +189,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, slop: int = 0, segment_
         rows = stored(rows, "texts")  # each block must cut the same segments
     for items in blocks:
         queries = windows(items)
-        index = stored(rows.mapInArrow(_indexer(context.broadcast(queries[0]), segment_words), _SEGMENT), "postings")
-        found.append(index.mapInArrow(_searcher(context.broadcast(queries), slop), _MATCH))
+        index = stored(in_batches(rows, _indexer(context.broadcast(queries[0]), segment_words), _SEGMENT), "postings")
+        found.append(in_batches(index, _searcher(context.broadcast(queries), slop), _MATCH))
     if len(found) == 1:
         return found[0].select("doc_id", "n_words", "matches")
     # segments are cut alike for every block, so a row is known by segment and place

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
-from .common import LOWER_ASCII, pack, unpack
+from .common import LOWER_ASCII, in_batches, pack, unpack
 
 SEGMENT_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -156,11 +156,11 @@ def repeated_lines(rows: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame
     spark = rows.sparkSession
     lines = rows.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))), F.lit(0))).first()[0]
     segments = max(1, min(MOST_BITS, lines * BITS_PER_LINE) // SEGMENT_BITS)
-    noted = rows.select("text").mapInArrow(_noter(segments), "segment int, once binary, twice binary")
+    noted = in_batches(rows.select("text"), _noter(segments), "segment int, once binary, twice binary")
     merged = noted.groupBy("segment").applyInPandas(_merge, "segment int, twice binary")
     # at most MOST_BITS in all
     filters = spark.sparkContext.broadcast({r["segment"]: bytes(r["twice"]) for r in merged.collect()})
-    suspects = rows.select("doc_id", "text", "row_key").mapInArrow(_suspect(filters, segments), "digest binary, doc_id long, row_key long, line int")
+    suspects = in_batches(rows.select("doc_id", "text", "row_key"), _suspect(filters, segments), "digest binary, doc_id long, row_key long, line int")
     frequent = suspects.groupBy("digest").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_key", "line")).alias("first"))
     frequent = frequent.filter(F.col("docs") >= min_docs)
     return suspects, frequent.select("digest", F.col("first.row_key").alias("first_row"), F.col("first.line").alias("first_line"))
@@ -186,8 +186,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     out = f"doc_id long, kept {kind}, text string, n_lines long, n_dropped long"
     if frequent.count() <= broadcast_lines:
         lookup = rows.sparkSession.sparkContext.broadcast({bytes(r[0]): (r[1], r[2]) for r in frequent.collect()})
-        done = rows.mapInArrow(_rewriter(lookup, keep_first), out)
+        done = in_batches(rows, _rewriter(lookup, keep_first), out)
     else:
         found = suspects.join(frequent, "digest").groupBy("row_key").agg(F.collect_set(F.struct("digest", "first_row", "first_line")).alias("found"))
-        done = rows.join(found, "row_key", "left").mapInArrow(_rewriter(None, keep_first), out)
+        done = in_batches(rows.join(found, "row_key", "left"), _rewriter(None, keep_first), out)
     return done.select("doc_id", "text", *(F.col("kept")[c].alias(c) for c in others), "n_lines", "n_dropped")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
-from .common import pack, unpack, words_of
+from .common import in_batches, pack, unpack, words_of
 
 #: Roles of a text: scored only, counted, counted but deleted while the weights are learned.
 SCORED, CORE, DELETED = 0, 1, 2
@@ -274,10 +274,10 @@ def score_texts(docs: DataFrame, held_out, deleted, chunk_tokens: int = 1_500_00
     held_out, deleted = (F.coalesce(F.expr(x) if isinstance(x, str) else x, F.lit(False)) for x in (held_out, deleted))
     role = F.when(held_out, SCORED).when(deleted, DELETED).otherwise(CORE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role.cast("int").alias("role"))
-    chunks = stored(rows.mapInArrow(_chunker(chunk_tokens), _CHUNK), "lm-chunks")
+    chunks = stored(in_batches(rows, _chunker(chunk_tokens), _CHUNK), "lm-chunks")
     total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_tokens))
-    sent = chunks.mapInArrow(_sender(ranges), _SENT)
+    sent = in_batches(chunks, _sender(ranges), _SENT)
     totals = stored(sent.groupBy("kind", "bucket").applyInPandas(_add_up, _TOTAL), "lm-totals")
     sums = totals.filter("chunk = -1 and kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_core", "n_deleted", "v_core", "v_all"))).first()
     answers = totals.filter("chunk >= 0").select("kind", "bucket", "chunk", "core", "deleted")
