@@ -82,7 +82,7 @@ def vocabulary() -> list[tuple[str, float, int]]:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = pieces.decode_texts(pieces.encode_texts(docs, vocab), vocab)
+    rows = pieces.encode_texts(docs, vocab, decoded="decoded")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
