@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, NEXT, STOP = "<|im_start|>", "<|im_next|>", "<|im_end|>"
-_ANGLE = r"<(?=/?s>|</?SYS>>|/SYS>>|/?SYS>>|\|[A-Za-z0-9_]+\|>)"
+_ANGLE = r"<(?=/?s>|</?SYS>>|/?SYS>>|\|[A-Za-z0-9_]+\|>)"
 _SQUARE = r"\[(?=/?INST\])"
 
 
