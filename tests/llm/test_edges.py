@@ -64,6 +64,7 @@ def test_fingerprints(spark, odd, none):
     # very far apart ids, and a single row
     far = spark.createDataFrame([(i, f"text {i} of many words here") for i in (-(1 << 62), -7, 0, 5_000_000, 1 << 62)], "doc_id long, text string")
     follow = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next_text(far).collect()}
+    assert follow == {r["doc_id"]: r["next_text"] for r in fingerprints.with_next_text(far, broadcast_blocks=0).collect()}
     assert follow[-7] == "text 0 of many words here" and follow[0].startswith("text 5000000 ") and follow[1 << 62] == f"text {-(1 << 62)} of many words here"
     one = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
     assert fingerprints.fingerprint_pairs(one).first()["edited"] == "abcdefab"
@@ -82,6 +83,7 @@ def test_html_extract(spark):
     pages = {
         "plain": (f"<html><body><header>Site</header><nav>Home</nav><main><h1>Title</h1>{body}</main><aside>See</aside><footer>c</footer></body></html>", "Title Real & true text. Real & true text."),
         "ads": (f"<article><div class='post-ad'>Buy!</div>{body}<div id=comments><p>I, a reader, said a very long thing here, truly.</p></div><form><p>Mail</p></form></article>", "Real & true text. Real & true text."),
+        "layout": (f"<body class='has-nav'><div class='with-sidebar'><article class=post>{body}</article><div class=sidebar><p>A long list of other things to read here, today.</p></div></div><div class=comments><article><p>No, not at all, said someone.</p></article></div>", "Real & true text. Real & true text."),
         "scripts": ("<article><script>if (a < b) '</p>'</script><style>p{}</style><p>One<!-- no -->two <b>th</b>ree</article>", "Onetwo three"),
         "broken": ("<article><p>a < b and <b>c</article", "a < b and c"),
         "empty": ("", ""), "none": (None, ""), "only menu": ("<nav>Home</nav>", ""), "text only": ("no markup but a long enough sentence of plain words, which ends here.", "no markup but a long enough sentence of plain words, which ends here."),
@@ -144,6 +146,8 @@ def test_pieces(spark, odd, none):
     rows = pieces.decode_texts(pieces.encode_texts(odd, vocab), vocab)
     got = rows.collect()
     assert len(got) == len(ROWS) and all((r["text"] or "") == r["decoded"] for r in got)
+    both = pieces.encode_texts(odd, vocab, decoded="text").collect()
+    assert sorted(map(str, (r["ids"] for r in both))) == sorted(map(str, (r["ids"] for r in got))) and sorted(r["text"] for r in both) == sorted(r["decoded"] for r in got)
     assert "segment" in rows.columns and pieces.encode_texts(none, vocab).count() == 0
 
 
