@@ -18,15 +18,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     node a component of one; nulls at either end are ignored.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
+    size = pairs.count()
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    root = checkpointed(nodes.select("node", F.col("node").alias("root")))
-    live = checkpointed(pairs.filter("u <> v").distinct())
+    root = checkpointed(nodes.select("node", F.col("node").alias("root")), 2 * size)
+    live = checkpointed(pairs.filter("u <> v").distinct(), size)
     turn = 0
-    while not live.isEmpty():
+    while left := live.count():
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
         best = both.groupBy("u").agg(F.min(rank("v")).alias("near"))
-        hook = checkpointed(best.select("u", F.least(rank("u"), F.col("near"))["n"].alias("to")))
+        hook = checkpointed(best.select("u", F.least(rank("u"), F.col("near"))["n"].alias("to")), 2 * left)
         live = (
             live.join(hook.withColumnRenamed("to", "nu"), "u")
             .join(hook.select(F.col("u").alias("v"), F.col("to").alias("nv")), "v")
@@ -34,10 +35,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
             .distinct()
         )
-        live = checkpointed(live)
-        root = checkpointed(
-            root.join(hook.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        )
+        live = checkpointed(live, left)
+        moved = root.join(hook.withColumnRenamed("u", "root"), "root", "left")
+        root = checkpointed(moved.select("node", F.coalesce("to", "root").alias("root")), 2 * size)
         turn += 1
     smallest = root.groupBy("root").agg(F.min("node").alias("component"))
     return root.join(smallest, "root").select("node", "component")

@@ -27,7 +27,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for the small frames of iterative algorithms."""
+#: Rows of an iterative algorithm's frame that one partition has at least.
+ROWS_A_PARTITION = 100_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint, for the small frames of iterative algorithms.
+
+    With `rows`, a bound of their number, a frame of many small partitions is put into as few as its size needs.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_PARTITION + 1)
     return df.checkpoint(eager=True)
