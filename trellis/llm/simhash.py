@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..runtime import stored
-from .common import words_of
+from .common import in_batches, words_of
 
 SHINGLE = 3
 DISTANCE = 2
 SEGMENTS = 8
-LIMIT = 256
+LIMIT = 64
 SEED = 42
 
 
@@ -62,39 +61,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             made = [_signed(simhash(x, shingle)) for x in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(made, pa.int64())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fingerprint long")
 
 
-def _ring_keys(segments: int, distance: int):
-    """Per start segment: its number, and the bits of the chain that must be equal."""
-    width, equal = 64 // segments, (segments - 1) // distance
-    one = (1 << width) - 1
-    return [(i, _signed(sum(one << (width * ((i + k) % segments)) for k in range(equal)))) for i in range(segments)]
-
-
-def _compare(segments: int, distance: int):
-    width, equal = 64 // segments, (segments - 1) // distance
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        start = int(key[0])
-        prints = np.sort(own["fingerprint"].to_numpy().view(np.uint64))
-        one, src, dst = np.uint64((1 << width) - 1), [], []
-        for i in range(len(prints) - 1):
-            differ = prints[i + 1 :] ^ prints[i]
-            spent = np.zeros(len(differ), dtype=np.int64)
-            near = np.arange(len(differ))
-            for k in range(equal, segments):  # chains beyond the equal part, each within its budget
-                part = (differ[near] >> np.uint64(width * ((start + k) % segments))) & one
-                spent = spent[: len(near)] + np.bitwise_count(part)
-                fits = spent * segments <= (k + 1) * distance
-                near, spent = near[fits], spent[fits]
-            near = near[np.bitwise_count(differ[near]) <= distance]
-            src += [prints[i]] * len(near)
-            dst += prints[i + 1 + near].tolist()
-        as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"src": as_long(src), "dst": as_long(dst)})
-
-    return run
+def _chain_mask(start: int, length: int, segments: int) -> int:
+    """The bits of `length` consecutive segments of the ring from `start` on."""
+    width = 64 // segments
+    return _signed(sum(((1 << width) - 1) << (width * ((start + k) % segments)) for k in range(length)))
 
 
 def link(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, limit: int = LIMIT) -> DataFrame:
@@ -103,11 +76,21 @@ def link(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     Keys of up to `limit` members give each of their pairs that is within the distance, at most limit / 2 a member; members of larger keys
     (for a distance of two) are linked through their neighbours at one bit, 64 a member.
     """
-    chains = F.array(*(F.struct(F.lit(i).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("chain")) for i, mask in _ring_keys(segments, distance)))
+    equal = (segments - 1) // distance
+    chains = F.array(*(F.struct(F.lit(i).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_chain_mask(i, equal, segments))).alias("chain")) for i in range(segments)))
     keys = prints.select("fingerprint", F.explode(chains).alias("k")).select("fingerprint", "k.start", "k.chain")
     sizes = keys.groupBy("start", "chain").agg(F.count("*").alias("members")).filter("members > 1")
     shared = stored(keys.join(sizes, ["start", "chain"]), "ring")
-    pairs = shared.filter(F.col("members") <= limit).groupBy("start", "chain").applyInPandas(_compare(segments, distance), "src long, dst long")
+    few = shared.filter(F.col("members") <= limit)
+    a, b = few.select("start", "chain", F.col("fingerprint").alias("src")), few.select("start", "chain", F.col("fingerprint").alias("dst"))
+    differ = F.col("src").bitwiseXOR(F.col("dst"))
+    near = F.col("src") < F.col("dst")
+    # longer chains from the same start must stay within their budgets; the last of them is the whole ring
+    for length in range(equal + 1, segments + 1):
+        mask = F.get(F.array(*(F.lit(_chain_mask(i, length, segments)) for i in range(segments))), F.col("a.start"))
+        near = near & (F.bit_count(differ.bitwiseAND(mask)) <= length * distance // segments)
+    a, b = a.alias("a"), b.alias("b")
+    pairs = a.join(b, (F.col("a.start") == F.col("b.start")) & (F.col("a.chain") == F.col("b.chain")) & near).select("src", "dst")
     crowded = shared.filter(F.col("members") > limit).select("fingerprint").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << b)) for b in range(64)))
     around = crowded.select("fingerprint", F.explode(F.transform(flips, lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("centre"))
