@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 SHINGLE = 5
 #: One shingle in this many is kept.
 SCALE = 4
@@ -111,7 +113,11 @@ def _heads(rows: DataFrame, width: int, levels: int) -> DataFrame:
     return ordered.join(after, "outer").select("block", F.coalesce("inner", "next_key").alias("next_key"))
 
 
-def with_next_text(docs: DataFrame, width: int = 2048) -> DataFrame:
+#: Up to so many blocks (16 bytes each), their first keys are broadcast; beyond it they are joined.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def with_next_text(docs: DataFrame, width: int = 512, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """Columns doc_id, text, next_text: the text of the next document by ascending doc_id, after the last that of the first.
 
     Documents of one doc_id are ordered by their text, and a null doc_id comes before all others. Texts are dealt out once, by blocks of
@@ -127,6 +133,9 @@ def with_next_text(docs: DataFrame, width: int = 2048) -> DataFrame:
     first = keys.agg(F.min("key").alias("first_key"))
     # one row per block: (the document's key, the block that it follows)
     guests = _heads(keys, width, 2).crossJoin(F.broadcast(first)).select(F.coalesce("next_key", "first_key").alias("key"), F.col("block"))
+    guests = stored(guests, "blocks")
+    if guests.count() <= broadcast_blocks:
+        guests = F.broadcast(guests)
     home = F.floor(F.col("key") / width)
     own = rows.select("*", home.alias("block"), F.lit(0).alias("guest"))
     invited = rows.join(guests, "key").select("doc_id", "text", "key", "block", F.lit(1).alias("guest"))
