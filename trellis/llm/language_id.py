@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_batches
+
 BITS = 15
 ORDERS = (1, 2, 3)
 #: Most texts that the weights are learned from.
@@ -27,6 +29,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; what the pattern also takes for one, as superscript digits, is not."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def counts(text: str, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """How often each feature stands in a text, all of it."""
     out = np.zeros(1 << bits, dtype=np.int64)
@@ -82,7 +89,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(seen)
         yield pa.record_batch([np.append(at, -1), np.append(seen[at], n)], names=["feature", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(texts.select("text"), run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(1 << BITS, dtype=np.int64)
     total = 0
     for feature, n in rows:
@@ -143,7 +150,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         return None
     languages = sorted(r[0] for r in usable.select("lang").distinct().collect())
     idf = np.log((1.0 + texts) / (1.0 + seen)) + 0.1
-    chosen = usable.withColumn("h", F.xxhash64("text")).orderBy("h", "lang", "text").limit(sample).drop("h").toLocalIterator()
+    # about as many as are wanted pass this filter, so no task sorts or sends many more
+    low = -(1 << 63) + min((1 << 64) - 1, (3 * sample << 63) // texts)
+    chosen = usable.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= low).orderBy("h", "lang", "text").limit(sample).drop("h").toLocalIterator()
     examples, last = [], None
     for text, lang in chosen:
         if text != last:
@@ -169,7 +178,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
         for batch in batches:
             langs, scores = [], []
             for x in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                if x is None or shipped.value is None or not _LETTER.search(x):
+                if x is None or shipped.value is None or not has_letter(x):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
@@ -180,7 +189,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
                 scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return in_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def rejected(lang: Column, score: Column, least: float = 0.3) -> Column:
