@@ -17,16 +17,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 # Names of HTML elements and words of class names, by their role.
 SKIPPED = frozenset("script style noscript template title textarea select option datalist iframe object embed svg math canvas audio video head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meta q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link".split())
 BOILERPLATE = frozenset("nav footer aside form menu button dialog fieldset".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer sidebar aside widget comment comments disqus respond replies reply cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related recommended recommendations masthead topbar toolbar pagination pager search skip form".split()
+#: Never content, wherever they stand.
+HARD_WORDS = frozenset(
+    "ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus respond replies reply cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup login share sharing social related recommended recommendations".split()
+)
+#: Boilerplate, unless an article or main element stands inside: pages also name their layout so.
+SOFT_WORDS = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget notice notices notification alert popup modal overlay masthead topbar toolbar "
+    "pagination pager search skip form copyright".split()
 )
+#: Elements whose class names speak of the whole page.
+PAGE = frozenset("html body main".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
@@ -60,8 +69,8 @@ def _names(attributes: str) -> set[str]:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, white space folded, character references decoded, empty ones left out."""
     blocks: list[Block] = []
-    # open elements: name, container number, boilerplate, in article, heading, named as content
-    stack = [("", 0, False, False, False, False)]
+    # open elements: name, container number, boilerplate (1: by a layout name, 2: for good), in article, heading, named as content
+    stack = [("", 0, 0, False, False, False)]
     pieces: list[str] = []
     linked = [0, 0]  # open links, characters in links
     containers, at, n = 1, 0, len(page)
@@ -72,7 +81,7 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             if text:
                 _, container, fixed, in_article, heading, named = stack[-1]
-                blocks.append(Block(text, container, fixed, in_article, heading, named, min(linked[1], len(text))))
+                blocks.append(Block(text, container, bool(fixed), in_article, heading, named, min(linked[1], len(text))))
         linked[1] = 0
 
     def say(raw: str) -> None:
@@ -129,8 +138,13 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             linked[0] += 1
         if name not in INLINE:
-            words = _names(attributes)
-            fixed = fixed or name in BOILERPLATE or bool(words & BOILERPLATE_WORDS) or (name == "header" and not in_article) or "header" in words and not in_article or name == "head"
+            words = _names(attributes) if name not in PAGE else frozenset()
+            if name in ARTICLE and fixed == 1:
+                fixed = 0
+            if name in BOILERPLATE or words & HARD_WORDS or name == "head" or (name == "header" and not in_article):
+                fixed = 2
+            elif not fixed and name not in ARTICLE and words & SOFT_WORDS and not (in_article and "header" in words):
+                fixed = 1
             in_article = in_article or name in ARTICLE
             named = named or bool(words & CONTENT_WORDS)
             heading = name in HEADINGS
@@ -259,4 +273,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", "html")
     types = dict(rows.dtypes)
-    return rows.mapInArrow(_run, f"page_id {types['page_id']}, url string, text string")
+    return in_batches(rows, _run, f"page_id {types['page_id']}, url string, text string")
