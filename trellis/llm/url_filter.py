@@ -107,7 +107,7 @@ class UrlFilter:
         return rows.select("kept.*", vector_to_array("probability")[1].alias("p_block"))
 
 
-def fit_url_filter(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlFilter:
+def fit_url_filter(labelled: DataFrame, bound: int = 10_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlFilter:
     """Fit on `labelled` (url, blocked boolean), or on the `bound` rows of them with the smallest hashes.
 
     Suffix statistics are smoothed shares of blocked URLs among those that end in the same one, two or three host
