@@ -115,7 +115,9 @@ def fit_url_filter(labelled: DataFrame, bound: int = 10_000, trees: int = 12, de
     class only, the filter answers with the share of blocked URLs.
     """
     sample = labelled.filter("blocked is not null").select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("double").alias("label"))
-    sample = sample.orderBy(F.xxhash64("url"), "url", "label").limit(bound)
+    # about as many as are wanted pass this filter, so that tasks send few more to the driver
+    low = -(1 << 63) + min((1 << 64) - 1, (3 * bound << 63) // max(sample.count(), 1))
+    sample = sample.filter(F.xxhash64("url") <= low).orderBy(F.xxhash64("url"), "url", "label").limit(bound)
     spark = sample.sparkSession
     # bounded by `bound`: one small table that all fitting jobs read
     sample = spark.createDataFrame(sample.toPandas().astype({"url": "str", "label": "float64"}), "url string, label double").coalesce(1).cache()
