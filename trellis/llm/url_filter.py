@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 FEATURES = [
     "url_chars", "host_chars", "path_chars", "depth", "labels", "digit_share", "host_digit_share", "entropy", "host_entropy",
     "n_params", "hyphens", "longest_label", "suffix_rate_1", "suffix_rate_2", "suffix_rate_3", "suffix_seen_3",
@@ -87,11 +89,15 @@ class UrlFilter:
     rate: float
 
     def features(self, df: DataFrame) -> DataFrame:
-        df = lexical(df)
+        df = df.withColumn("known_3", _suffix(host_of(F.col("url")), 3))
+        # each suffix of three labels once, so that the shorter ones are looked up for hosts rather than for rows
+        hosts = df.select(F.col("known_3").alias("suffix_3")).distinct()
+        hosts = hosts.withColumns({"suffix_1": _suffix(F.col("suffix_3"), 1), "suffix_2": _suffix(F.col("suffix_3"), 2)})
         for k in (1, 2, 3):
             own = self.suffixes.filter(F.col("size") == k).select(F.col("suffix").alias(f"suffix_{k}"), F.col("rate").alias(f"suffix_rate_{k}"), F.col("seen").alias(f"suffix_seen_{k}"))
-            # at most as many rows as the fitting sample has
-            df = df.join(F.broadcast(own), f"suffix_{k}", "left")
+            hosts = hosts.join(own, f"suffix_{k}", "left")
+        hosts = hosts.drop("suffix_1", "suffix_2").withColumnRenamed("suffix_3", "known_3")
+        df = lexical(df.join(hosts, "known_3", "left"))
         df = df.fillna({f"suffix_rate_{k}": self.rate for k in (1, 2, 3)}).fillna({f"suffix_seen_{k}": 0.0 for k in (1, 2, 3)})
         return df.withColumns({c: F.col(c).cast("double") for c in FEATURES})
 
@@ -108,36 +114,48 @@ class UrlFilter:
 
 
 def fit_url_filter(labelled: DataFrame, bound: int = 10_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlFilter:
-    """Fit on `labelled` (url, blocked boolean), or on the `bound` rows of them with the smallest hashes.
+    """Fit on `labelled` (url, blocked boolean).
 
     Suffix statistics are smoothed shares of blocked URLs among those that end in the same one, two or three host
-    labels. A row's own label is left out of its own statistics. Rows without label are ignored; with no rows, or one
-    class only, the filter answers with the share of blocked URLs.
+    labels, counted over all rows. The trees are fitted on at most `bound` rows, those of each class with the smallest hashes:
+    up to half of `bound` of the rarer class, the rest of the other, weighted so that the classes keep their shares. A row's own label is left out of its own
+    statistics. Rows without label are ignored; with no rows, or one class only, the filter answers with the share of blocked URLs.
     """
-    sample = labelled.filter("blocked is not null").select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("double").alias("label"))
-    # about as many as are wanted pass this filter, so that tasks send few more to the driver
-    low = -(1 << 63) + min((1 << 64) - 1, (3 * bound << 63) // max(sample.count(), 1))
-    sample = sample.filter(F.xxhash64("url") <= low).orderBy(F.xxhash64("url"), "url", "label").limit(bound)
-    spark = sample.sparkSession
-    # bounded by `bound`: one small table that all fitting jobs read
-    sample = spark.createDataFrame(sample.toPandas().astype({"url": "str", "label": "float64"}), "url string, label double").coalesce(1).cache()
-    n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    rows = labelled.filter("blocked is not null").select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("double").alias("label"))
+    totals = {label: count for label, count in rows.groupBy("label").count().collect()}
+    n, blocked = sum(totals.values()), totals.get(1.0, 0)
     rate = blocked / n if n else 0.0
-    rows = lexical(sample)
-    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("size"), F.col(f"suffix_{k}").alias("suffix")) for k in (1, 2, 3)))).alias("s"), "label")
+    host = host_of(F.col("url"))
+    pairs = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("size"), _suffix(host, k).alias("suffix")) for k in (1, 2, 3)))).alias("s"), "label")
     suffixes = pairs.groupBy("s.size", "s.suffix").agg(F.sum("label").alias("hits"), F.count("*").cast("double").alias("seen"))
-    suffixes = suffixes.withColumn("rate", (F.col("hits") + rate) / (F.col("seen") + 1))
-    listed = suffixes.toPandas()
-    table = spark.createDataFrame(listed, "size int, suffix string, hits double, seen double, rate double") if len(listed) else suffixes
-    if not n or blocked in (0, n):
+    table = stored(suffixes.withColumn("rate", (F.col("hits") + rate) / (F.col("seen") + 1)), "suffixes")
+    if blocked in (0, n):
         return UrlFilter(None, table, rate)
+    least = min(min(totals.values()), bound // 2)
+    rare = min(totals, key=lambda label: (totals[label], label))
+    wanted = {label: least if label == rare else min(totals[label], bound - least) for label in totals}
+    drawn = []
+    for label, most in wanted.items():
+        # about as many as are wanted pass this filter, so that tasks send few more to the driver
+        low = -(1 << 63) + min((1 << 64) - 1, (3 * most << 63) // totals[label])
+        some = rows.filter((F.col("label") == label) & (F.xxhash64("url") <= low)).orderBy(F.xxhash64("url"), "url").limit(most)
+        drawn.append(some.withColumn("h", F.xxhash64("url")))
+    # bounded by `bound`: one small table that all fitting jobs read
+    sample = drawn[0].union(drawn[1]).toPandas().sort_values(["h", "url", "label"])
+    taken = sample["label"].value_counts()
+    sample["weight"] = sample["label"].map({label: totals[label] / taken[label] for label in taken.index})
+    spark = labelled.sparkSession
+    sample = spark.createDataFrame(sample[["url", "label", "weight"]].astype({"url": "str"}), "url string, label double, weight double").coalesce(1).cache()
+    rows = lexical(sample)
     for k in (1, 2, 3):
         own = table.filter(F.col("size") == k).select(F.col("suffix").alias(f"suffix_{k}"), F.col("hits").alias(f"hits_{k}"), F.col("seen").alias(f"all_{k}"))
+        # at most as many rows as the sample has
+        own = own.join(F.broadcast(rows.select(f"suffix_{k}").distinct()), f"suffix_{k}", "left_semi")
         rows = rows.join(F.broadcast(own), f"suffix_{k}", "left")
         rows = rows.withColumns({f"suffix_rate_{k}": (F.col(f"hits_{k}") - F.col("label") + rate) / F.col(f"all_{k}"), f"suffix_seen_{k}": F.col(f"all_{k}") - 1})
-    rows = rows.select("label", *(F.col(c).cast("double").alias(c) for c in FEATURES))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows)
+    rows = rows.select("label", "weight", *(F.col(c).cast("double").alias(c) for c in FEATURES))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "weight", "features")
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(rows)
     sample.unpersist()
     return UrlFilter(model, table, rate)
 
