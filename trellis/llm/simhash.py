@@ -42,11 +42,17 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]), dtype=np.uint8).reshape(-1, 8)
+    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+    return majority(np.frombuffer(hashes, dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some big-endian 64-bit `hashes` have."""
+    rows = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):
-        counts += np.unpackbits(hashes[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+    for at in range(0, len(rows), 65_536):
+        counts += np.unpackbits(rows[at : at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big")
 
 
 def _signed(x: int) -> int:
