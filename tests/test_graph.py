@@ -1,11 +1,12 @@
 """Hand-derived cases of the graph operators."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from trellis import schemas
+from trellis import runtime, schemas
 from trellis.functions import text
 from trellis.operators import components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
 from trellis.sources import files
@@ -90,6 +91,33 @@ def test_indel_ratio():
     assert text.indel_ratio("kitten", "sitting") == pytest.approx(200 * 4 / 13) and text.indel_ratio("", "") == 100 and text.indel_ratio("abc", "") == 0
 
 
+def test_giant_components(spark):
+    """A star, a chain and a bush of 100,000 nodes in all, with few pointers broadcast."""
+    star = spark.range(1, 40_000).selectExpr("0L AS src", "id AS dst")
+    chain = spark.range(50_000, 80_000).selectExpr("id + 1 AS src", "id AS dst")
+    bush = spark.range(100_001, 130_000).selectExpr("id AS src", "100000 + (id - 100000) div 7 AS dst")
+    edges = star.union(chain).union(bush)
+    got = components.connected_components(edges, most=100).groupBy("component").count().collect()
+    assert {tuple(r) for r in got} == {(0, 40_000), (50_000, 30_001), (100_000, 30_000)}
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3, None])], "k long, i long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k long, v string")
+    for how in ("left", "inner"):
+        wanted = sorted(map(repr, rows.join(table, "k", how).collect()))
+        for most in (1, 5, 100):
+            assert sorted(map(repr, runtime.looked_up(rows, table, "k", 55, 3, how, most).collect())) == wanted
+
+
+def test_stored_frames_can_be_removed(spark):
+    one = runtime.stored(spark.range(3), "x")
+    path = Path(one.stored_at.removeprefix("file://"))
+    assert path.is_dir() and one.count() == 3
+    runtime.removed(one, spark.range(1))
+    assert not path.exists()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed
+from ..runtime import BROADCAST_ROWS, checkpointed, looked_up, removed
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows (node, component) for every node of `edges`; component is the smallest node of its component.
 
     Each round, a node points to the member of its closed neighbourhood with the smallest hash of that round, and the
     edge list is contracted along these pointers. A constant share of the nodes goes in each round, whatever the
-    diameter, so the number of rounds is logarithmic. Hubs cost no more than their edges: the minimum is
-    combined map-side, and the joins are plain equi-joins that adaptive execution can split. Self loops make their
-    node a component of one; nulls at either end are ignored.
+    diameter, so the number of rounds is logarithmic. Hubs and giant components cost no more than their edges: minima
+    are combined map-side, and pointers are looked up so that no task gets all nodes of one root (`looked_up`, which
+    broadcasts up to `most` pointers). Self loops make their node a component of one; nulls at either end are ignored.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     size = pairs.count()
@@ -28,16 +28,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
         best = both.groupBy("u").agg(F.min(rank("v")).alias("near"))
         hook = checkpointed(best.select("u", F.least(rank("u"), F.col("near"))["n"].alias("to")), 2 * left)
-        live = (
-            live.join(hook.withColumnRenamed("to", "nu"), "u")
-            .join(hook.select(F.col("u").alias("v"), F.col("to").alias("nv")), "v")
-            .filter("nu <> nv")
-            .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
-            .distinct()
-        )
-        live = checkpointed(live, left)
-        moved = root.join(hook.withColumnRenamed("u", "root"), "root", "left")
+        met = looked_up(live, hook.withColumnRenamed("to", "nu"), "u", left, 2 * left, "inner", most)
+        met = looked_up(met, hook.select(F.col("u").alias("v"), F.col("to").alias("nv")), "v", left, 2 * left, "inner", most)
+        met = met.filter("nu <> nv").select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct()
+        moved = looked_up(root, hook.withColumnRenamed("u", "root"), "root", 2 * size, 2 * left, "left", most)
+        past = live, root, hook
+        live = checkpointed(met, left)
         root = checkpointed(moved.select("node", F.coalesce("to", "root").alias("root")), 2 * size)
+        removed(*past)
         turn += 1
     smallest = root.groupBy("root").agg(F.min("node").alias("component"))
-    return root.join(smallest, "root").select("node", "component")
+    return looked_up(root, smallest, "root", 2 * size, 2 * size, "inner", most).select("node", "component")

@@ -1,4 +1,4 @@
-"""Session helpers shared by every operator: where to cut lineage, and how."""
+"""Session helpers shared by every operator: where to cut lineage, how, and joins on keys that few rows or very many may have."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: `spark.checkpoint.dir`, or a fresh local one where a test session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: `spark.checkpoint.dir`. Only a local session may do without; it gets a fresh folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -24,7 +26,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/trellis-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete the files of frames that stored() gave, once all that was made of them is stored itself. Any other frame is left alone."""
+    for df in frames:
+        path = vars(df).get("stored_at")
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows of an iterative algorithm's frame that one partition has at least.
@@ -32,11 +46,29 @@ ROWS_A_PARTITION = 100_000
 
 
 def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Reliable checkpoint, for the small frames of iterative algorithms.
+    """A small frame of an iterative algorithm, stored, so that the next step's plan starts from a file of known size.
 
-    With `rows`, a bound of their number, a frame of many small partitions is put into as few as its size needs.
+    (A checkpoint() keeps the estimated size of the plan it cuts. Joins multiply estimates, so after some ten rounds they are numbers of
+    millions of digits, and planning never ends.) With `rows`, a bound of their number, a frame of many small partitions is put into as few as its size needs.
     """
-    shared_folder(df.sparkSession)
     if rows is not None:
         df = df.coalesce(rows // ROWS_A_PARTITION + 1)
-    return df.checkpoint(eager=True)
+    return stored(df, "step")
+
+
+#: A table of up to so many rows (a key and a few numbers each) is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, n_table: int, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` joined with `table`, which has each `key` once, however many rows share one. `n_rows` and `n_table` are bounds of their numbers.
+
+    A table of up to `most` rows is broadcast. Of a larger one only the keys that more than n_rows / most rows have (so at most `most` of them) are broadcast with
+    what they have there; all other rows are joined by an exchange in which no key has more rows than that.
+    """
+    if n_table <= most:
+        return rows.join(F.broadcast(table), key, how)
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, n_rows // most)).select(key)
+    hot = checkpointed(hot, min(n_rows, most))
+    few = table.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
