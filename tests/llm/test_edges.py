@@ -208,13 +208,29 @@ def test_decontaminate_proximity(spark):
 def test_simhash(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ROWS)
-    by_id = {r["doc_id"]: r["component_id"] for r in got}
-    assert by_id[1] == by_id[5] == 1 and by_id[2] == by_id[3] == by_id[6] == by_id[None] == 2 or by_id[2] == 2
+    wanted = {}
+    for row in ROWS:
+        wanted.setdefault(simhash.simhash(row[1]), []).append(row[0])
+    prints = sorted(wanted)
+    part = {x: x for x in prints}
+    for x in prints:
+        for y in prints:
+            if (x ^ y).bit_count() <= 2:
+                low, high = sorted((part[x], part[y]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    least = {}
+    for x in prints:
+        least[part[x]] = min([i for i in wanted[x] if i is not None] + ([least[part[x]]] if least.get(part[x]) is not None else []), default=None)
+    assert sorted((r["doc_id"] or -1, r["fingerprint"] % (1 << 64), r["component_id"] or -1) for r in got) == sorted((i or -1, x, least[part[x]] or -1) for x, ids in wanted.items() for i in ids)
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("limit", [3, 256])
-def test_simhash_links_are_complete(spark, limit):
+def test_simhash_ring_grows():
+    assert [simhash.segments_for(n) for n in (0, 10**8, 10**9, 10**10)] == [8, 8, 16, 32]
+
+
+@pytest.mark.parametrize(("limit", "segments"), [(3, 8), (256, None), (64, 16), (64, 32)])
+def test_simhash_links_are_complete(spark, limit, segments):
     """Clusters of near fingerprints, larger keys than the limit too."""
     rng = random.Random(3)
     prints = set()
@@ -227,7 +243,7 @@ def test_simhash_links_are_complete(spark, limit):
             prints.add(x)
     prints = sorted(prints)
     df = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fingerprint long")
-    edges = {tuple(r) for r in simhash.link(df, limit=limit).collect()}
+    edges = {tuple(r) for r in simhash.link(df, limit=limit, segments=segments).collect()}
     group = {simhash._signed(x): simhash._signed(x) for x in prints}
 
     def find(x):

@@ -5,7 +5,8 @@ chain of l consecutive segments differs in at most l * T / M bits. Chains whose
 which candidates meet. Of those that meet, pairs whose longer chains leave their budgets are dropped before the
 full Hamming check.
 
-Copies are grouped first, so all this runs on distinct fingerprints. A key that more than LIMIT fingerprints share is
+Copies are grouped first, so all this runs on distinct fingerprints. The ring has more segments the more of them there are, as keys
+are 24 bits wide with 8 segments, 28 with 16 and 30 with 32. A key that more than LIMIT fingerprints share all the same is
 not compared pairwise: its members are linked through all fingerprints that differ from them in one bit, which finds just the
 pairs within two bits, in linear space.
 """
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import stored
+from ..runtime import looked_up, removed, stored
 from .common import in_batches, words_of
 
 SHINGLE = 3
 DISTANCE = 2
-SEGMENTS = 8
 LIMIT = 64
+#: Segments of the ring, and up to how many distinct fingerprints: at most 16 or so share a key by chance.
+RINGS = ((8, 1 << 28), (16, 1 << 32), (32, 1 << 62))
 SEED = 42
 
 
@@ -76,17 +78,26 @@ def _chain_mask(start: int, length: int, segments: int) -> int:
     return _signed(sum(((1 << width) - 1) << (width * ((start + k) % segments)) for k in range(length)))
 
 
-def link(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, limit: int = LIMIT) -> DataFrame:
+def segments_for(n_prints: int) -> int:
+    """How many segments the ring has for so many distinct fingerprints."""
+    return next(segments for segments, most in RINGS if n_prints <= most)
+
+
+def link(prints: DataFrame, distance: int = DISTANCE, segments: int | None = None, limit: int = LIMIT) -> DataFrame:
     """Edges (src, dst) that connect just the distinct `fingerprint`s of `prints` within `distance` bits.
 
-    Keys of up to `limit` members give each of their pairs that is within the distance, at most limit / 2 a member; members of larger keys
-    (for a distance of two) are linked through their neighbours at one bit, 64 a member.
+    Without `segments` their number follows that of the fingerprints. Keys of up to `limit` members give each of their pairs that is within the
+    distance, at most limit / 2 a member; members of larger keys (for a distance of two) are linked through their neighbours at one bit, 64 a member.
+    The result is stored.
     """
+    n_prints = prints.count()
+    segments = segments or segments_for(n_prints)
     equal = (segments - 1) // distance
     chains = F.array(*(F.struct(F.lit(i).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_chain_mask(i, equal, segments))).alias("chain")) for i in range(segments)))
-    keys = prints.select("fingerprint", F.explode(chains).alias("k")).select("fingerprint", "k.start", "k.chain")
-    sizes = keys.groupBy("start", "chain").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = stored(keys.join(sizes, ["start", "chain"]), "ring")
+    keys = prints.select("fingerprint", F.explode(chains).alias("k")).select("fingerprint", F.struct("k.start", "k.chain").alias("k"))
+    sizes = keys.groupBy("k").agg(F.count("*").alias("members")).filter("members > 1")
+    n_keys = segments * n_prints
+    shared = stored(looked_up(keys, sizes, "k", n_keys, n_keys // 2, "inner").select("fingerprint", "k.start", "k.chain", "members"), "ring")
     few = shared.filter(F.col("members") <= limit)
     a, b = few.select("start", "chain", F.col("fingerprint").alias("src")), few.select("start", "chain", F.col("fingerprint").alias("dst"))
     differ = F.col("src").bitwiseXOR(F.col("dst"))
@@ -102,10 +113,12 @@ def link(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     around = crowded.select("fingerprint", F.explode(F.transform(flips, lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("centre"))
     stars = around.groupBy("centre").agg(F.min("fingerprint").alias("src"), F.collect_set("fingerprint").alias("all"))  # at most 65 members
     stars = stars.select("src", F.explode("all").alias("dst")).filter("src <> dst")
-    return pairs.union(stars).distinct()
+    links = stored(pairs.union(stars).distinct(), "links")
+    removed(shared)
+    return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int | None = None, limit: int = LIMIT) -> DataFrame:
     """Columns doc_id, fingerprint (long), component_id for `docs` (doc_id, text), one row per row.
 
     Documents with equal fingerprints, or with ones that differ in at most `distance` bits, are linked; component_id is the smallest
@@ -115,10 +128,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     if distance != 2:
         raise ValueError("keys shared by many are linked through neighbours at one bit, which is exact for a distance of 2")
     prints = stored(fingerprints(docs, shingle), "simhash")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(stored(link(distinct, distance, segments, limit), "links"))
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
+    n = distinct.count()
+    links = link(distinct, distance, segments, limit)
+    parts = connected_components(links)
     # the component of a fingerprint, by its smallest; then the smallest document of all its fingerprints
     grouped = distinct.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     first = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = stored(grouped.join(first, "component").select("fingerprint", "component_id"), "components")
-    return prints.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    of_print = stored(looked_up(grouped, first, "component", n, n, "inner").select("fingerprint", "component_id"), "components")
+    removed(links, distinct)
+    return looked_up(prints, of_print, "fingerprint", prints.count(), n, "inner").select("doc_id", "fingerprint", "component_id")
