@@ -1,9 +1,10 @@
 """The main text of web pages, by minimum cut.
 
-A page becomes a row of text blocks. A linear classifier gives each block a cost of being called content and one of
-being called boilerplate; these are the capacities of its terminal edges. Blocks that follow each other, and blocks of
-one container, are joined by smoothness edges. The minimum cut separates content from boilerplate. Blocks in elements
-that are boilerplate by their name or class (menus, footers, forms, adverts, comments...) are tied to the sink.
+A page becomes a row of text blocks. A linear classifier with stated weights gives each block the log odds of being content, from its
+words, links, punctuation and what the elements around it are called; they become the capacities of its edges to the terminals. Blocks that
+follow each other and blocks that are close in the tree of elements are joined by smoothness edges, weaker across the border of a
+region. The minimum cut of the whole page separates content from boilerplate: no name decides by itself, so
+short lines among content stay and a layout word on a wrapper does not drop what it wraps. Only text of scripts, styles and forms is no part of the network.
 """
 
 from __future__ import annotations
@@ -23,22 +24,34 @@ from .common import in_batches
 SKIPPED = frozenset("script style noscript template title textarea select option datalist iframe object embed svg math canvas audio video head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meta q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link".split())
-BOILERPLATE = frozenset("nav footer aside form menu button dialog fieldset".split())
-#: Never content, wherever they stand.
+#: Never text of a page, wherever they stand.
+FORMS = frozenset("form button fieldset".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
+#: Parts of class names, ids and roles of what is no content, wherever it stands.
 HARD_WORDS = frozenset(
     "ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus respond replies reply cookie cookies consent gdpr "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations".split()
 )
-#: Boilerplate, unless an article or main element stands inside: pages also name their layout so.
+#: Parts that boilerplate has, and layout too.
 SOFT_WORDS = frozenset(
     "banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget notice notices notification alert popup modal overlay masthead topbar toolbar "
     "pagination pager search skip form copyright".split()
 )
+#: Names that begin so say what a wrapper has, not what it is.
+STATE_WORDS = frozenset("has with without no is show hide js".split())
 #: Elements whose class names speak of the whole page.
-PAGE = frozenset("html body main".split())
+PAGE = frozenset("html body".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
+#: What may stand in a page's head; anything else ends it.
+HEAD_ONLY = frozenset("head title meta link base script style noscript template".split())
+#: The classifier's weights, in log odds: for a block itself, then for the region it stands in.
+WEIGHTS = {"bias": -1.0, "word": 0.12, "linked": -3.0, "sentence": 0.8, "heading": 0.4, "elsewhere": -3.0, "share": 3.0}
+MOST_WORDS = 25
+ARTICLE_REGION, NAMED_REGION, HARD_REGION, SOFT_REGION, MIXED = 4.5, 1.5, -5.0, -3.5, -3.0
+#: Smoothness between neighbours, and between blocks of one container; how much of it a step in the tree and a region's border leave.
+NEIGHBOURS, SIBLINGS, STEP, BORDER = 1.0, 1.0, 0.5, 0.1
 #: A start tag of the key closes an open element of the set, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -51,118 +64,172 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Block:
     """A piece of text between block boundaries."""
 
-    __slots__ = ("chars", "container", "fixed", "heading", "in_article", "linked", "named", "text")
+    __slots__ = ("chars", "container", "depth", "heading", "in_article", "linked", "region", "text")
 
-    def __init__(self, text, container, fixed, in_article, heading, named, linked):
-        self.text, self.container, self.fixed, self.in_article = text, container, fixed, in_article
-        self.heading, self.named, self.linked, self.chars = heading, named, linked, len(text)
+    def __init__(self, text, container, depth, region, in_article, heading, linked):
+        self.text, self.container, self.depth, self.region = text, container, depth, region
+        self.in_article, self.heading, self.linked, self.chars = in_article, heading, linked, len(text)
 
 
-def _names(attributes: str) -> set[str]:
-    found = set()
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id and role name an element as boilerplate, as what may be it, and (in a name of its own) as content."""
+    hard = soft = content = False
     for m in _NAMED.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        found.update(_PART.findall(_CAMEL.sub(" ", value).lower()))
-    return found
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, white space folded, character references decoded, empty ones left out."""
-    blocks: list[Block] = []
-    # open elements: name, container number, boilerplate (1: by a layout name, 2: for good), in article, heading, named as content
-    stack = [("", 0, 0, False, False, False)]
-    pieces: list[str] = []
-    linked = [0, 0]  # open links, characters in links
-    containers, at, n = 1, 0, len(page)
-
-    def end_block() -> None:
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            pieces.clear()
-            if text:
-                _, container, fixed, in_article, heading, named = stack[-1]
-                blocks.append(Block(text, container, bool(fixed), in_article, heading, named, min(linked[1], len(text))))
-        linked[1] = 0
-
-    def say(raw: str) -> None:
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+            if not parts or parts[0] in STATE_WORDS:
+                continue
+            own_hard, own_soft = not HARD_WORDS.isdisjoint(parts), not SOFT_WORDS.isdisjoint(parts)
+            hard, soft = hard or own_hard, soft or own_soft
+            content = content or not (own_hard or own_soft or CONTENT_WORDS.isdisjoint(parts))
+    return hard, soft, content
+
+
+def _region(name: str, attributes: str, around: float, in_article: bool) -> float:
+    """What an element says for its blocks being content, in log odds, given what the elements around it say."""
+    if name in BOILERPLATE or (name == "header" and not in_article):
+        return HARD_REGION
+    article = name in ARTICLE
+    hard, soft, content = _named(attributes) if attributes and name not in PAGE else (False, False, False)
+    here = around
+    if article and around > HARD_REGION:
+        here = ARTICLE_REGION
+    elif content and HARD_REGION < around < NAMED_REGION:
+        here = NAMED_REGION
+    if hard:
+        return here + MIXED if (article or content) and here > HARD_REGION else HARD_REGION
+    if soft and not (article or content or name in HEADINGS or name == "header"):
+        return min(here, SOFT_REGION)
+    return here
+
+
+class _Page:
+    """Reads a page into blocks. Open elements are kept as tuples: name, container, depth, region, in article, heading, form."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.regions = [0.0]  # log odds by number
+        self.stack = [("", 0, 0, 0, False, False, False)]
+        self.open: dict[str, int] = {}  # how many of a name are open
+        self.boxes = [0]  # places of the open elements that are no inline ones
+        self.pieces: list[str] = []
+        self.links = self.linked = 0
+        self.containers = 1
+
+    def end_block(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
+            self.pieces.clear()
+            _, container, depth, region, in_article, heading, form = self.stack[-1]
+            if text and not form:
+                self.blocks.append(Block(text, container, depth, region, in_article, heading, min(self.linked, len(text))))
+        self.linked = 0
+
+    def say(self, raw: str) -> None:
+        if self.open.get("head") and not raw.isspace():
+            self.close("head")
         text = html.unescape(raw)
-        pieces.append(text)
-        if linked[0]:
-            linked[1] += len(text)
-
-    def pop(index: int) -> None:
-        if any(x[0] not in INLINE for x in stack[index:]):
-            end_block()
-        linked[0] -= sum(x[0] == "a" for x in stack[index:])
-        del stack[index:]
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
-            continue
-        name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if closing:
-            index = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if index:
-                pop(index)
-            elif name not in INLINE:
-                end_block()
-            continue
-        if name in SKIPPED and name != "head":
-            if name not in VOID and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
+        self.pieces.append(text)
+        if self.links:
+            self.linked += len(text)
+
+    def pop(self, index: int) -> None:
+        if self.boxes[-1] >= index:
+            self.end_block()
+        while len(self.stack) > index:
+            name = self.stack.pop()[0]
+            self.open[name] -= 1
+            self.links -= name == "a"
+        while self.boxes[-1] >= index:
+            self.boxes.pop()
+
+    def close(self, name: str) -> None:
+        if self.open.get(name):
+            # all that is looked at here is closed
+            self.pop(next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k][0] == name))
+        elif name not in INLINE:
+            self.end_block()
+
+    def begin(self, name: str, attributes: str) -> None:
         if name in VOID or attributes.endswith("/"):
             if name not in INLINE:
-                end_block()
-            continue
+                self.end_block()
+            return
         if name not in INLINE:
-            end_block()
+            self.end_block()
             # a new block element ends an open paragraph; some end their like
-            ends = {"p"} | HEADINGS & {stack[-1][0]} if name not in CLOSES else {"p"} | CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        _, container, fixed, in_article, heading, named = stack[-1]
+            top = self.stack[self.boxes[-1]][0]
+            if top == "p" or top in CLOSES.get(name, ()) or (name in HEADINGS and top == name):
+                self.pop(self.boxes[-1])
+        _, container, depth, region, in_article, heading, form = self.stack[-1]
         if name == "a":
-            linked[0] += 1
+            self.links += 1
         if name not in INLINE:
-            words = _names(attributes) if name not in PAGE else frozenset()
-            if name in ARTICLE and fixed == 1:
-                fixed = 0
-            if name in BOILERPLATE or words & HARD_WORDS or name == "head" or (name == "header" and not in_article):
-                fixed = 2
-            elif not fixed and name not in ARTICLE and words & SOFT_WORDS and not (in_article and "header" in words):
-                fixed = 1
-            in_article = in_article or name in ARTICLE
-            named = named or bool(words & CONTENT_WORDS)
-            heading = name in HEADINGS
+            says = _region(name, attributes, self.regions[region], in_article)
+            if says != self.regions[region]:
+                region = len(self.regions)
+                self.regions.append(says)
+            in_article, heading, form = in_article or name in ARTICLE, name in HEADINGS, form or name in FORMS or name == "head"
             if name not in ("p", "li", "td", "th", "dt", "dd") and name not in HEADINGS:
-                container, containers = containers, containers + 1
-        stack.append((name, container, fixed, in_article, heading, named))
-    end_block()
-    return blocks
-
-
-def content_logit(block: Block, article_on_page: bool) -> float:
-    """The classifier: log odds that a block is content."""
-    if block.in_article:
-        return 4.0
-    words = block.text.count(" ") + 1
-    z = -2.0 + 0.16 * min(words, 30) - 4.0 * block.linked / block.chars
-    z += 0.8 * (block.text[-1] in ".!?\"'”»…") + 0.7 * block.named + 0.5 * (block.heading and words > 2)
-    return z - 6.0 * article_on_page
+                container, depth, self.containers = self.containers, depth + 1, self.containers + 1
+            self.boxes.append(len(self.stack))
+        self.stack.append((name, container, depth, region, in_article, heading, form))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if m is None:
+                self.say(page[at:])
+                break
+            if m.start() > at:
+                self.say(page[at : m.start()])
+            at = m.end()
+            name = m[2] or m[5]
+            if name is None:
+                continue
+            name, attributes = name.lower(), m[3] or m[6] or ""
+            if m[1] or m[4]:
+                self.close(name)
+                continue
+            if self.open.get("head") and name not in HEAD_ONLY:
+                self.close("head")
+            if name in SKIPPED and name != "head":
+                if name not in VOID and not attributes.endswith("/"):
+                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = end.end() if end else n
+                continue
+            self.begin(name, attributes)
+        self.end_block()
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[float]]:
+    """The text blocks of a page in order, white space folded, character references decoded, empty ones left out; what each region says."""
+    reader = _Page()
+    reader.read(page)
+    return reader.blocks, reader.regions
+
+
+def content_logits(blocks: list[Block], regions: list[float]) -> list[float]:
+    """The classifier: log odds that each block is content."""
+    own = [b.chars - b.linked for b in blocks]
+    whole, of_region = sum(own) or 1, [0] * len(regions)
+    for b, n in zip(blocks, own, strict=True):
+        of_region[b.region] += n
+    article = any(b.in_article and regions[b.region] > HARD_REGION for b in blocks)
+    w, out = WEIGHTS, []
+    for b in blocks:
+        words, says = b.text.count(" ") + 1, regions[b.region]
+        z = w["bias"] + w["word"] * min(words, MOST_WORDS) + w["linked"] * b.linked / b.chars + says
+        z += w["sentence"] * (b.text[-1] in ".!?\"'”»…") + w["heading"] * (b.heading and words > 2)
+        if article:
+            z += w["elsewhere"] * (not b.in_article)
+        elif says < 0:
+            # what holds most of a page's text is named for its layout rather
+            z += w["share"] * of_region[b.region] / whole
+        out.append(z)
+    return out
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -230,33 +297,30 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 u = to[path.pop() ^ 1]
 
 
-def extract(page: str | None, neighbours: float = 0.5, siblings: float = 0.5) -> str:
-    """The content blocks of a page, joined by one space."""
-    blocks = blocks_of(page or "")
-    free = [b for b in blocks if not b.fixed]
-    if not free:
-        return ""
-    article_on_page = any(b.in_article for b in free)
-    place = {id(b): i for i, b in enumerate(free)}
-    source, sink = [], []
-    for b in free:
-        z = content_logit(b, article_on_page)
-        source.append(math.log1p(math.exp(z)))
-        sink.append(math.log1p(math.exp(-z)))
-    edges, last = [], {}
+def smoothness(blocks: list[Block], neighbours: float = NEIGHBOURS, siblings: float = SIBLINGS) -> list[tuple[int, int, float]]:
+    """Edges between blocks that follow each other, less for each step in the tree between them, and between blocks of one container."""
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
-        near = [(blocks[k - 1], neighbours if blocks[k - 1].container == b.container else neighbours / 4)] if k else []
-        if b.container in last:
-            near.append((last[b.container], siblings))
-        for other, w in near:
-            if b.fixed and other.fixed:
-                continue
-            if b.fixed or other.fixed:
-                sink[place[id(other if b.fixed else b)]] += w  # the other end is at the sink
-            else:
-                edges.append((place[id(other)], place[id(b)], w))
-        last[b.container] = b
-    return " ".join(b.text for b, kept in zip(free, minimum_cut(source, sink, edges), strict=True) if kept)
+        if k:
+            a = blocks[k - 1]
+            steps = 0 if a.container == b.container else max(1, abs(a.depth - b.depth))
+            edges.append((k - 1, k, neighbours * STEP**steps * (1.0 if a.region == b.region else BORDER)))
+        before = last.get(b.container)
+        if before is not None:
+            edges.append((before, k, siblings * (1.0 if blocks[before].region == b.region else BORDER)))
+        last[b.container] = k
+    return edges
+
+
+def extract(page: str | None, neighbours: float = NEIGHBOURS, siblings: float = SIBLINGS) -> str:
+    """The content blocks of a page, joined by one space."""
+    blocks, regions = blocks_of(page or "")
+    logits = content_logits(blocks, regions)
+    source = [max(z, 0.0) + math.log1p(math.exp(-abs(z))) for z in logits]
+    sink = [x - z for x, z in zip(source, logits, strict=True)]
+    kept = minimum_cut(source, sink, smoothness(blocks, neighbours, siblings))
+    return " ".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
