@@ -63,13 +63,33 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.fingerprint_pairs(none).count() == 0
     # very far apart ids, and a single row
     far = spark.createDataFrame([(i, f"text {i} of many words here") for i in (-(1 << 62), -7, 0, 5_000_000, 1 << 62)], "doc_id long, text string")
-    follow = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next_text(far).collect()}
-    assert follow == {r["doc_id"]: r["next_text"] for r in fingerprints.with_next_text(far, broadcast_blocks=0).collect()}
+    follow = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(far).collect()}
+    assert follow == {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(far, broadcast_blocks=0).collect()}
     assert follow[-7] == "text 0 of many words here" and follow[0].startswith("text 5000000 ") and follow[1 << 62] == f"text {-(1 << 62)} of many words here"
     one = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
     assert fingerprints.fingerprint_pairs(one).first()["edited"] == "abcdefab"
 
 
+def test_merged_sketch_is_the_sketch_of_the_union(spark):
+    """At every size, the smallest and those around 128 too, and for thresholds that differ."""
+    rng = random.Random(8)
+    rows = []
+    for n in [*range(6), 9, 40, 126, 127, 128, 129, 130, 400]:
+        for m in (0, 1, 2, 30, 128):
+            a, b = ([f"w{rng.randrange(10**6)}" for _ in range(k)] for k in (n, m))
+            rows.append((" ".join(a), " ".join(b)))
+    # a text whose shingles are just those of both: of one word each, so that putting texts one after another adds none
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("both", F.concat_ws(" ", "a", "b"))
+    s = {c: fingerprints.sketch(F.col(c), shingle=1) for c in ("a", "b", "both")}
+    loose = fingerprints.sketch(F.col("a"), shingle=1, scale=1)
+    got = df.select(fingerprints.merged(s["a"], s["b"]).alias("x"), s["both"].alias("y"), fingerprints.merged(loose, s["b"]).alias("z"), F.size(s["a"]["hashes"]).alias("n"), F.size(loose["hashes"]).alias("all")).collect()
+    for r, (a, _) in zip(got, rows, strict=True):
+        assert r["x"] == r["y"] == r["z"]
+        assert r["all"] == len(set(a.split())) and (r["n"] > 0) == bool(a)
+    most = max(got, key=lambda r: r["all"])
+    assert 0.35 < most["n"] / most["all"] < 0.65
+
+
 def test_sketch_containment(spark):
     part = " ".join(f"w{i}" for i in range(300))
     whole = part + " " + " ".join(f"x{i}" for i in range(5000))
@@ -109,6 +129,11 @@ def test_minimum_cut_is_minimal():
         assert cost(html_extract.minimum_cut(s, t, edges)) == pytest.approx(best)
 
 
+def test_pieces_with_a_mark_inside_are_refused():
+    with pytest.raises(ValueError, match="cannot be used"):
+        pieces.Pieces([("▁a▁b", 0.0, -1)])
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", "~0~1 <|im_next|> <<SYS>>"), (1, 2, "assistant", None), (1, 3, "assistant", "[/INST]</s>"), (1, 3, "assistant", "[/INST]</s>"),
             (2, None, None, "x"), (None, 0, "we\nird~<s>", "y"), (3, 0, "assistant", LONG)]

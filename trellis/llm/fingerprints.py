@@ -1,11 +1,12 @@
 """Threshold-scaled sketches of documents, from Spark expressions only.
 
-A sketch keeps every shingle hash below a fixed share of the hash space, so sketches of any two texts, however unequal,
-are samples of the same hashes: they merge by union, and the share of one sketch found in another estimates
-containment. A text with few shingles keeps all of them; such a sketch is cut to the other's threshold when compared.
+A sketch keeps every shingle hash below one fixed share of the hash space, whatever the length of the text, so sketches of any two texts,
+however unequal, are samples of the same hashes: they merge by union, and the share of one sketch found in another estimates
+containment. A text without a hash below the threshold is known by its smallest hash, which merges too: the sketch of two texts together
+has what is below the threshold in either, or else the smaller of the two.
 
-A sketch is a struct (kept, top, hashes): `top` is the threshold, on the non-negative hashes of 63 bits, and `hashes`
-the sorted distinct hashes below it.
+A sketch is a struct (top, hashes): `top` is the threshold, on the non-negative hashes of 63 bits, and `hashes`
+the sorted distinct hashes up to it, or the smallest one. Sketches of different thresholds are compared and merged at the smaller one.
 """
 
 from __future__ import annotations
@@ -17,9 +18,7 @@ from ..runtime import stored
 
 SHINGLE = 5
 #: One shingle in this many is kept.
-SCALE = 4
-#: Texts of up to so many distinct shingles keep all.
-WHOLE = 128
+SCALE = 2
 _TOP = (1 << 63) - 1
 
 
@@ -28,7 +27,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, whole: int = WHOLE) -> Column:
+def _below(hashes: Column, top: Column) -> Column:
+    """Of sorted hashes those up to `top`, or the smallest if that leaves none."""
+    return F.get(F.transform(F.array(F.filter(hashes, lambda x: x <= top)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.slice(hashes, 1, 1))), 0)
+
+
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The sketch of a text: struct(top, hashes). A text of fewer words than a shingle has has one shingle; one without
     words, a null too, has the empty sketch."""
     w = F.transform(words(text), lambda x: F.xxhash64(x))
@@ -48,30 +52,21 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, whole: int
     )
     hashes = F.array_sort(F.array_distinct(F.transform(grams, lambda x: x.bitwiseAND(F.lit(_TOP)))))
     cut = F.lit(_TOP // scale)
-    return F.get(
-        F.transform(
-            F.array(hashes),
-            lambda h: F.when(F.size(h) <= whole, F.struct(F.lit(_TOP).alias("top"), h.alias("hashes"))).otherwise(
-                F.struct(cut.alias("top"), F.filter(h, lambda x: x <= cut).alias("hashes"))
-            ),
-        ),
-        0,
-    )
+    return F.get(F.transform(F.array(hashes), lambda h: F.struct(cut.alias("top"), _below(h, cut).alias("hashes"))), 0)
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two texts together, at the smaller threshold."""
     top = F.least(a["top"], b["top"])
-    return F.struct(top.alias("top"), F.array_sort(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda x: x <= top)).alias("hashes"))
+    return F.struct(top.alias("top"), _below(F.array_sort(F.array_union(a["hashes"], b["hashes"])), top).alias("hashes"))
 
 
 def _compared(a: Column, b: Column) -> Column:
-    """struct(a, b, both): how many hashes below the smaller threshold."""
+    """struct(a, b, both): how many hashes at the smaller threshold. Where only one text has any below it, the other's smallest hash counts for it."""
     top = F.least(a["top"], b["top"])
-    below = lambda s: F.when(s["top"] <= top, s["hashes"]).otherwise(F.filter(s["hashes"], lambda x: x <= top))
     return F.get(
         F.transform(
-            F.array(F.struct(below(a).alias("x"), below(b).alias("y"))),
+            F.array(F.struct(_below(a["hashes"], top).alias("x"), _below(b["hashes"], top).alias("y"))),
             lambda s: F.struct(F.size(s["x"]).alias("a"), F.size(s["y"]).alias("b"), F.size(F.array_intersect(s["x"], s["y"])).alias("both")),
         ),
         0,
@@ -117,13 +112,14 @@ def _heads(rows: DataFrame, width: int, levels: int) -> DataFrame:
 BROADCAST_BLOCKS = 1_000_000
 
 
-def with_next_text(docs: DataFrame, width: int = 512, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
-    """Columns doc_id, text, next_text: the text of the next document by ascending doc_id, after the last that of the first.
+def with_next(docs: DataFrame, added: dict[str, Column] | None = None, width: int = 512, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """Columns doc_id, text and those of `added`, and each but doc_id once more as next_...: that of the next document by ascending doc_id, after the last that of the first.
 
-    Documents of one doc_id are ordered by their text, and a null doc_id comes before all others. Texts are dealt out once, by blocks of
-    `width` ids; each block also gets the next block's first document, so no order over all rows is needed.
+    `added` are expressions over `text`, made once for each row. Documents of one doc_id are ordered by their text, and a null doc_id comes before all others. Texts are dealt
+    out once, by blocks of `width` ids; each block also gets the next block's first document, so no order over all rows is needed.
     A single document is its own next.
     """
+    added = added or {}
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -139,8 +135,9 @@ def with_next_text(docs: DataFrame, width: int = 512, broadcast_blocks: int = BR
     home = F.floor(F.col("key") / width)
     own = rows.select("*", home.alias("block"), F.lit(0).alias("guest"))
     invited = rows.join(guests, "key").select("doc_id", "text", "key", "block", F.lit(1).alias("guest"))
+    dealt = own.union(invited).repartition("block").withColumns(added)
     w = Window.partitionBy("block").orderBy("guest", "key", "text")
-    return own.union(invited).withColumn("next_text", F.lead("text").over(w)).filter("guest = 0")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", *added)}).filter("guest = 0").drop("key", "block", "guest")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -150,13 +147,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     next document, or all of them. Columns: doc_id, text, edited, sketch, edited_sketch, next_sketch. Null texts are
     empty; other columns are ignored; an empty table gives no rows.
     """
-    chain = with_next_text(docs)
+    chain = with_next(docs, {"sketch": sketch(F.col("text"))})
     cut = F.floor(F.length("text") / 4).cast("int")
     chain = chain.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.length("text") - cut), F.col("next_text").substr(F.lit(1), cut)))
-    chain = chain.select("doc_id", "text", "edited", "next_text")
-    return chain.select(
-        "doc_id", "text", "edited",
-        sketch(F.col("text")).alias("sketch"),
-        sketch(F.col("edited")).alias("edited_sketch"),
-        sketch(F.col("next_text")).alias("next_sketch"),
-    )
+    return chain.select("doc_id", "text", "edited", "sketch", sketch(F.col("edited")).alias("edited_sketch"), "next_sketch")
