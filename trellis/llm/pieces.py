@@ -80,9 +80,8 @@ class Pieces:
         ranks = {i: r for r, (_, _, i) in enumerate(sorted((-s, p, i) for i, p, s in ordinary))}
         self.automaton = ahocorasick.Automaton()
         for i, piece, _ in ordinary:
-            # the mark within a piece would hide a cut
             if SPACE in piece.lstrip(SPACE):
-                continue
+                raise ValueError(f"texts are cut before space marks, but piece {piece!r} has one inside: this vocabulary cannot be used")
             self.automaton.add_word(piece, (len(piece), i, -math.log(ranks[i] + 2)))
         self.automaton.make_automaton()
         self.bytes = {kind: i for i, (_, _, kind) in enumerate(vocabulary) if kind >= 0}
@@ -123,7 +122,11 @@ class Pieces:
         return b"".join(ids)
 
     def best_path(self, unit: str) -> tuple[int, ...]:
-        """The ids of the best way through a unit; of equal ways the one whose last piece is longer."""
+        """The ids of the best way through a unit; of equal ways the one whose last piece is longer.
+
+        As texts are cut into units, ways through a text whose scores are the same, or differ in rounding only, may be told apart otherwise than by one
+        uncut pass; the same unit always has the same way.
+        """
         n = len(unit)
         best: list[float] = [-math.inf] * (n + 1)
         back: list[tuple] = [(1, -1)] * (n + 1)

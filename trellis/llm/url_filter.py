@@ -44,7 +44,8 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
         )
         for verdict, name in rules
     ]
-    return F.array_max(F.filter(F.array(*found), lambda r: r.isNotNull()))
+    found = F.array(*found) if found else F.array().cast("array<struct<size:int,rule:string,verdict:string>>")
+    return F.array_max(F.filter(found, lambda r: r.isNotNull()))
 
 
 def _suffix(host: Column, labels: int) -> Column:
@@ -130,7 +131,7 @@ def fit_url_filter(labelled: DataFrame, bound: int = 10_000, trees: int = 12, de
     suffixes = pairs.groupBy("s.size", "s.suffix").agg(F.sum("label").alias("hits"), F.count("*").cast("double").alias("seen"))
     table = stored(suffixes.withColumn("rate", (F.col("hits") + rate) / (F.col("seen") + 1)), "suffixes")
     if blocked in (0, n):
-        return UrlFilter(None, table, rate)
+        return UrlFilter(None, table, rate)  # nothing to tell apart
     least = min(min(totals.values()), bound // 2)
     rare = min(totals, key=lambda label: (totals[label], label))
     wanted = {label: least if label == rare else min(totals[label], bound - least) for label in totals}
@@ -163,11 +164,12 @@ def fit_url_filter(labelled: DataFrame, bound: int = 10_000, trees: int = 12, de
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], model: UrlFilter, cut: float = 0.5) -> DataFrame:
     """`pages` (any columns, with url) with host, path, rule, verdict and p_block: the rule's verdict where one fits, else the trees'.
 
-    A null URL or one without `://` has empty host and path and no rule. Columns of these five names are replaced.
+    A null URL or one without `://` has empty host and path and no rule. Columns of these five names are replaced, others stay; repeated
+    rows stay; without rules the trees judge all; an empty table gives no rows.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "p_block")
     rows = model.probability(pages)
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     by_trees = F.when(F.col("p_block") >= cut, "block").otherwise("allow")
-    return rows.withColumn("fit_", fit).withColumns({"rule": F.col("fit_")["rule"], "verdict": F.coalesce(F.col("fit_")["verdict"], by_trees)}).drop("fit_")
+    return rows.withColumns({"rule": fit["rule"], "verdict": F.coalesce(fit["verdict"], by_trees)})
