@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of one to three characters of the lower-cased text. Document frequencies are counted over all
-training texts; the weights are learned from a bounded sample of them, with follow-the-regularised-leader and elastic-net
+training texts; the weights are learned from a bounded sample of them, by language, with follow-the-regularised-leader and elastic-net
 penalties, and a temperature is then fitted on a part of the sample that the weights have not seen.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from .common import in_batches
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Most texts that the weights are learned from.
-SAMPLE = 4_000
+#: Most texts that the weights are learned from, dealt evenly to the languages; but each may have so many.
+SAMPLE, LEAST = 4_000, 200
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters worked on at a time, so that a long text needs no more memory than a short one.
@@ -142,22 +142,25 @@ def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Learn from `labelled` (text, lang). Rows without text, letters or lang are left out; without any the model is None.
 
-    The weights come from the `sample` rows with the smallest hashes of their texts; repeated texts count once there.
+    The weights come from at most `sample` distinct texts, or LEAST for each language if that is more: of each language those with the smallest hashes, up
+    to an even share. Repeated texts count once there and use up nothing of the bound, and a rare language has all its texts.
     """
     usable = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
     texts, seen = document_frequencies(usable)
     if not texts:
         return None
-    languages = sorted(r[0] for r in usable.select("lang").distinct().collect())
+    distinct = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect()}
+    languages = sorted(distinct)
     idf = np.log((1.0 + texts) / (1.0 + seen)) + 0.1
+    most = max(LEAST, sample // len(languages))
     # about as many as are wanted pass this filter, so no task sorts or sends many more
-    low = -(1 << 63) + min((1 << 64) - 1, (3 * sample << 63) // texts)
-    chosen = usable.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= low).orderBy("h", "lang", "text").limit(sample).drop("h").toLocalIterator()
-    examples, last = [], None
-    for text, lang in chosen:
-        if text != last:
-            examples.append((*vector(text, idf), languages.index(lang)))
-        last = text
+    low = [(lang, -(1 << 63) + min((1 << 64) - 1, (3 * most << 63) // max(n, 1))) for lang, n in distinct.items()]
+    low = labelled.sparkSession.createDataFrame(low, "lang string, low long")
+    some = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(low), "lang").filter("h <= low")
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= most)
+    chosen = some.orderBy("h", "lang").select("text", "lang").toLocalIterator()
+    examples = [(*vector(text, idf), languages.index(lang)) for text, lang in chosen]
     kept = [e for i, e in enumerate(examples) if i % 5] or examples
     weights, bias = follow_the_leader(kept, len(languages))
     aside = examples[::5] if len(examples) >= 20 else []
