@@ -214,7 +214,7 @@ def test_decontaminate(spark, odd, none):
     got = decontaminate.find_passages(odd, bench).select("*", decontaminate.hit_words(F.col("matches")).alias("hit"), decontaminate.item_ids(F.col("matches")).alias("items")).collect()
     assert len(got) == len(ROWS)
     one = next(r for r in got if r["doc_id"] == 1)
-    assert (one["n_words"], one["hit"], one["items"]) == (9, 4, ["1", "10"])
+    assert (one["n_words"], one["hit"], one["items"]) == (9, 7, ["1", "10", None])  # "the lazy dog" has no id
     assert all(r["hit"] == 0 for r in got if r["doc_id"] in (2, 3, 4, 6))
     assert decontaminate.find_passages(none, bench).count() == 0
     assert all(r["matches"] == [] for r in decontaminate.find_passages(odd, bench.limit(0)).collect())
@@ -223,6 +223,15 @@ def test_decontaminate(spark, odd, none):
     assert sorted((r["doc_id"] or -1, r["hit"]) for r in small.select("doc_id", decontaminate.hit_words(F.col("matches")).alias("hit")).collect()) == sorted((r["doc_id"] or -1, r["hit"]) for r in got)
 
 
+def test_decontaminate_null_ids_and_long_items(spark):
+    words = [f"w{i}" for i in range(400)]
+    bench = spark.createDataFrame([(None, "one two three"), (7, " ".join(words)), (8, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so one two three then"), (2, " ".join(words[95:140])), (3, "w1 w2")], "doc_id long, text string")
+    for block_words in (4_000_000, 300):
+        got = {r["doc_id"]: r for r in decontaminate.find_passages(docs, bench, block_words=block_words).select("doc_id", decontaminate.hit_words(F.col("matches")).alias("hit"), decontaminate.item_ids(F.col("matches")).alias("ids"), F.size("matches").alias("n")).collect()}
+        assert (got[1]["hit"], got[1]["ids"]) == (3, ["8", None]) and (got[2]["hit"], got[2]["ids"], got[2]["n"]) == (45, ["7"], 36) and got[3]["hit"] == 0
+
+
 def test_decontaminate_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a x b c d"), (3, "d a c b x y")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
@@ -297,6 +306,15 @@ def test_language_id(spark, odd, none):
     assert (language_id.counts(LONG).sum() == 3 * (len(LONG) + 2) - 3) and language_id.counts("").sum() >= 0
 
 
+def test_rare_languages_are_learned_beside_many_copies(spark):
+    rng = random.Random(2)
+    said = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [("the same text over and over", "en")] * 3000 + [(said("abcdefgh"), "en") for _ in range(300)] + [(said("стукальм"), "ru") for _ in range(8)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), sample=100)
+    got = language_id.predict(spark.createDataFrame([(said("стукальм"),), (said("abcdefgh"),)], "text string"), model).collect()
+    assert [r["lang_pred"] for r in got] == ["ru", "en"]
+
+
 def test_language_counts_do_not_depend_on_the_stretch(monkeypatch):
     whole = language_id.counts(LONG)
     monkeypatch.setattr(language_id, "_STRETCH", 1000)

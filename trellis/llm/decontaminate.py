@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import removed, stored
 from .common import in_batches, pack, unpack
 
 WINDOW = 10
@@ -49,7 +49,7 @@ def windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> Queri
             n = min(size, len(numbers))
             for i in range(len(numbers) - n + 1):
                 found.setdefault(n, {}).setdefault(numbers[i : i + n], set()).add(item)
-    groups = [(n, np.array(list(w), dtype=np.int64), [sorted(x) for x in w.values()]) for n, w in sorted(found.items())]
+    groups = [(n, np.array(list(w), dtype=np.int64), [sorted(x, key=lambda i: (i is None, i)) for x in w.values()]) for n, w in sorted(found.items())]
     return terms, groups
 
 
@@ -160,17 +160,26 @@ def _searcher(queries, slop: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
-    """The items in blocks of bounded size, read to the driver as a stream: a block is a broadcast of its own."""
-    out, size = [[]], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").filter("item_id is not null").toLocalIterator():
-        words = len(words_of(text)) * WINDOW
-        if out[-1] and size + words > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
-        size += words
-    return out
+def _runs(text: str | None, most: int, size: int) -> Iterator[tuple[str, int]]:
+    """A text in runs of at most `most` words that overlap by a window less one word, so that each window is whole in one of them; with their words."""
+    words = words_of(text)
+    step = max(1, most - size + 1)
+    for at in range(0, max(1, len(words) - size + 1), step):
+        part = words[at : at + step + size - 1]
+        yield b" ".join(part).decode("utf-8", "surrogatepass"), len(part)
+
+
+def _blocks(benchmark: DataFrame, block_words: int, size: int = WINDOW) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size, one at a time at the driver: a block is a broadcast of its own. Long items are split into runs."""
+    block, filled = [], 0
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+        for run, words in _runs(text, max(size, block_words // size), size):
+            if block and filled + words * size > block_words:
+                yield block
+                block, filled = [], 0
+            block.append((item, run))
+            filled += words * size
+    yield block
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, slop: int = 0, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -178,26 +187,36 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, slop: int = 0, segment_
     item (item_id, text) occurs: start and length in words, the item's id as a string, and whether it is an exact phrase or, with
     a slop, one with words up to so many places off.
 
-    Null texts have no words; rows without item_id are no queries; repeated rows each count. Other columns are ignored. Without items
+    Null texts have no words; the windows of rows without item_id are matches with a null item; repeated rows each count. Other columns are ignored. Without items
     every row has no matches; an empty table gives no rows. Items come in blocks of bounded size; for each, the texts are
     indexed for its terms and searched.
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found, blocks = [], _blocks(benchmark, block_words)
-    if len(blocks) > 1:
-        rows = stored(rows, "texts")  # each block must cut the same segments
-    for items in blocks:
+    items = next(blocks)
+    while items is not None:
+        following = next(blocks, None)
+        if following is not None and not found:
+            rows = stored(rows, "texts")  # each block must cut the same segments
         queries = windows(items)
         index = stored(in_batches(rows, _indexer(context.broadcast(queries[0]), segment_words), _SEGMENT), "postings")
-        found.append(in_batches(index, _searcher(context.broadcast(queries), slop), _MATCH))
+        matches = in_batches(index, _searcher(context.broadcast(queries), slop), _MATCH)
+        if following is not None or found:
+            # what a block has found is stored, and its index goes
+            part = stored(matches, "matches")
+            removed(index)
+            matches = part
+        found.append(matches)
+        items = following
     if len(found) == 1:
         return found[0].select("doc_id", "n_words", "matches")
     # segments are cut alike for every block, so a row is known by segment and place
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    whole = whole.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    # an item that is split over blocks has the windows of its overlaps once only
+    whole = whole.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
     return whole.select("doc_id", "n_words", "matches")
 
 
@@ -212,5 +231,5 @@ def hit_words(matches) -> Column:
 
 
 def item_ids(matches) -> Column:
-    """The distinct items of the matches, sorted as strings."""
+    """The distinct items of the matches, sorted as strings, a null one last."""
     return F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["item"])))
