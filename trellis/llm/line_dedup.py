@@ -170,7 +170,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool =
     """`docs` (doc_id, text, others) without the lines whose key at least `min_docs` documents have, and with n_lines and n_dropped.
 
     A key is the line stripped of `[\\x20\\x09-\\x0D]` with A-Z in lower case; lines with an empty key stay. With `keep_first`, the
-    occurrence in the first document by doc_id, nulls first, stays. Every row counts as a document, repeated rows too. A
+    occurrence in the first document by doc_id, nulls first, stays (in each of its rows, if the same row is there more than once). Every row counts as a document, repeated rows too. A
     null or empty text is one empty line. Kept lines keep their form. Other columns stay as they are, but ones
     named n_lines or n_dropped are replaced; an empty table gives no rows.
     """
