@@ -57,7 +57,7 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 #: A table of up to so many rows (a key and a few numbers each) is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, n_table: int, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
