@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .graph import Graph
-from .qa import INTENTS
+from .qa import INTENTS, ask_batch, understood
 
 # Question templates.
 TEMPLATES = {
@@ -74,18 +74,42 @@ def per_intent(results: DataFrame) -> DataFrame:
     return results.groupBy("intent").agg(F.count("*").alias("total"), _share(F.col("executable")).alias("executable_rate"), _share(answered).alias("coverage"), F.avg("f1").alias("avg_f1"), _share(F.col("exact_match")).alias("accuracy_at_1"))
 
 
+def run(graph: Graph, samples: DataFrame, top_k: int = 10) -> DataFrame:
+    """Results of evaluation samples (question_id, question, intent, gold_answers): every question understood from its text, answered, and measured.
+
+    A sample is executable if its question has a known intent and an entity. All questions share one plan, so none has a time of its own:
+    `latency_ms` is the samples' own where they have one, else 0.
+    """
+    latency = F.col("latency_ms") if "latency_ms" in samples.columns else F.lit(0).cast("long").alias("latency_ms")
+    asked = understood(graph, samples.select("question_id", "question"))
+    asked = ask_batch(graph, asked, top_k).withColumn("executable", (F.col("intent") != "unknown") & (F.col("entity") != ""))
+    rows = samples.select("question_id", "question", "intent", "gold_answers", latency).join(asked.select("question_id", "predicted", "executable"), "question_id")
+    return with_set_metrics(rows)
+
+
+#: Ranges that values are counted by before the exact percentiles are looked for within one of them.
+RANGES = 1024
+
+
 def latency_percentiles(results: DataFrame, column: str = "latency_ms") -> DataFrame:
     """One row (latency_p50, latency_p95): the values at index floor(n * q) of the ascending list, 0 without rows.
 
-    Values are counted first, so the running sum is over distinct latencies.
+    Values are counted by ranges first; only the values of the range that an index falls into are then counted one by one.
     """
-    from pyspark.sql import Window
-
-    counts = results.groupBy(column).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.select(column, upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    at = lambda q: F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("all") * q), F.col(column))), F.max(column), F.lit(0))
-    return rows.agg(at(0.5).alias("latency_p50"), at(0.95).alias("latency_p95"))
+    rows = results.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    ends = F.broadcast(rows.agg(F.min("v").alias("low"), F.max("v").alias("high")))
+    spread = F.col("high") - F.col("low")
+    place = F.when(spread > 0, F.least(F.floor((F.col("v") - F.col("low")) / spread * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0).cast("long"))
+    placed = rows.crossJoin(ends).select("v", place.alias("range"))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))  # at most RANGES rows
+    sizes = sizes.select("range", F.sum("n").over(Window.orderBy("range")).alias("upto"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("all") * q), F.col("all") - 1).alias("index")) for name, q in (("p50", 0.5), ("p95", 0.95)))))
+    hit = sizes.select("range", "before", "upto", asked.alias("a")).select("range", "before", "upto", "a.*").filter("before <= index and index < upto")
+    counts = placed.join(F.broadcast(hit.select("range", "before", "index", "name")), "range").groupBy("name", "before", "index", "v").agg(F.count("*").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("name").orderBy("v"))
+    found = counts.withColumn("upto", upto).filter("upto > index").groupBy("name").agg(F.min("v").alias("v"))
+    at = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("v"))), F.lit(0))
+    return found.agg(at("p50").alias("latency_p50"), at("p95").alias("latency_p95"))
 
 
 def failed(results: DataFrame) -> DataFrame:
@@ -96,15 +120,29 @@ def slowest(results: DataFrame, n: int = 10) -> DataFrame:
     return results.orderBy(F.desc("latency_ms"), "question").limit(n)
 
 
-def report(results: DataFrame, made_at: str) -> str:
-    """A Markdown report: overall and per-intent tables, the slowest ten and the first twenty failures. Only these few rows leave Spark."""
-    o, lat = overall(results).first(), latency_percentiles(results).first()
-    cut = lambda q: q[:30] + "..." if len(q) > 30 else q
-    lines = ["# Evaluation report", "", f"Made at {made_at}", "", "| metric | value |", "|---|---|", f"| samples | {o['total_samples']} |", f"| executable | {o['executable_rate']:.2%} |", f"| accuracy@1 | {o['accuracy_at_1']:.2%} |"]
-    lines += [f"| {n} | {o[c]:.4f} |" for n, c in (("precision", "avg_precision"), ("recall", "avg_recall"), ("F1", "avg_f1"))]
-    lines += [f"| coverage | {o['coverage']:.2%} |", f"| latency p50 | {lat[0]:.0f} ms |", f"| latency p95 | {lat[1]:.0f} ms |", "", "| intent | samples | executable | accuracy@1 | F1 | coverage |", "|---|---|---|---|---|---|"]
-    lines += [f"| {r['intent']} | {r['total']} | {r['executable_rate']:.2%} | {r['accuracy_at_1']:.2%} | {r['avg_f1']:.4f} | {r['coverage']:.2%} |" for r in per_intent(results).orderBy("intent").collect()]
-    lines += ["", "## Slowest", "", "| question | intent | ms |", "|---|---|---|", *(f"| {cut(r['question'])} | {r['intent']} | {r['latency_ms']} |" for r in slowest(results).collect())]
-    bad = failed(results)
-    lines += ["", f"## Failed: {bad.count()}", "", *(f"| {cut(r['question'])} | {r['intent']} | {'not executable' if not r['executable'] else 'no result'} |" for r in bad.orderBy("question").limit(20).collect())]
-    return "\n".join(lines)
+#: The report's tables: heading, and for each column its title, its metric and its format.
+OVERALL = [("samples", "total_samples", "d"), ("executable", "executable_rate", ".2%"), ("coverage", "coverage", ".2%"), ("accuracy@1", "accuracy_at_1", ".2%"),
+           ("precision", "avg_precision", ".4f"), ("recall", "avg_recall", ".4f"), ("F1", "avg_f1", ".4f"), ("latency p50, ms", "latency_p50", ".0f"), ("latency p95, ms", "latency_p95", ".0f")]
+PER_INTENT = [("intent", "intent", ""), ("samples", "total", "d"), ("executable", "executable_rate", ".2%"), ("coverage", "coverage", ".2%"), ("accuracy@1", "accuracy_at_1", ".2%"), ("F1", "avg_f1", ".4f")]
+SLOWEST = [("question", "question", ".40"), ("intent", "intent", ""), ("ms", "latency_ms", "d")]
+FAILED = [("question", "question", ".40"), ("intent", "intent", ""), ("why", "why", "")]
+
+
+def _markdown(rows: list, columns: list[tuple[str, str, str]]) -> str:
+    """A Markdown table of rows; a bar inside a value is escaped."""
+    cells = [[title for title, _, _ in columns], ["---"] * len(columns)]
+    cells += [[format(r[name], spec).replace("|", "\\|") for _, name, spec in columns] for r in rows]
+    return "\n".join("| " + " | ".join(row) + " |" for row in cells)
+
+
+def report(results: DataFrame, made_at: str, failures: int = 20) -> str:
+    """A Markdown report of overall metrics, intents, the slowest ten questions and the first `failures` failed ones. Only these few rows leave Spark."""
+    total = overall(results).crossJoin(latency_percentiles(results))
+    bad = failed(results).withColumn("why", F.when(F.col("executable"), "no result").otherwise("not executable")).orderBy("question")
+    parts = {
+        f"Evaluation of {made_at}": (total, OVERALL),
+        "By intent": (per_intent(results).orderBy("intent"), PER_INTENT),
+        "Slowest": (slowest(results), SLOWEST),
+        f"Failed: {failed(results).count()}": (bad.limit(failures), FAILED),
+    }
+    return "\n\n".join(f"## {heading}\n\n{_markdown(rows.collect(), columns)}" for heading, (rows, columns) in parts.items()) + "\n"

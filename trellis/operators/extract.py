@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import RAW_TRIPLE
+
 SPAN = "array<struct<text:string,start:int,end:int,label:string,score:double>>"
 RELATION = "array<struct<head:string,relation:string,tail:string,head_type:string,tail_type:string,confidence:double>>"
 DICTIONARY_SCORE, RULE_SCORE, LONGEST_TAIL = 0.85, 0.7, 20
@@ -60,60 +62,80 @@ def graph_dictionary(nodes: DataFrame) -> DataFrame:
     return nodes.filter("label is not null and name <> ''").select("label", "name").distinct()
 
 
+def _kept(spans: list, rank: dict[str, int]) -> list[tuple]:
+    """Spans from left to right, the longest first at one start, each that begins at or after the end of the last kept one."""
+    out: list[tuple] = []
+    for s in sorted(spans, key=lambda s: (s[1], s[1] - s[2], rank.get(s[3], 0), s[3])):
+        if not out or s[1] >= out[-1][2]:
+            out.append(s)
+    return out
+
+
+def _joined(spans: list) -> list[tuple]:
+    """Spans of one label at most one character apart, joined from left to right."""
+    out: list[tuple] = []
+    for s in sorted(spans, key=lambda s: s[1:3]):
+        last = out[-1] if out else None
+        if last and last[3] == s[3] and s[1] <= last[2] + 1:
+            out[-1] = (last[0] + s[0], last[1], s[2], last[3], (last[4] + s[4]) / 2)
+        else:
+            out.append(s)
+    return out
+
+
+def _folded(spans: Column, fold: Callable[[list], list]) -> Column:
+    @F.pandas_udf(SPAN)
+    def apply(x: pd.Series) -> pd.Series:
+        return x.map(lambda row: None if row is None else fold([(s["text"], s["start"], s["end"], s["label"], s["score"]) for s in row]))
+
+    return apply(spans)
+
+
 def dictionary_spans(text: Column, dictionary: dict[str, list[str]], score: float = DICTIONARY_SCORE) -> Column:
     """Spans of dictionary names in a text, the longest first per label, overlaps removed; a null text has none.
 
     A label's place in the dictionary breaks ties. Dictionaries are parameters of the plan; see `joined_spans` for large ones.
     """
     patterns = [(label, "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n)))) for label, names in dictionary.items() if names]
+    rank = {label: i for i, (label, _) in enumerate(patterns)}
 
     @F.pandas_udf(SPAN)
     def find(x: pd.Series) -> pd.Series:
         compiled = [(label, re.compile(p)) for label, p in patterns]
-        return x.map(lambda s: [(m[0], m.start(), m.end(), label, score) for label, p in compiled for m in p.finditer(s or "")])
+        return x.map(lambda s: _kept([(m[0], m.start(), m.end(), label, score) for label, p in compiled for m in p.finditer(s or "")], rank))
 
-    return remove_overlaps(find(text), [label for label, _ in patterns])
+    return find(text)
 
 
 def joined_spans(texts: DataFrame, dictionary: DataFrame, key: str = "text_id", score: float = DICTIONARY_SCORE) -> DataFrame:
-    """(key, spans) for `texts` (key, text) against a dictionary of any size (label, name): substrings of the names' lengths meet names by an equi-join."""
+    """(key, spans) for `texts` (key, text) against a dictionary of any size (label, name): substrings of the names' lengths meet names by an equi-join.
+
+    Only the substrings leave a text's row. Every place where a name stands counts; overlaps are then removed as in `dictionary_spans`.
+    """
     lengths = [r[0] for r in dictionary.select(F.length("name").alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return texts.select(key, F.array().cast(SPAN).alias("spans"))
-    starts = texts.select(key, "text", F.posexplode(F.split("text", "(?!^)")).alias("start", "c")).drop("c")
-    subs = starts.select(key, "start", F.explode(F.array(*map(F.lit, lengths))).alias("n"), "text").filter(F.col("start") + F.col("n") <= F.length("text"))
-    subs = subs.select(key, "start", F.expr("substring(text, start + 1, n)").alias("name"))
-    hits = subs.join(dictionary, "name").select(key, F.struct(F.col("name").alias("text"), "start", (F.col("start") + F.length("name")).alias("end"), "label", F.lit(score).alias("score")).alias("s"))
+    # one value of characters for all slices: a slice of the text itself would count its bytes from the start each time
+    at = lambda chars, n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice(chars, i, F.lit(n)), "").alias("name")))
+    none = F.array().cast("array<struct<start:int,name:string>>")
+    cut = lambda chars: F.flatten(F.array(*(F.when(F.size(chars) >= n, at(chars, n)).otherwise(none) for n in lengths)))
+    subs = texts.filter("text <> ''").select(key, F.explode(F.flatten(F.transform(F.array(F.split("text", "(?!^)")), cut))).alias("s")).select(key, "s.*")
+    hits = subs.join(dictionary.select("label", "name").distinct(), "name")
+    hits = hits.select(key, F.struct(F.col("name").alias("text"), "start", (F.col("start") + F.length("name")).alias("end"), "label", F.lit(score).alias("score")).alias("s"))
     found = hits.groupBy(key).agg(F.collect_list("s").alias("spans"))
     rows = texts.select(key).join(found, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     return rows.withColumn("spans", remove_overlaps(F.col("spans"), []))
 
 
 def remove_overlaps(spans: Column, labels: list[str]) -> Column:
-    """From left to right, the longest first at one start, each span that begins at or after the end of the last kept one."""
-    rank = lambda s: F.array_position(F.array(*map(F.lit, labels)), s["label"]) if labels else F.lit(0).cast("long")
-    order = lambda s: F.struct(
-        s["start"].alias("start"), (-(s["end"] - s["start"])).alias("size"), rank(s).alias("rank"), s["label"].alias("label"), s.alias("span")
-    )
-    sorted_ = F.transform(F.array_sort(F.transform(spans, order)), lambda o: o["span"])
-    none = F.struct(F.array().cast(SPAN).alias("kept"), F.lit(-1).alias("stop"))
-    step = lambda a, s: F.when(s["start"] >= a["stop"], F.struct(F.concat(a["kept"], F.array(s)).alias("kept"), s["end"].alias("stop"))).otherwise(a)
-    return F.aggregate(sorted_, none, step, lambda a: a["kept"])
+    """From left to right, the longest first at one start (then by a label's place in `labels`), each span that begins at or after the end of the last kept one."""
+    rank = {label: i for i, label in enumerate(labels)}
+    return _folded(spans, lambda s: _kept(s, rank))
 
 
 def merge_adjacent(spans: Column) -> Column:
     """Spans of one label at most one character apart, joined from left to right; the score is the running mean of two."""
-    sorted_ = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s.alias("span")))), lambda o: o["span"])
-
-    def step(a: Column, s: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        joined = F.struct(
-            F.concat(last["text"], s["text"]).alias("text"), last["start"].alias("start"), s["end"].alias("end"), last["label"].alias("label"), ((last["score"] + s["score"]) / 2).alias("score")
-        )
-        near = (F.size(a) > 0) & (last["label"] == s["label"]) & (s["start"] <= last["end"] + 1)
-        return F.when(near, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(s)))
-
-    return F.aggregate(sorted_, F.array().cast(SPAN), step)
+    return _folded(spans, _joined)
 
 
 def relations_in(text: str | None, patterns=RELATION_PATTERNS) -> list[tuple]:
@@ -147,17 +169,75 @@ def label_pairs(spans: Column) -> Column:
     return F.flatten(F.flatten(F.transform(F.array(spans), lambda all_: F.transform(all_, lambda a, i: F.transform(later(all_, a, i), lambda b: F.struct(a.alias("first"), b.alias("second")))))))
 
 
+def model_spans(model: Callable[[list[str]], list[list[dict]]], label: Callable[[Column], Column] | None = None, least: float = 0.5, fallback: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    """An extractor that asks a model for the spans (word, start, end, label, score) of a batch of texts.
+
+    Spans below `least` go, word-piece marks too, labels are mapped by `label`, and neighbours of one label are joined. Texts of a batch
+    that the model fails on get the `fallback`'s spans, or none; empty texts are not asked about.
+    """
+
+    @F.pandas_udf(SPAN)
+    def ask(x: pd.Series) -> pd.Series:
+        texts = [s for s in x if s]
+        try:
+            found = iter(model(texts) if texts else [])
+        except Exception:  # noqa: BLE001 - whatever a model raises, its texts go to the fallback
+            return pd.Series([None if s else [] for s in x], dtype=object)
+        rows = [next(found) if s else [] for s in x]
+        return pd.Series([[(e["word"].replace("##", ""), e["start"], e["end"], e["label"], float(e["score"])) for e in row if e["score"] >= least] for row in rows], dtype=object)
+
+    def extractor(text: Column) -> Column:
+        spans = ask(text)
+        if label is not None:
+            spans = F.transform(spans, lambda s: s.withField("label", label(s["label"])))
+        return F.coalesce(merge_adjacent(spans), fallback(text) if fallback is not None else F.array().cast(SPAN))
+
+    return extractor
+
+
 def with_spans(rows: DataFrame, extractor: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """`rows` with `spans`: what an extractor, a function from a text column to one of spans, finds."""
     return rows.withColumn("spans", extractor(F.col(text)))
 
 
+def model_triples(texts: DataFrame, ner: Callable[[Column], Column], model: Callable[[list[str]], list[tuple[str, float]]], names: dict[str, str], least: float = 0.5) -> DataFrame:
+    """Raw triples of `texts` (source, text) from a pairwise model: each pair of spans with different labels, the earlier first, is asked
+    about as `first[SEP]second[SEP]text`; answers (label, score) below `least` or without a relation in `names` go. A text without spans falls to the rules."""
+
+    @F.pandas_udf("label string, score double")
+    def ask(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(model(list(x)), columns=["label", "score"]) if len(x) else pd.DataFrame({"label": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
+
+    rows = with_spans(texts.select("source", "text"), ner)
+    pairs = rows.select("source", "text", F.posexplode(label_pairs(F.col("spans"))).alias("place", "p"))
+    asked = pairs.withColumn("a", ask(F.concat_ws("[SEP]", "p.first.text", "p.second.text", "text"))).withColumn("relation", map_relation(F.col("a.label"), names))
+    good = asked.filter((F.col("a.score") >= least) & F.col("relation").isNotNull())
+    found = good.select(
+        F.col("p.first.text").alias("head"), "relation", F.col("p.second.text").alias("tail"), F.col("p.first.label").alias("head_type"), F.col("p.second.label").alias("tail_type"),
+        F.col("a.score").alias("confidence"), "source", F.col("text").alias("evidence"), "place",
+    )
+    return found.unionByName(extracted_triples(rows.filter(F.size("spans") == 0).select("source", "text")))
+
+
 def extracted_triples(texts: DataFrame, extractor: Callable[[Column], Column] = rule_relations) -> DataFrame:
     """Raw triples of `texts` (source, text): one row per triple found, with its text as evidence."""
     rows = texts.select("source", "text", F.posexplode(extractor(F.col("text"))).alias("place", "t"))
     return rows.select("t.*", "source", F.col("text").alias("evidence"), "place")
 
 
+def appended(raw: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Raw triples (with seq) followed by extracted ones (with place): the columns of raw triples, and a `seq` that orders first the ones, then the others."""
+    columns = [f.name for f in RAW_TRIPLE]
+
+    def shaped(rows: DataFrame, *order: Column) -> DataFrame:
+        rows = rows.withColumns({c: F.lit(None).cast(RAW_TRIPLE[c].dataType) for c in columns if c not in rows.columns})
+        return rows.select(*(c if c != "confidence" else F.col(c).cast("double").alias(c) for c in columns), F.struct(*order).alias("seq"))
+
+    kind = raw.schema["seq"].dataType
+    first = shaped(raw, F.lit(0).alias("part"), F.col("seq").alias("own"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("place"))
+    return first.unionByName(shaped(extracted, F.lit(1).alias("part"), F.lit(None).cast(kind).alias("own"), F.col("source"), F.col("place").cast("int").alias("place")))
+
+
 def map_relation(raw: Column, names: dict[str, str]) -> Column:
     """A model's relation label as a relation: by name, itself if it is one already, else null."""
     table = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])

@@ -30,13 +30,15 @@ def fuse(
 ) -> DataFrame:
     """One row per (head, relation, tail): frequency, mean weight of its distinct sources, mean confidence, score, conflict flag, sources.
 
-    Triples may be summed up already, with `n` and the `total` of their confidences instead of a confidence.
+    Triples may be summed up already, with `n` and the `total` of their confidences instead of a confidence. `seq` orders the edges by
+    score, the best first; of equal scores the edge whose first triple (by its own seq, if there is one) came first, then by names.
     One shuffle by (head, relation, tail) for the aggregate and one by (head, relation) for the flag, both over aggregated rows.
     """
     if "n" not in triples.columns:
-        triples = triples.select("head", "relation", "tail", "source", F.lit(1).alias("n"), F.col("confidence").alias("total"))
+        triples = triples.withColumns({"n": F.lit(1), "total": F.col("confidence")})
+    first = F.min("seq") if "seq" in triples.columns else F.lit(None).cast("long")
     edges = triples.groupBy("head", "relation", "tail").agg(
-        F.sum("n").cast("int").alias("frequency"), (F.sum("total") / F.sum("n")).alias("confidence"), F.sort_array(F.collect_set("source")).alias("sources")
+        F.sum("n").cast("int").alias("frequency"), (F.sum("total") / F.sum("n")).alias("confidence"), F.sort_array(F.collect_set("source")).alias("sources"), first.alias("first")
     )
     total = F.aggregate(F.transform("sources", lambda s: source_weight(s, weights)), F.lit(0.0), lambda x, y: x + y)
     top = edges.agg(F.max("frequency").alias("max_frequency"))
@@ -45,4 +47,6 @@ def fuse(
     # each row is a distinct tail here, so a count of rows is one of tails
     several = F.count("*").over(Window.partitionBy("head", "relation")) > 1
     flag = several & ~F.upper("relation").isin(*allow_multi) if allow_multi else several
-    return edges.select("head", "relation", "tail", "frequency", "source_score", "confidence", F.round(raw, 4).alias("edge_score"), raw.alias("edge_score_raw"), flag.alias("conflict"), "sources")
+    score = F.round(raw, 4)
+    seq = F.struct((-score).alias("rank"), "first", "relation", "tail")
+    return edges.select("head", "relation", "tail", "frequency", "source_score", "confidence", score.alias("edge_score"), raw.alias("edge_score_raw"), flag.alias("conflict"), "sources", seq.alias("seq"))

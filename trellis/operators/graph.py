@@ -49,7 +49,7 @@ def property_rows(triples: DataFrame) -> DataFrame:
 
 def longest_properties(rows: DataFrame) -> DataFrame:
     """One row per (label, name, prop): the longest value; of equally long ones the first by seq."""
-    best = F.max_by("value", F.struct(F.length("value"), -F.col("seq")))
+    best = F.min_by("value", F.struct(-F.length("value"), F.col("seq")))
     return rows.groupBy("label", "name", "prop").agg(best.alias("value"))
 
 
@@ -76,7 +76,7 @@ class Graph:
         return Graph(self.nodes.limit(0), self.edges.limit(0))
 
     def upsert_triples(self, triples: DataFrame, aliases: DataFrame | None = None, now: str = "1970-01-01 00:00:00") -> Graph:
-        """Merge fused triples (with seq) into the graph at time `now`.
+        """Merge fused triples into the graph at time `now`, in the order of their `seq`, a number or a struct.
 
         Properties merge into nodes, the longest value staying. A node keeps the aliases it was created with. An edge
         takes all attributes of its last writer.
@@ -84,13 +84,14 @@ class Graph:
         stamp = F.lit(now).cast("timestamp")
         rels = label_inference(triples.filter(~is_property(F.col("relation")) & (F.col("head") != "") & (F.col("tail") != "")))
         new_props = longest_properties(property_rows(triples))
-        ends = rels.select(F.col("src_label").alias("label"), F.col("head").alias("name"), (F.col("seq") * 2).alias("seq")).union(rels.select("dst_label", "tail", F.col("seq") * 2 + 1))
+        ends = rels.select(F.col("src_label").alias("label"), F.col("head").alias("name"), F.struct(F.lit(1).alias("phase"), F.col("seq"), F.lit(0).alias("end")).alias("seq"))
+        ends = ends.union(rels.select("dst_label", "tail", F.struct(F.lit(1).alias("phase"), F.col("seq"), F.lit(1).alias("end"))))
         if aliases is not None:
             ends = ends.join(aliases.withColumnRenamed("canonical", "name"), "name", "left").withColumn("aliases", F.coalesce("aliases", F.array("name")))
         else:
             ends = ends.withColumn("aliases", F.array("name"))
         # properties are written before edges: a node that they create has no aliases
-        made = new_props.select("label", "name", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("array<string>").alias("aliases")).distinct()
+        made = new_props.select("label", "name", F.struct(F.lit(0).alias("phase"), F.lit(None).cast(rels.schema["seq"].dataType).alias("seq"), F.lit(0).alias("end")).alias("seq"), F.lit(None).cast("array<string>").alias("aliases")).distinct()
         made = first_writer(ends.select("label", "name", "seq", "aliases").union(made), ["label", "name"]).select("label", "name", F.col("aliases").alias("new_aliases"))
         old_props = self.nodes.select("label", "name", F.explode("props").alias("prop", "value")).withColumn("seq", F.lit(-1).cast("long"))
         # of equally long values the one that was there stays

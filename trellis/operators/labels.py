@@ -45,8 +45,23 @@ def span_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def split_rows(rows: DataFrame, key: str, valid_share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, valid): each row goes by a hash of its key and the seed. All rows train if the share is not between 0 and 1."""
-    if not 0 < valid_share < 1:
+    """(train, valid): floor(n * (1 - valid_share)) rows train, the others validate, by a hash of the key and the seed. All rows train if the
+    share is not between 0 and 1, or if a side would be empty.
+
+    Rows are counted by ranges of the hash; only the range that the border falls into is put in order.
+    """
+    n = rows.count() if 0 < valid_share < 1 else 0
+    train = int(n * (1.0 - valid_share)) if n >= 2 else 0
+    if not 0 < train < n:
         return rows, rows.limit(0)
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(valid_share * 1_000_000)
-    return rows.filter(~spot), rows.filter(spot)
+    spot = F.xxhash64(F.lit(seed), F.col(key))
+    placed = rows.withColumns({"spot_": spot, "range_": F.shiftrightunsigned(spot, 48)})
+    sizes = placed.groupBy("range_").agg(F.count("*").alias("size_"))  # at most 65,536 rows
+    sizes = sizes.select("range_", (F.sum("size_").over(Window.orderBy("range_")) - F.col("size_")).alias("before_"), "size_")
+    placed = placed.join(F.broadcast(sizes), "range_")
+    border = placed.filter(f"before_ < {train} and before_ + size_ > {train}")
+    order = Window.partitionBy("range_").orderBy("spot_", key, F.xxhash64(*rows.columns))
+    border = border.withColumn("valid_", F.col("before_") + F.row_number().over(order) > train)
+    clear = placed.filter(f"not (before_ < {train} and before_ + size_ > {train})").withColumn("valid_", F.col("before_") >= train)
+    split = clear.unionByName(border)
+    return split.filter("not valid_").select(*rows.columns), split.filter("valid_").select(*rows.columns)

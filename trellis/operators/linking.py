@@ -28,32 +28,58 @@ def duplicate_edges(names: DataFrame) -> DataFrame:
 
 
 def similar_edges(names: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """Pairs of distinct normalized names whose indel similarity is at least `threshold` (0-100].
+    """Pairs of distinct normalized names whose indel similarity is at least `threshold` (0-100]; all of them, candidates being verified exactly."""
+    base = names.select(normalize(F.col("name")).alias("name")).filter("name <> ''").distinct().withColumn("n", F.length("name"))
+    share = threshold / 100.0
+    pairs = _met_by_parts(base, share) if share > 0.67 else _met_by_characters(base, share)
+    return pairs.distinct().filter(similarity("src", "dst") >= threshold)
+
 
-    A name is taken as the set of its characters, each with its occurrence number. Two names of similarity t share at least t% of
-    half their total length, so each pair shares one of the rarest few of these elements of either name (prefix filter): names meet
-    by those only. Candidates of matching lengths are verified exactly.
+def _met_by_parts(base: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs for a similarity over two thirds.
+
+    Names of total length T differ in at most (1 - share) T inserted or deleted characters. The shorter name, of length l, is cut into one
+    part more than that number for its longest partner. A character changes one part at most, so one part stands whole in the longer name,
+    shifted by no more than the changes allow: names meet by (l, number of the part, its characters). At 90 parts have four characters or more.
     """
-    base = names.select(normalize(F.col("name")).alias("name")).filter("name <> ''").distinct().withColumn("n", F.length("name"))
+    whole = lambda x: F.floor(x + 1e-9).cast("int")  # noqa: E731 - products of decimal fractions fall just below whole numbers
+    longest = lambda n: whole(n * ((2 - share) / share))
+    parts = lambda n: whole((n + longest(n)) * (1 - share)) + 1
+    begin = lambda n, i, of: F.floor(i * n / of).cast("int")
+    short = base.withColumn("of", parts(F.col("n"))).select("name", F.col("n").alias("l"), "of", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"))
+    short = short.withColumns({"start": begin(F.col("l"), F.col("i"), F.col("of")), "stop": begin(F.col("l"), F.col("i") + 1, F.col("of"))})
+    short = short.select("l", "i", F.expr("substring(name, start + 1, stop - start)").alias("part"), F.col("name").alias("shorter"))
+    shortest = F.greatest(F.lit(1), F.ceil(F.col("n") * (share / (2 - share)) - 1e-9).cast("int"))
+    long = base.select("name", "n", F.explode(F.sequence(shortest, F.col("n"))).alias("l"))
+    long = long.withColumns({"of": parts(F.col("l")), "d": whole((F.col("l") + F.col("n")) * (1 - share))})
+    long = long.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"))
+    long = long.withColumns({"start": begin(F.col("l"), F.col("i"), F.col("of")), "stop": begin(F.col("l"), F.col("i") + 1, F.col("of"))})
+    more = F.col("n") - F.col("l")
+    low = F.greatest(F.lit(0), F.col("start") + F.ceil((more - F.col("d")) / 2).cast("int"))
+    high = F.least(F.col("n") - (F.col("stop") - F.col("start")), F.col("start") + F.floor((more + F.col("d")) / 2).cast("int"))
+    long = long.withColumns({"low": low, "high": high}).filter("low <= high").select("*", F.explode(F.sequence("low", "high")).alias("at"))
+    long = long.select("l", "i", F.expr("substring(name, at + 1, stop - start)").alias("part"), F.col("name").alias("longer")).distinct()
+    met = short.join(long, ["l", "i", "part"]).filter("shorter <> longer")
+    return met.select(F.least("shorter", "longer").alias("src"), F.greatest("shorter", "longer").alias("dst"))
+
+
+def _met_by_characters(base: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs for any similarity. A name is taken as the set of its characters, each with its occurrence number; names of that
+    similarity share one of the rarest few of these elements (prefix filter)."""
     chars = base.select("name", "n", F.posexplode(F.split("name", "(?!^)")).alias("at", "c"))
     chars = chars.withColumn("k", F.row_number().over(Window.partitionBy("name", "c").orderBy("at")))
     gram = F.concat_ws("\u0000", "c", "k")
     grams = chars.select("name", "n", gram.alias("gram"))
     rarity = grams.groupBy("gram").agg(F.count("*").alias("df"))
     # a pair may differ in k = total * (1 - t) characters; total <= n * (1 + t') for its longest partner
-    share = threshold / 100.0
-    longest = F.floor(F.col("n") * (2 - share) / share)
-    spare = F.floor((F.col("n") + longest) * (1 - share))
+    longest = F.floor(F.col("n") * ((2 - share) / share) + 1e-9)
+    spare = F.floor((F.col("n") + longest) * (1 - share) + 1e-9)
     ranked = grams.join(rarity, "gram").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("df", "gram")))
     keys = ranked.filter(F.col("r") <= spare + 1).select("name", "n", "gram")
-    # what two names have in common at most: their common elements, in any order
-    keys = keys.join(grams.groupBy("name").agg(F.collect_list("gram").alias("all")), "name")
     a, b = keys.alias("a"), keys.alias("b")
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") < F.col("b.name")))
-    pairs = pairs.filter(F.least("a.n", "b.n") * 2 >= share * (F.col("a.n") + F.col("b.n")))
-    pairs = pairs.filter(F.size(F.array_intersect("a.all", "b.all")) * 2 >= share * (F.col("a.n") + F.col("b.n")))
-    pairs = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).distinct()
-    return pairs.filter(similarity("src", "dst") >= threshold)
+    pairs = pairs.filter(F.least("a.n", "b.n") * 2 >= share * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    return pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
 
 
 def canonical_names(names: DataFrame, fuzzy: float | None = None) -> DataFrame:

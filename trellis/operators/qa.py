@@ -62,24 +62,29 @@ def named(name: Column, aliases: Column, entity: Column) -> Column:
     return F.lower(name).contains(e) | F.coalesce(F.exists(aliases, lambda a: F.lower(a) == e), F.lit(False))
 
 
-def _hops(edges: DataFrame, intent: str, active_only: bool) -> DataFrame:
-    """(key, key_label, answer, head, relation, score, source, conflict) of an intent's relation."""
-    relation, key_label, answer_label, backwards = INTENTS[intent]
-    rows = edges.filter(F.col("rel_type") == relation)
+def _hops(edges: DataFrame, intents: dict[str, tuple], active_only: bool) -> DataFrame:
+    """(intent, key_label, key, answer, relation, score, source, conflict) of the relations that intents ask for: one scan of the edges.
+
+    A relation that several intents ask for, from either end, gives a row for each.
+    """
+    table = [(name, relation, key, answer, back) for name, (relation, key, answer, back) in intents.items()]
+    kinds = edges.sparkSession.createDataFrame(table, "intent string, rel_type string, key_label string, answer_label string, back boolean")
+    rows = edges.filter(F.col("rel_type").isin(*sorted({v[0] for v in intents.values()})))
     if active_only:
         rows = rows.filter(F.coalesce("active", F.lit(True)))
-    key, answer = ("dst", "src") if backwards else ("src", "dst")
-    rows = rows.filter((F.col(f"{key}_label") == key_label) & (F.col(f"{answer}_label") == answer_label))
-    return rows.select(F.col(key).alias("key"), F.col(f"{key}_label").alias("key_label"), F.col(answer).alias("answer"), F.col("rel_type").alias("relation"), F.col("edge_score").alias("score"), "source", "conflict")
+    rows = rows.join(F.broadcast(kinds), "rel_type")
+    end = lambda forward, backward: F.when(F.col("back"), F.col(backward)).otherwise(F.col(forward))
+    rows = rows.filter((end("src_label", "dst_label") == F.col("key_label")) & (end("dst_label", "src_label") == F.col("answer_label")))
+    return rows.select("intent", "key_label", end("src", "dst").alias("key"), end("dst", "src").alias("answer"), F.col("rel_type").alias("relation"), F.col("edge_score").alias("score"), "source", "conflict")
 
 
-def answers(graph: Graph, intent: str, entity: str, top_k: int = 10, active_only: bool = False) -> DataFrame:
+def answers(graph: Graph, intent: str, entity: str, top_k: int = 10, active_only: bool = False, intents: dict[str, tuple] = INTENTS) -> DataFrame:
     """The top answers for one entity: exactly named ones first, then by score, unknown scores first, then by name."""
     if intent == "entity_definition":
         rows = graph.nodes.filter(named(F.col("name"), F.col("aliases"), F.lit(entity)))
         exact = F.when(F.lower("name") == entity.lower(), 0).otherwise(1)
         return rows.select(F.col("name").alias("answer"), "label", "aliases", exact.alias("match")).orderBy("match", F.length("answer"), "answer", "label").limit(1).drop("match")
-    hops = _hops(graph.edges, intent, active_only)
+    hops = _hops(graph.edges, {intent: intents[intent]}, active_only).drop("intent")
     nodes = graph.nodes.select(F.col("name").alias("key"), F.col("label").alias("key_label"), "aliases").filter(named(F.col("key"), F.col("aliases"), F.lit(entity)))
     rows = hops.join(nodes, ["key", "key_label"]).withColumn("match", F.when(F.lower("key") == entity.lower(), 0).otherwise(1))
     rows = rows.orderBy("match", F.desc_nulls_first("score"), "answer", "key").limit(top_k)
@@ -98,20 +103,20 @@ class Reply:
     edges: list[dict] = field(default_factory=list)
 
 
-def ask(graph: Graph, question: str, top_k: int = 10, active_only: bool = False) -> Reply:
+def ask(graph: Graph, question: str, top_k: int = 10, active_only: bool = False, intents: dict[str, tuple] = INTENTS) -> Reply:
     """Answer one question. The entity is resolved to the best node of its label, or taken as it stands."""
     spark = graph.nodes.sparkSession
     row = spark.range(1).select(intent_of(F.lit(question)).alias("i"), longest_token(F.lit(question)).alias("longest")).first()
     intent, entity = row["i"]["intent"], row["i"]["entity"] or row["longest"]
     if intent == "unknown" or not entity:
         return Reply(intent, entity)
-    best = graph.search(entity, INTENTS[intent][1] if intent in INTENTS else None, 1).first()
+    best = graph.search(entity, intents[intent][1] if intent in intents else None, 1).first()
     entity = best["name"] if best else entity
-    found = [r.asDict() for r in answers(graph, intent, entity, top_k, active_only).collect()]
+    found = [r.asDict() for r in answers(graph, intent, entity, top_k, active_only, intents).collect()]
     reply = Reply(intent, entity, found)
     seen: set[str] = set()
     for r in found:
-        head = entity if intent in INTENTS and INTENTS[intent][3] else r.get("key", entity)
+        head = entity if intent in intents and intents[intent][3] else r.get("key", entity)
         for name in (head, r["answer"]):
             if name not in seen:
                 seen.add(name)
@@ -123,17 +128,20 @@ def ask(graph: Graph, question: str, top_k: int = 10, active_only: bool = False)
 GRAM = 3
 
 
-def nodes_meant(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+def nodes_meant(entities: DataFrame, nodes: DataFrame, inside_aliases: bool = False) -> DataFrame:
     """(entity, key_label, key): for distinct `entities` (entity, key_label) the `nodes` (key, key_label, aliases) that `named` holds for.
 
-    An alias meets its entity by an equi-join. A name that contains an entity has all its grams of three characters (or fewer for shorter
+    With `inside_aliases` an alias may also contain the entity, as in a search. An alias meets its entity by an equi-join. A name that contains an entity has all its grams of three characters (or fewer for shorter
     entities): each entity looks for its rarest gram among the names' grams, and candidates are verified.
     """
     e = entities.filter("entity <> ''").select("entity", "key_label", F.lower("entity").alias("e"))
     by_alias = nodes.select("key", "key_label", F.explode("aliases").alias("alias")).select("key", "key_label", F.lower("alias").alias("e"))
     found = e.join(by_alias, ["key_label", "e"]).select("entity", "key_label", "key")
     grams = lambda text, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
-    names = nodes.select("key", "key_label", F.lower("key").alias("name")).distinct()
+    names = nodes.select("key", "key_label", F.lower("key").alias("name"))
+    if inside_aliases:
+        names = names.union(nodes.select("key", "key_label", F.explode("aliases").alias("alias")).select("key", "key_label", F.lower("alias")))
+    names = names.distinct()
     sized = F.flatten(F.array(*(F.when(F.length("name") >= n, grams(F.col("name"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1))))
     postings = names.select("key", "key_label", "name", F.explode(sized).alias("gram"))
     wanted = e.select("entity", "key_label", "e", F.explode(grams(F.col("e"), F.least(F.length("e"), F.lit(GRAM)))).alias("gram"))
@@ -143,23 +151,52 @@ def nodes_meant(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.union(within).distinct()
 
 
-def ask_batch(graph: Graph, questions: DataFrame, top_k: int = 10, active_only: bool = False) -> DataFrame:
+#: The label that stands for any, where an intent asks for a node of whatever kind.
+ANY = "*"
+
+
+def _keyed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes as (key, key_label, label, aliases), once under their own label and once under ANY, as far as `labels` (key_label) ask for either."""
+    rows = nodes.select(F.col("name").alias("key"), "label", "aliases", F.explode(F.array(F.col("label"), F.lit(ANY))).alias("key_label"))
+    return rows.join(F.broadcast(labels), "key_label", "left_semi")
+
+
+def _kinds(questions: DataFrame, intents: dict[str, tuple]) -> DataFrame:
+    table = [(k, v[1]) for k, v in intents.items()] + [("entity_definition", ANY)]
+    return F.broadcast(questions.sparkSession.createDataFrame(table, "intent string, key_label string"))
+
+
+def understood(graph: Graph, questions: DataFrame, intents: dict[str, tuple] = INTENTS) -> DataFrame:
+    """`questions` (question_id, question) with intent and entity: the name of the best node that a search finds, else the words asked for.
+
+    The best node has the words as its name, else the shortest name, then the first. Unknown questions keep an entity, but no node is looked for.
+    """
+    asked = questions.withColumn("i_", intent_of(F.col("question")))
+    words = F.when(F.col("i_.entity") != "", F.col("i_.entity")).otherwise(longest_token(F.col("question")))
+    asked = asked.withColumns({"intent": F.col("i_.intent"), "words_": words}).drop("i_")
+    wanted = asked.join(_kinds(questions, intents), "intent").select("intent", F.col("words_").alias("entity"), "key_label").distinct()
+    nodes = _keyed(graph.nodes, wanted.select("key_label").distinct())
+    found = nodes_meant(wanted.select("entity", "key_label").distinct(), nodes.select("key", "key_label", "aliases"), inside_aliases=True)
+    order = F.struct(F.when(F.lower("key") == F.lower("entity"), 0).otherwise(1), F.length("key"), F.col("key"))
+    best = found.groupBy("entity", "key_label").agg(F.min_by("key", order).alias("best"))
+    best = wanted.join(best, ["entity", "key_label"]).select("intent", F.col("entity").alias("words_"), "best")
+    return asked.join(best, ["intent", "words_"], "left").withColumn("entity", F.coalesce("best", "words_")).select(*questions.columns, "intent", "entity")
+
+
+def ask_batch(graph: Graph, questions: DataFrame, top_k: int = 10, active_only: bool = False, intents: dict[str, tuple] = INTENTS) -> DataFrame:
     """`questions` (question_id, intent, entity) with `predicted`: the ranked answers to all, in one plan.
 
-    Node names and aliases are matched once per distinct entity and label, by equi-joins; edges are joined by name.
+    Node names and aliases are matched once per distinct entity and label, by equi-joins; edges are read once and joined by name.
+    A definition is answered by the one node that is meant.
     """
-    wanted = questions.filter(F.col("intent").isin(*INTENTS)).select("question_id", "intent", "entity")
-    kinds = questions.sparkSession.createDataFrame([(k, v[1]) for k, v in INTENTS.items()], "intent string, key_label string")
-    wanted = wanted.join(F.broadcast(kinds), "intent")
+    wanted = questions.select("question_id", "intent", "entity").join(_kinds(questions, intents), "intent")
     distinct = wanted.select("entity", "key_label").distinct()
-    nodes = graph.nodes.select(F.col("name").alias("key"), F.col("label").alias("key_label"), "aliases")
-    meant = nodes_meant(distinct, nodes)
-    hops = None
-    for intent in INTENTS:
-        own = _hops(graph.edges, intent, active_only).withColumn("intent", F.lit(intent))
-        hops = own if hops is None else hops.unionByName(own)
-    rows = wanted.join(meant, ["entity", "key_label"]).join(hops, ["intent", "key_label", "key"])
-    order = [F.when(F.lower("key") == F.lower("entity"), 0).otherwise(1), F.desc_nulls_first("score"), F.col("answer"), F.col("key")]
+    nodes = _keyed(graph.nodes, distinct.select("key_label").distinct())
+    meant = wanted.join(nodes_meant(distinct, nodes.select("key", "key_label", "aliases")), ["entity", "key_label"])
+    exact = F.when(F.lower("key") == F.lower("entity"), 0).otherwise(1)
+    rows = meant.join(_hops(graph.edges, intents, active_only), ["intent", "key_label", "key"])
+    order = [exact, F.desc_nulls_first("score"), F.col("answer"), F.col("key")]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(F.col("rank") <= top_k)
     found = rows.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "answer"))), lambda r: r["answer"]).alias("predicted"))
-    return questions.join(found, "question_id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
+    defined = meant.filter("intent = 'entity_definition'").groupBy("question_id").agg(F.array(F.min_by("key", F.struct(exact, F.length("key"), F.col("key")))).alias("predicted"))
+    return questions.join(found.unionByName(defined), "question_id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +39,29 @@ class Rule:
         return graph.edges.sparkSession.sql(self.plan)
 
 
-def star(left: DataFrame, right: DataFrame, existing: DataFrame) -> DataFrame:
-    """(head, tail, via): right's target for left's target over a shared source, unless the pair is there already."""
+def star(left: DataFrame, right: DataFrame, existing: DataFrame, distinct: bool = False) -> DataFrame:
+    """(head, tail, via): right's target for left's target over a shared source, unless the pair is there already. With `distinct`, each (head, tail) once, without via."""
     rows = left.select(F.col("src").alias("via"), F.col("dst").alias("tail")).join(right.select(F.col("src").alias("via"), F.col("dst").alias("head")), "via")
-    return without(rows.select("head", "tail", "via"), existing)
+    return without(rows.select("head", "tail").distinct() if distinct else rows.select("head", "tail", "via"), existing)
+
+
+#: Sources of one target that one block of the co-occurrence join has, about.
+BLOCK = 1000
 
 
-def cooccurrence(pairs: DataFrame, least: int) -> DataFrame:
+def cooccurrence(pairs: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """(head, tail, evidence_count): sources that share targets, head < tail, at least `least` paths.
 
-    Targets with one source make no pair and go before the self join.
+    Targets with one source make no pair and go before the self join. The sources of a target are dealt into blocks of about `block`, and
+    each block meets every other and itself under a key of its own, so that no key of the join has more than block x block pairs.
     """
-    shared = pairs.join(pairs.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst"), "dst", "left_semi")
-    a, b = shared.select("dst", F.col("src").alias("head")), shared.select("dst", F.col("src").alias("tail"))
-    return a.join(b, "dst").filter("head < tail").groupBy("head", "tail").agg(F.count("*").alias("evidence_count")).filter(F.col("evidence_count") >= least)
+    sizes = pairs.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    shared = pairs.join(sizes, "dst").select("dst", "src", "blocks", F.pmod(F.hash("src"), F.col("blocks")).alias("own"))
+    a = shared.select("dst", F.col("src").alias("one"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    b = shared.select("dst", F.col("src").alias("other"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    met = a.join(b, ["dst", "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("one") != F.col("other")) | (F.col("i") == F.col("j")) & (F.col("one") < F.col("other")))
+    counts = met.groupBy(F.least("one", "other").alias("head"), F.greatest("one", "other").alias("tail")).agg(F.count("*").alias("evidence_count"))
+    return counts.filter(F.col("evidence_count") >= least)
 
 
 def chain(first: DataFrame, second: DataFrame, existing: DataFrame) -> DataFrame:
@@ -93,19 +103,29 @@ MEDICAL_RULES = [
 ]
 
 
-def run_rules(graph: Graph, rules: list[Rule] = MEDICAL_RULES, max_inferences: int = 1000, active_only: bool = False) -> DataFrame:
+def run_rules(
+    graph: Graph, rules: list[Rule] = MEDICAL_RULES, max_inferences: int = 1000, active_only: bool = False, failed: dict[str, Exception] | None = None
+) -> DataFrame:
     """All rules' inferences with rule_order, up to and with the rule that reaches `max_inferences`: rules are kept whole or not at all.
 
-    With `active_only`, edges of rolled-back changesets are not read.
+    With `active_only`, edges of rolled-back changesets are not read. Given a dict `failed`, a rule whose plan Spark rejects (a column that is not there,
+    SQL that cannot be read) is left out and named there, and the others run; without one it is an error.
     """
     if active_only:
         graph = Graph(graph.nodes, graph.edges.filter(F.coalesce("active", F.lit(True))))
     rows = None
     for order, rule in enumerate(rules):
-        own = rule.apply(graph).withColumn("rule_order", F.lit(order))
+        try:
+            own = rule.apply(graph).withColumn("rule_order", F.lit(order))
+            own.schema  # noqa: B018 - has the plan checked here, not at the first action
+        except PySparkException as error:
+            if failed is None:
+                raise
+            failed[rule.rule_id] = error
+            continue
         rows = own if rows is None else rows.unionByName(own)
     if rows is None:
-        raise ValueError("no rules")
+        rows = graph.edges.sparkSession.createDataFrame([], "head string, relation string, tail string, confidence double, via string, rule_id string, rule_order int")
     return capped(rows, max_inferences)
 
 

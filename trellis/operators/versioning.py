@@ -47,7 +47,7 @@ class VersionedGraph:
         """A new edge with the next revision, and an audit event, for every valid triple (head, relation, tail, confidence, source, seq).
 
         Ends are matched by name alone; a name under several labels gives several edges and events, an unknown one a node without label.
-        Relation names other than `[A-Z0-9_]+` are skipped. An unknown changeset writes nothing but nodes are left too.
+        Relation names other than `[A-Z0-9_]+` are skipped. Triples of an unknown changeset are ignored: no nodes, edges or events come of them.
         """
         stamp = F.lit(now).cast("timestamp")
         rows = triples.filter((F.col("head") != "") & (F.col("tail") != "") & F.col("relation").rlike("(?d)^[A-Z0-9_]+$"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
+from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
+from ..runtime import stored
 from ..schemas import EDGES, NODES
 from .stargraph import SQL, Star, pairs
 
@@ -35,7 +36,7 @@ def query(sql: str | None = None, families: bool = True):
 
 
 def _fused(s: Star) -> DataFrame:
-    return fusion.fuse(s.supplies(), allow_multi=["SUPPLIES"])
+    return fusion.fuse(s.supply_sums(), allow_multi=["SUPPLIES"])
 
 
 def _edges(s: Star) -> DataFrame:
@@ -145,25 +146,20 @@ def node_first_writer(s: Star) -> DataFrame:
 # --- questions
 
 
-def _register_intents() -> None:
-    """The star graph's own questions, beside the fixed ones."""
-    qa.INTENTS.setdefault("supplier_to_part", ("SUPPLIES", "Supplier", "Part", False))
-    qa.INTENTS.setdefault("part_to_supplier", ("SUPPLIES", "Part", "Supplier", True))
-
-
-_register_intents()
+#: The star graph's own questions.
+STAR_INTENTS = {"supplier_to_part": ("SUPPLIES", "Supplier", "Part", False), "part_to_supplier": ("SUPPLIES", "Part", "Supplier", True)}
 
 
 @query(f"""SELECT answer, score, key FROM (SELECT tail AS answer, round(score, 6) AS score, head AS key FROM scored WHERE contains(lower(head), lower('{SUPPLIER}')))
     ORDER BY score DESC NULLS FIRST, answer, key LIMIT 10""")
 def qa_topk(s: Star) -> DataFrame:
-    return qa.answers(_graph(s), "supplier_to_part", SUPPLIER, 10).select("answer", "score", "key")
+    return qa.answers(_graph(s), "supplier_to_part", SUPPLIER, 10, intents=STAR_INTENTS).select("answer", "score", "key")
 
 
 @query(f"""SELECT answer, score, key FROM (SELECT head AS answer, round(score, 6) AS score, tail AS key FROM scored WHERE contains(lower(tail), '{PART_WORDS}'))
     ORDER BY score DESC NULLS FIRST, answer, key LIMIT 10""")
 def qa_topk_reverse(s: Star) -> DataFrame:
-    return qa.answers(_graph(s), "part_to_supplier", PART_WORDS, 10).select("answer", "score", "key")
+    return qa.answers(_graph(s), "part_to_supplier", PART_WORDS, 10, intents=STAR_INTENTS).select("answer", "score", "key")
 
 
 @query("""SELECT name, label, match_type, name_len FROM (SELECT name, label, CASE WHEN lower(name) = 'brand#1' THEN 0 ELSE 1 END AS match_type, length(name) AS name_len FROM (
@@ -177,7 +173,7 @@ def entity_search(s: Star) -> DataFrame:
     SELECT head, tail, row_number() OVER (PARTITION BY head ORDER BY round(score, 6) DESC NULLS FIRST, tail) AS r FROM scored) WHERE r <= 3 GROUP BY head""")
 def ask_batch_topk(s: Star) -> DataFrame:
     questions = s.table("supplier").select(F.col("s_name").alias("question_id"), F.lit("supplier_to_part").alias("intent"), F.col("s_name").alias("entity"))
-    return qa.ask_batch(_graph(s), questions, 3).filter(F.size("predicted") > 0).select("entity", F.array_join("predicted", "|").alias("predicted"))
+    return qa.ask_batch(_graph(s), questions, 3, intents=STAR_INTENTS).filter(F.size("predicted") > 0).select("entity", F.array_join("predicted", "|").alias("predicted"))
 
 
 @query(f"""SELECT name AS answer, 'Part' AS label FROM (SELECT p_name || '#' || p_partkey AS name FROM part) WHERE contains(lower(name), '{PART_WORDS}') ORDER BY length(name), name LIMIT 1""", families=False)
@@ -203,10 +199,10 @@ def drawable_edges(s: Star) -> DataFrame:
     return rows.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.col("edge_score").alias("score"))
 
 
-@query("""WITH both AS (SELECT c_name AS head, 'LIVES' AS relation, n_name AS tail, c_custkey AS seq FROM customer JOIN nation ON c_nationkey = n_nationkey
+@query("""WITH given AS (SELECT c_name AS head, 'LIVES' AS relation, n_name AS tail, c_custkey AS seq FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION ALL SELECT c_name, 'TREATS', c_mktsegment, c_custkey + 1000000 FROM customer UNION ALL SELECT c_name, 'VISITS', n_name, c_custkey + 2000000 FROM customer JOIN nation ON c_nationkey = n_nationkey)
     SELECT CASE relation WHEN 'TREATS' THEN 'Drug' ELSE 'Entity' END AS src_label, head AS src, CASE relation WHEN 'TREATS' THEN 'TREATS' ELSE 'RELATED_TO' END AS rel_type,
-      tail AS dst, lower(relation) AS source FROM both WHERE relation <> 'LIVES'""".replace("both", "given"), families=False)
+      tail AS dst, lower(relation) AS source FROM given WHERE relation <> 'LIVES'""", families=False)
 def graph_upsert(s: Star) -> DataFrame:
     """Edges after two loads of the same triples: relations without a type of their own share one edge, and its last writer wins."""
     customer = s.table("customer").join(s.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -233,7 +229,7 @@ def _located(s: Star, relation: str) -> DataFrame:
 def rule_star_anti(s: Star) -> DataFrame:
     """A nation consumes a part that its customers ordered, unless a supplier of the nation has it."""
     existing = _located(s, "BASED_IN").withColumnRenamed("src", "via").join(pairs(s.supplies()).withColumnRenamed("src", "via").withColumnRenamed("dst", "part"), "via").select(F.col("dst").alias("src"), F.col("part").alias("dst")).distinct()
-    return rules.star(pairs(s.ordered()), _located(s, "LOCATED_IN"), existing).select("head", "tail").distinct()
+    return rules.star(pairs(s.ordered()), _located(s, "LOCATED_IN"), existing, distinct=True)
 
 
 _RELATED = f"""related AS (SELECT a.head AS head, b.head AS tail, count(*) AS evidence_count FROM (SELECT DISTINCT head, tail FROM ordered) a
@@ -272,6 +268,7 @@ def _inferred(s: Star) -> DataFrame:
     UNION (SELECT head AS answer, evidence_count / 100.0 AS score FROM related, center WHERE tail = name ORDER BY score DESC, answer LIMIT 5))""")
 def inferred_topk_union(s: Star) -> DataFrame:
     rows = _inferred(s).select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.lit("INFERRED").alias("rel_type"), F.lit("RELATED").alias("relation_type"), (F.col("evidence_count") / 100).alias("confidence"), F.lit("r2").alias("rule_id"), F.lit(None).cast("string").alias("via"))
+    rows = stored(rows, "inferred")  # read three times: for the entity, and for its edges either way
     name = rows.agg(F.min("src")).first()[0] or ""
     return rules.inferred_for(graph.Graph(rows, rows), name, 5).select("answer", "score")
 
@@ -410,15 +407,12 @@ def unpivot_properties(s: Star) -> DataFrame:
     return convert.wide_triples(rows).select("head", "relation", "tail")
 
 
-@query("SELECT DISTINCT s_name AS head, 'COMMON_DRUG' AS relation, unnest(string_split('x' || s_nationkey || ' y  z' || s_suppkey % 2, ' ')) AS tail FROM supplier QUALIFY tail <> ''", families=False)
+@query("SELECT head, 'COMMON_DRUG' AS relation, tail FROM (SELECT s_name AS head, unnest(['x' || s_nationkey, 'y', 'z' || s_suppkey % 2]) AS tail FROM supplier)", families=False)
 def explode_multivalue(s: Star) -> DataFrame:
     rows = s.table("supplier").select(F.col("s_name").alias("entity"), F.lit(" 常用药品 ").alias("predicate"), F.concat(F.lit("x"), "s_nationkey", F.lit(" y \t z"), F.col("s_suppkey") % 2).alias("value"), F.col("s_suppkey").alias("seq"))
     return convert.eav_triples(rows).select("head", "relation", "tail")
 
 
-ORACLE["explode_multivalue"] = "SELECT head, 'COMMON_DRUG' AS relation, tail FROM (SELECT s_name AS head, unnest(['x' || s_nationkey, 'y', 'z' || s_suppkey % 2]) AS tail FROM supplier)"
-
-
 @query("SELECT p_partkey, p_name AS name, CASE WHEN p_size % 4 = 0 THEN 'Disease' ELSE 'Entity' END AS type FROM part", families=False)
 def typed_name_parse(s: Star) -> DataFrame:
     kind = F.when(F.col("p_size") % 4 == 0, "[疾病]").when(F.col("p_size") % 4 == 1, "[?]").otherwise("")
@@ -426,9 +420,6 @@ def typed_name_parse(s: Star) -> DataFrame:
     return rows.select("p_partkey", "t.name", "t.type")
 
 
-_BRACKETED = "p_name || ' (' || p_brand || ')（' || p_type || '）'"
-
-
 @query("SELECT p_partkey, lower(p_name) AS name, lower(p_brand) || '|' || lower(p_type) AS aliases FROM part", families=False)
 def alias_brackets(s: Star) -> DataFrame:
     name = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")（"), "p_type", F.lit("）"))
@@ -463,18 +454,71 @@ def bio_islands(s: Star) -> DataFrame:
     return labels.bio_spans(rows)
 
 
-@query()
+#: Two labels' names. No end of a name begins another of its label, so SQL's one scan, the longest name first, finds the same spans.
+DICTIONARY = {"Article": ["the", "la", "der"], "Join": ["and", "und", "y", "the th"]}
+_WORDS = "the th|the|der|and|und|la|y"
+_SPANS_SQL = f"""SELECT doc_id, CAST(len(found) AS INTEGER) AS n, array_to_string(found, '|') AS names, length(text) - length(rest[-1]) AS last_end FROM (
+    SELECT doc_id, text, regexp_extract_all(text, '{_WORDS}') AS found, string_split_regex(text, '{_WORDS}') AS rest FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    end = F.coalesce(F.get("spans", F.size("spans") - 1)["end"], F.lit(0)).cast("long")
+    return rows.select("doc_id", F.size("spans").alias("n"), F.array_join(F.transform("spans", lambda x: x["text"]), "|").alias("names"), end.alias("last_end"))
+
+
+@query(_SPANS_SQL, families=False)
 def dictionary_ner(s: Star) -> DataFrame:
-    words = {"Article": ["the", "la", "der", "el"], "Join": ["and", "et", "und", "y", "the th"]}
-    return s.table("documents").select("doc_id", extract.dictionary_spans(F.col("text"), words).alias("spans")).select("doc_id", F.size("spans").alias("n"), F.to_json("spans").alias("spans"))
+    return _spans(s.table("documents").select("doc_id", extract.dictionary_spans(F.col("text"), DICTIONARY).alias("spans")))
 
 
-@query()
+@query(_SPANS_SQL, families=False)
 def dictionary_join(s: Star) -> DataFrame:
     """The same search for a dictionary of any size, by a join."""
-    words = s.spark.createDataFrame([("Article", w) for w in ("the", "der", "el")] + [("Join", w) for w in ("and", "und", "the th")], "label string, name string")
-    titles = s.table("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return extract.joined_spans(titles, words).select("text_id", F.size("spans").alias("n"))
+    words = s.spark.createDataFrame([(label, w) for label, names in DICTIONARY.items() for w in names], "label string, name string")
+    return _spans(extract.joined_spans(s.table("documents").select("doc_id", "text"), words, "doc_id"))
+
+
+_LINE_SPANS = """spans AS (SELECT l_orderkey AS key, l_partkey % 30 AS start, l_partkey % 30 + 1 + CAST(l_quantity AS BIGINT) % 8 AS stop, l_returnflag AS label,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 30, -(CAST(l_quantity AS BIGINT) % 8), l_returnflag, l_linenumber) AS i FROM lineitem)"""
+
+
+def _line_spans(s: Star) -> DataFrame:
+    """Orders as texts: each line a span of its part's place and its quantity's length, labelled by its flag."""
+    start = (F.col("l_partkey") % 30).cast("int")
+    stop = start + 1 + (F.col("l_quantity").cast("int") % 8)
+    span = F.struct(F.col("l_returnflag").alias("text"), start.alias("start"), stop.alias("end"), F.col("l_returnflag").alias("label"), (start / 32).alias("score"))
+    return s.table("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(span).alias("spans"))
+
+
+@query(f"""WITH RECURSIVE {_LINE_SPANS}, kept AS (SELECT key, start, stop, label, i FROM spans WHERE i = 1
+      UNION ALL SELECT * FROM (SELECT DISTINCT ON (s.key) s.key, s.start, s.stop, s.label, s.i FROM kept k JOIN spans s ON s.key = k.key AND s.i > k.i AND s.start >= k.stop ORDER BY s.key, s.i))
+    SELECT key, start, stop, label FROM kept""", families=False)
+def overlap_removal(s: Star) -> DataFrame:
+    rows = _line_spans(s).select("key", F.explode(extract.remove_overlaps(F.col("spans"), [])).alias("s"))
+    return rows.select("key", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), "s.label")
+
+
+@query("""WITH RECURSIVE spans AS (SELECT l_orderkey AS key, l_partkey % 30 AS start, l_partkey % 30 + 1 + CAST(l_quantity AS BIGINT) % 8 AS stop, l_returnflag AS label, (l_partkey % 30) / 32 AS score,
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 30, CAST(l_quantity AS BIGINT) % 8, l_returnflag, l_linenumber) AS i FROM lineitem),
+    fold AS (SELECT key, i, label AS text, start, stop, label, score, 1 AS part FROM spans WHERE i = 1
+      UNION ALL SELECT s.key, s.i, CASE WHEN near THEN f.text || s.label ELSE s.label END, CASE WHEN near THEN f.start ELSE s.start END, s.stop, s.label, CASE WHEN near THEN (f.score + s.score) / 2 ELSE s.score END,
+        CASE WHEN near THEN part ELSE part + 1 END FROM (SELECT f.*, s.label = f.label AND s.start <= f.stop + 1 AS near FROM fold f JOIN spans s ON s.key = f.key AND s.i = f.i + 1) f JOIN spans s ON s.key = f.key AND s.i = f.i + 1)
+    SELECT key, text, start, stop, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key, part ORDER BY i DESC) AS r FROM fold) WHERE r = 1""", families=False)
+def adjacent_merge(s: Star) -> DataFrame:
+    order = F.array_sort("spans", lambda a, b: F.when((a["start"] == b["start"]) & (a["end"] == b["end"]), F.when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)).when((a["start"] < b["start"]) | (a["start"] == b["start"]) & (a["end"] < b["end"]), -1).otherwise(1))
+    rows = _line_spans(s).select("key", order.alias("spans")).select("key", F.explode(extract.merge_adjacent(F.col("spans"))).alias("s"))
+    return rows.select("key", "s.text", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("stop"), F.round("s.score", 6).alias("score"))
+
+
+@query("""WITH gold AS (SELECT DISTINCT l_orderkey, l_partkey % 30 AS a, l_returnflag AS t FROM lineitem), found AS (SELECT DISTINCT l_orderkey, l_partkey % 30 AS a, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS t FROM lineitem WHERE l_linenumber < 5),
+    n AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM found) AS p, (SELECT count(*) FROM gold JOIN found USING (l_orderkey, a, t)) AS c)
+    SELECT round(c / p, 6) AS "precision", round(c / g, 6) AS recall, round(2.0 * c / (p + g), 6) AS f1 FROM n""", families=False)
+def span_metrics(s: Star) -> DataFrame:
+    at = (F.col("l_partkey") % 30).cast("int")
+    lines = s.table("lineitem").select(F.col("l_orderkey").alias("key"), at.alias("start"), at.alias("end"), "l_returnflag", "l_linestatus", "l_linenumber")
+    gold = lines.select("key", "start", "end", F.col("l_returnflag").alias("type"))
+    found = lines.filter("l_linenumber < 5").select("key", "start", "end", F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("type"))
+    return labels.span_scores(gold, found).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query()
@@ -483,7 +527,18 @@ def span_merge(s: Star) -> DataFrame:
     return rows.select("doc_id", F.size("spans").alias("n"), F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["score"]), 6).alias("score"))
 
 
-@query()
+def _pattern_sql(i: int, pattern: str, relation: str, head_type: str, tail_type: str) -> str:
+    """What one pattern finds: heads and tails are the first and the second group, a third one counting instead of the second."""
+    groups = pattern.replace("(?:", "").count("(")
+    return f"""SELECT source, {i} AS p, unnest(range(len(heads))) AS m, unnest(heads) AS head, unnest(tails) AS tail, '{relation}' AS relation, '{head_type}' AS head_type, '{tail_type}' AS tail_type
+      FROM (SELECT source, regexp_extract_all(text, '{pattern}', 1) AS heads, regexp_extract_all(text, '{pattern}', {groups}) AS tails FROM texts)"""
+
+
+@query("""WITH texts AS (SELECT c_name AS source, '糖尿病的症状有' || c_name || '、' || c_mktsegment || '。' AS text FROM customer),
+    found AS (""" + " UNION ALL ".join(_pattern_sql(i, *p) for i, p in enumerate(extract.RELATION_PATTERNS)) + f"""),
+    items AS (SELECT source, p, m, trim(head) AS head, relation, head_type, tail_type, unnest(string_split_regex(trim(tail), '[,，、;；]')) AS item, generate_subscripts(string_split_regex(trim(tail), '[,，、;；]'), 1) AS i FROM found),
+    good AS (SELECT *, trim(item) AS tail, row_number() OVER (PARTITION BY source, head, relation, trim(item) ORDER BY p, m, i) AS r FROM items WHERE trim(item) <> '' AND length(trim(item)) <= {extract.LONGEST_TAIL})
+    SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY p, m, i) - 1 AS INTEGER) AS place, head, relation, tail, head_type, tail_type, {extract.RULE_SCORE}::DOUBLE AS confidence FROM good WHERE r = 1""", families=False)
 def rule_relations(s: Star) -> DataFrame:
     texts = s.table("customer").select(F.col("c_name").alias("source"), F.concat(F.lit("糖尿病的症状有"), "c_name", F.lit("、"), "c_mktsegment", F.lit("。")).alias("text"))
     return extract.extracted_triples(texts).select("source", "place", "head", "relation", "tail", "head_type", "tail_type", "confidence")
@@ -499,10 +554,18 @@ def sample_entities(s: Star) -> DataFrame:
     return evaluate.sample_names(s.table("customer").select(F.col("c_name").alias("name")), 50)
 
 
-@query()
+_FRAMES = [("哪些疾病会出现{}的症状？", "symptom_to_disease"), ("{}有哪些症状？", "disease_to_symptom"), ("{}吃什么药？", "disease_to_drug"), ("{}需要做哪些检查？", "disease_to_exam"), ("介绍一下{}", "entity_definition"), ("hello {}", "unknown")]
+
+
+def _framed(name: Column, number: Column, frames: list[str]) -> Column:
+    return F.replace(F.get(F.array(*map(F.lit, frames)), (number % len(frames)).cast("int")), F.lit("{}"), name)
+
+
+@query(f"""SELECT c_custkey, intent, CASE WHEN intent = 'unknown' THEN '' ELSE c_name END AS entity, list_filter(words, lambda w: length(w) = list_max(list_transform(words, lambda x: length(x))))[1] AS longest FROM (
+    SELECT c_custkey, c_name, [{", ".join(repr(i) for _, i in _FRAMES)}][c_custkey % {len(_FRAMES)} + 1] AS intent,
+      regexp_extract_all(replace([{", ".join(repr(f) for f, _ in _FRAMES)}][c_custkey % {len(_FRAMES)} + 1], '{{}}', c_name), '[一-龥a-zA-Z0-9]+') AS words FROM customer)""", families=False)
 def intent_patterns(s: Star) -> DataFrame:
-    frames = ["哪些疾病会出现{}的症状？", "{}有哪些症状？", "{}吃什么药？", "{}需要做哪些检查？", "介绍一下{}", "hello {}"]
-    question = F.replace(F.get(F.array(*map(F.lit, frames)), (F.col("c_custkey") % len(frames)).cast("int")), F.lit("{}"), F.col("c_name"))
+    question = _framed(F.col("c_name"), F.col("c_custkey"), [f for f, _ in _FRAMES])
     return s.table("customer").select("c_custkey", qa.intent_of(question).alias("i"), qa.longest_token(question).alias("longest")).select("c_custkey", "i.intent", "i.entity", "longest")
 
 
@@ -513,6 +576,118 @@ def chain_components(s: Star) -> DataFrame:
     return components.connected_components(keys.select(F.col("c_custkey").alias("src"), F.greatest(F.col("c_custkey") - 97, F.col("c_custkey") % 97).alias("dst")))
 
 
+# --- whole chains
+
+_RECORDS = """orders_of AS (SELECT 'acct' || c_custkey AS head, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'treats' WHEN '2' THEN 'visits' ELSE 'likes' END AS relation, 'status ' || lower(o_orderstatus) AS tail, o_orderkey
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+    summed AS (SELECT head, relation, tail, count(*) AS frequency, min(o_orderkey) AS first FROM orders_of GROUP BY ALL),
+    flagged AS (SELECT *, relation <> 'treats' AND count(*) OVER (PARTITION BY head, relation) > 1 AS conflict FROM summed)"""
+
+
+def _records(s: Star) -> DataFrame:
+    """Raw triples of customers: each is named in full with its account in brackets once, and by its name alone elsewhere; half of them have two descriptions."""
+    customer = s.table("customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    triple = lambda df, head, relation, tail, source, seq: df.select(head.alias("head"), relation.alias("relation"), tail.alias("tail"), F.lit(source).alias("source"), F.lit(1.0).alias("confidence"), seq.alias("seq"))
+    full = F.concat("c_name", F.lit(" (Acct"), "c_custkey", F.lit(")"))
+    rows = triple(customer, full, F.lit("HAS_SYMPTOM"), F.col("c_mktsegment"), "crm", F.col("c_custkey"))
+    texts = F.array(F.concat("c_mktsegment", F.lit(" customer")), F.concat(F.lit("Segment "), "c_mktsegment", F.lit(" of "), "c_nationkey"))
+    described = customer.filter("c_custkey % 2 = 0").select("*", F.posexplode(texts).alias("i", "text"))
+    rows = rows.union(triple(described, F.col("c_name"), F.lit("PROP_DESC"), F.col("text"), "crm", F.col("c_custkey") * 2 + F.col("i") + 10**12))
+    first = F.substring("o_orderpriority", 1, 1)
+    relation = F.when(first == "1", "treats").when(first == "2", "visits").otherwise("likes")
+    orders = s.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.union(triple(orders, F.col("c_name"), relation, F.concat(F.lit("Status "), "o_orderstatus"), "orders", F.col("o_orderkey") + 2 * 10**12))
+
+
+@query(f"""WITH {_RECORDS}, related AS (SELECT *, row_number() OVER (PARTITION BY head, tail ORDER BY frequency, first DESC) AS r FROM flagged WHERE relation <> 'treats')
+    SELECT 'Disease' AS src_label, lower(c_name) || ' (acct' || c_custkey || ')' AS src, 'HAS_SYMPTOM' AS rel_type, 'Symptom' AS dst_label, lower(c_mktsegment) AS dst, 'crm' AS source, CAST(1 AS INTEGER) AS frequency, false AS conflict FROM customer
+    UNION ALL SELECT 'Drug', head, 'TREATS', 'Disease', tail, 'orders', CAST(frequency AS INTEGER), conflict FROM flagged WHERE relation = 'treats'
+    UNION ALL SELECT 'Entity', head, 'RELATED_TO', 'Entity', tail, 'orders', CAST(frequency AS INTEGER), conflict FROM related WHERE r = 1""", families=False)
+def graph_build_edges(s: Star) -> DataFrame:
+    """Edges of a build: relations without a label of their own share an edge, which the lowest score keeps."""
+    return build.build(_records(s)).graph.edges.select("src_label", "src", "rel_type", "dst_label", "dst", "source", "frequency", "conflict")
+
+
+@query(f"""WITH {_RECORDS}, half AS (SELECT 'acct' || c_custkey AS name, lower('Segment ' || c_mktsegment || ' of ' || c_nationkey) AS description FROM customer WHERE c_custkey % 2 = 0),
+    both_names AS (SELECT 'acct' || c_custkey AS name, 'acct' || c_custkey || '|' || lower(c_name) AS aliases FROM customer)
+    SELECT 'Disease' AS label, lower(c_name) || ' (acct' || c_custkey || ')' AS name, lower(c_name) || ' (acct' || c_custkey || ')' AS aliases, NULL AS description FROM customer
+    UNION ALL SELECT DISTINCT 'Symptom', lower(c_mktsegment), lower(c_mktsegment), NULL FROM customer
+    UNION ALL SELECT 'Drug', name, aliases, NULL FROM both_names WHERE name IN (SELECT head FROM flagged WHERE relation = 'treats')
+    UNION ALL SELECT DISTINCT 'Disease', tail, tail, NULL FROM flagged WHERE relation = 'treats'
+    UNION ALL SELECT 'Entity', name, NULL, description FROM half
+    UNION ALL SELECT 'Entity', name, aliases, NULL FROM both_names WHERE name IN (SELECT head FROM flagged WHERE relation <> 'treats') AND name NOT IN (SELECT name FROM half)
+    UNION ALL SELECT DISTINCT 'Entity', tail, tail, NULL FROM flagged WHERE relation <> 'treats'""", families=False)
+def graph_build_nodes(s: Star) -> DataFrame:
+    """Nodes of a build: names with their aliases, none for nodes that a property made; the longest description."""
+    return build.build(_records(s)).graph.nodes.select("label", "name", F.array_join("aliases", "|").alias("aliases"), F.element_at("props", F.lit("desc")).alias("description"))
+
+
+@query("""WITH ends AS (SELECT n_name AS name, 'Nation' AS label FROM nation UNION ALL SELECT n_name, 'Place' FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT 'Customer' AS src_label, c_name AS src, label AS dst_label, n_name AS dst, CASE WHEN c_custkey % 3 = 0 THEN 0.4 ELSE 0.6 END AS confidence, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS rule_id
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN ends ON n_name = name""", families=False)
+def prediction_write(s: Star) -> DataFrame:
+    """Inferred edges matched to nodes by name: the last rule wins, earlier predictions are replaced, a name under two labels has two edges."""
+    nation = s.table("nation")
+    customer = s.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = nation.select(F.lit("Nation").alias("label"), F.col("n_name").alias("name")).union(nation.filter("n_nationkey % 2 = 0").select(F.lit("Place"), "n_name")).union(customer.select(F.lit("Customer"), "c_name"))
+    found = lambda rows, rule, order, confidence: rows.select(F.col("c_name").alias("head"), F.lit("LIVES").alias("relation"), F.col("n_name").alias("tail"), F.lit(confidence).alias("confidence"), F.lit(rule).alias("rule_id"), F.lit(rule).alias("via"), F.lit(order).alias("rule_order"))
+    empty = graph.Graph(nodes, s.spark.createDataFrame([], EDGES))
+    before = rules.write_predictions(empty, found(customer.filter("c_custkey % 5 = 0"), "old", 0, 0.1))
+    after = rules.write_predictions(before, found(customer, "first", 0, 0.6).union(found(customer.filter("c_custkey % 3 = 0"), "second", 1, 0.4)))
+    return after.edges.select("src_label", "src", "dst_label", "dst", "confidence", "rule_id")
+
+
+@query("SELECT DISTINCT c_mktsegment AS head, 'Disease' AS head_type, 'HAS_SYMPTOM' AS relation, c_name AS tail, 'Symptom' AS tail_type FROM customer", families=False)
+def reversed_relation(s: Star) -> DataFrame:
+    rows = s.table("customer").select(F.concat("c_name", F.lit("[症状]")).alias("entity"), F.lit("可能疾病").alias("predicate"), F.concat(F.lit(" "), "c_mktsegment", F.lit("[疾病]")).alias("value"), F.col("c_custkey").alias("seq"))
+    return convert.eav_triples(rows).select("head", "head_type", "relation", "tail", "tail_type")
+
+
+_LIST_SQL = "SELECT s_name AS head, 'HAS_SYMPTOM' AS relation, unnest(['sign ' || s_nationkey, 'it''s so']) AS tail, s_suppkey FROM supplier UNION ALL SELECT s_name, 'DO_EAT', 'rice', s_suppkey FROM supplier WHERE s_suppkey % 2 = 0"
+
+
+def _wide_suppliers(s: Star) -> DataFrame:
+    signs = F.concat(F.lit("['sign "), "s_nationkey", F.lit("', 3, ' ', \"it's so\", 'sign "), "s_nationkey", F.lit("']"))
+    return s.table("supplier").select(F.col("s_name").alias("name"), signs.alias("symptom"), F.when(F.col("s_suppkey") % 2 == 0, "['rice']").otherwise("[oops").alias("do_eat"), F.col("s_suppkey").alias("seq"))
+
+
+@query(f"SELECT head, relation, tail FROM ({_LIST_SQL})", families=False)
+def list_unpivot(s: Star) -> DataFrame:
+    """List literals: strings only, blank ones and lists that cannot be read left out."""
+    return convert.wide_triples(_wide_suppliers(s)).select("head", "relation", "tail")
+
+
+@query(f"SELECT head, relation, tail FROM ({_LIST_SQL}) ORDER BY s_suppkey, relation DESC, tail DESC LIMIT 25", families=False)
+def triple_limit(s: Star) -> DataFrame:
+    return convert.union_first_wins([convert.wide_triples(_wide_suppliers(s))], limit=25).select("head", "relation", "tail")
+
+
+_ASKED = """asked AS (SELECT s_name || '有哪些症状？' AS question, 'disease_to_symptom' AS intent, [n_name] AS gold, [n_name] AS predicted FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT '哪些疾病会出现' || n_name || '的症状？', 'symptom_to_disease', list(s_name ORDER BY s_name), list(s_name ORDER BY s_name)[:3] FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name
+    UNION ALL SELECT c_name || '?', 'unknown', [c_name], [] FROM customer WHERE c_custkey < 10)"""
+
+
+@query(f"""WITH {_ASKED} SELECT question, array_to_string(predicted, '|') AS predicted, len(predicted) > 0 AS executable, CASE WHEN len(predicted) = 0 THEN 0.0 ELSE 1.0 END AS "precision", round(len(predicted) / len(gold), 6) AS recall FROM asked""", families=False)
+def eval_run(s: Star) -> DataFrame:
+    """Questions understood from their text, answered from the graph and measured, all in one plan."""
+    located = s.table("supplier").join(s.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    edges = located.select(F.lit("Disease").alias("src_label"), F.col("s_name").alias("src"), F.lit("HAS_SYMPTOM").alias("rel_type"), F.lit("Symptom").alias("dst_label"), F.col("n_name").alias("dst"), F.lit("dim").alias("source"), F.lit(0.5).alias("edge_score"), F.lit(False).alias("conflict"))
+    none = F.lit(None).cast("array<string>")
+    nodes = s.table("supplier").select(F.lit("Disease").alias("label"), F.col("s_name").alias("name"), none.alias("aliases")).union(s.table("nation").select(F.lit("Symptom"), "n_name", none))
+    of = located.select(F.concat("s_name", F.lit("有哪些症状？")).alias("question"), F.lit("disease_to_symptom").alias("intent"), F.array("n_name").alias("gold_answers"))
+    to = located.groupBy("n_name").agg(F.sort_array(F.collect_list("s_name")).alias("gold_answers")).select(F.concat(F.lit("哪些疾病会出现"), "n_name", F.lit("的症状？")), F.lit("symptom_to_disease"), "gold_answers")
+    odd = s.table("customer").filter("c_custkey < 10").select(F.concat("c_name", F.lit("?")), F.lit("unknown"), F.array("c_name"))
+    samples = of.union(to).union(odd).withColumn("question_id", F.col("question"))
+    return evaluate.run(graph.Graph(nodes, edges), samples, 3).select("question", F.array_join("predicted", "|").alias("predicted"), "executable", "precision", F.round("recall", 6).alias("recall"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '^ *[-·•] *', ''), ' *[-·•] *$', '') AS name FROM (
+    SELECT doc_id, translate(trim(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[\s\x0b\x1c-\x1f]+', ' ', 'g')), '【】。、', '[].,') AS t FROM documents)""", families=False)
+def normalize_texts(s: Star) -> DataFrame:
+    """Whole texts as names are normalized."""
+    return s.table("documents").select("doc_id", text.normalize(F.col("text")).alias("name"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

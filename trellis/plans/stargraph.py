@@ -33,6 +33,14 @@ class Star:
         rows = self.lines().join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         return rows.select("head", F.lit("SUPPLIES").alias("relation"), "tail", "source", "confidence", "seq")
 
+    def supply_sums(self) -> DataFrame:
+        """The same triples summed up: their number `n` and the `total` of their confidences by keys, which are named afterwards."""
+        lines = self.table("lineitem").select("l_suppkey", "l_partkey", "l_returnflag", (1 - F.col("l_discount")).alias("confidence"))
+        sums = lines.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("confidence").alias("total"))
+        sums = sums.join(self.parts().select("p_partkey", F.col("part").alias("tail")), F.col("l_partkey") == F.col("p_partkey"))
+        sums = sums.join(self.table("supplier").select("s_suppkey", F.col("s_name").alias("head")), F.col("l_suppkey") == F.col("s_suppkey"))
+        return sums.select("head", F.lit("SUPPLIES").alias("relation"), "tail", F.concat(F.lit("flag_"), "l_returnflag").alias("source"), "n", "total")
+
     def ordered(self) -> DataFrame:
         """(customer, ORDERED, part), with the return flag."""
         orders = self.table("orders").select("o_orderkey", "o_custkey").join(self.table("customer").select("c_custkey", F.col("c_name").alias("head")), F.col("o_custkey") == F.col("c_custkey"))

@@ -51,6 +51,12 @@ def read_triples(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return with_defaults(rows.withColumn("seq", F.monotonically_increasing_id()))
 
 
+def read_fused(spark: SparkSession, path: str) -> DataFrame:
+    """Fused triples from JSON lines, with `seq`: the best score first, of equal ones by names. Malformed lines are an error."""
+    rows = spark.read.schema(schemas.FUSED_TRIPLE).option("mode", "FAILFAST").json(path)
+    return rows.withColumn("seq", F.struct((-F.col("edge_score")).alias("rank"), "relation", "tail"))
+
+
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Empty head and tail, RELATED_TO, unknown source and confidence 1.0 where they are missing."""
     return rows.withColumns({
@@ -102,9 +108,27 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fused(fused: DataFrame, path: str, created_at: str | None = None) -> None:
-    """Fused triples as JSON lines, without types."""
+    """Fused triples as JSON lines, the best score first, without types."""
     columns = [f.name for f in schemas.FUSED_TRIPLE]
-    fused.select(*columns, F.coalesce(F.lit(created_at), F.current_timestamp().cast("string")).alias("created_at")).write.mode("overwrite").json(path)
+    stamp = F.coalesce(F.lit(created_at), F.current_timestamp().cast("string")).alias("created_at")
+    fused.orderBy("seq").select(*columns, stamp).write.mode("overwrite").json(path)
+
+
+def write_triples(triples: DataFrame, path: str) -> None:
+    """Raw triples as JSON lines, properties last; what `read_triples` reads."""
+    columns = [F.col(f.name) for f in schemas.RAW_TRIPLE if f.name in triples.columns]
+    triples.select(*columns).write.mode("overwrite").json(path)
+
+
+def write_conflicts(conflicts: DataFrame, path: str) -> None:
+    """The conflict report as JSON lines."""
+    conflicts.select("head", "relation", "tails", "sources").write.mode("overwrite").json(path)
+
+
+def write_eval_set(samples: DataFrame, path: str) -> None:
+    """Evaluation samples as JSON lines; the entity of a sample is its mention."""
+    rows = samples if "entity_mentions" in samples.columns else samples.withColumn("entity_mentions", F.array("entity"))
+    rows.select(*(f.name for f in schemas.EVAL_SET)).write.mode("overwrite").json(path)
 
 
 def write_alias_map(canonical: DataFrame, path: str) -> None:
