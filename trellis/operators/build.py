@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .. import schemas
+from ..runtime import stored
 from . import fusion, linking
 from .graph import Graph
 
@@ -30,9 +31,10 @@ def build(raw: DataFrame, onto: Graph | None = None, fuzzy: float | None = None,
 
     `fuzzy` also links names of at least that similarity. `scoring` goes to fuse(): the sources' weights and the three parts of a score.
     Edges are merged in the order of their scores, so that of several relations that share a label, the one of the lowest score stays.
+    Canonical names and fused edges are stored: both are results, and the graph reads each several times.
     """
-    canonical = linking.canonical_names(linking.entity_names(raw), fuzzy)
+    canonical = stored(linking.canonical_names(linking.entity_names(raw), fuzzy), "canonical")
     triples = linking.canonicalize(raw, canonical)
-    fused = fusion.fuse(triples, allow_multi=allow_multi, **scoring)
+    fused = stored(fusion.fuse(triples, allow_multi=allow_multi, **scoring), "fused")
     graph = (onto or empty_graph(raw.sparkSession)).upsert_triples(fused, linking.aliases_of(canonical), now)
     return Build(canonical, fusion.conflicts(triples, allow_multi), fused, graph)

@@ -10,8 +10,10 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import RAW_TRIPLE
 
@@ -107,6 +109,36 @@ def dictionary_spans(text: Column, dictionary: dict[str, list[str]], score: floa
     return find(text)
 
 
+#: Substrings that one batch has, about.
+SUBSTRINGS = 100_000
+
+
+def _substrings(lengths: list[int]) -> Callable:
+    """Batches (key, text) to batches (key, start, name): every substring of the given lengths, in batches of about SUBSTRINGS rows however long a text is."""
+
+    def cut(batches):
+        for batch in batches:
+            rows, starts, names = [], [], []
+
+            def full(key=batch.column(0), name=batch.schema.field(0).name):
+                return pa.RecordBatch.from_arrays([key.take(pa.array(rows, pa.int32())), pa.array(starts, pa.int32()), pa.array(names, pa.string())], names=[name, "start", "name"])
+
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for n in lengths:
+                    for low in range(0, len(text) - n + 1, SUBSTRINGS):
+                        high = min(low + SUBSTRINGS, len(text) - n + 1)
+                        rows += [row] * (high - low)
+                        starts += range(low, high)
+                        names += [text[i : i + n] for i in range(low, high)]
+                        if len(rows) >= SUBSTRINGS:
+                            yield full()
+                            rows, starts, names = [], [], []
+            if rows:
+                yield full()
+
+    return cut
+
+
 def joined_spans(texts: DataFrame, dictionary: DataFrame, key: str = "text_id", score: float = DICTIONARY_SCORE) -> DataFrame:
     """(key, spans) for `texts` (key, text) against a dictionary of any size (label, name): substrings of the names' lengths meet names by an equi-join.
 
@@ -115,11 +147,8 @@ def joined_spans(texts: DataFrame, dictionary: DataFrame, key: str = "text_id",
     lengths = [r[0] for r in dictionary.select(F.length("name").alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return texts.select(key, F.array().cast(SPAN).alias("spans"))
-    # one value of characters for all slices: a slice of the text itself would count its bytes from the start each time
-    at = lambda chars, n: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.struct((i - 1).alias("start"), F.array_join(F.slice(chars, i, F.lit(n)), "").alias("name")))
-    none = F.array().cast("array<struct<start:int,name:string>>")
-    cut = lambda chars: F.flatten(F.array(*(F.when(F.size(chars) >= n, at(chars, n)).otherwise(none) for n in lengths)))
-    subs = texts.filter("text <> ''").select(key, F.explode(F.flatten(F.transform(F.array(F.split("text", "(?!^)")), cut))).alias("s")).select(key, "s.*")
+    rows = texts.filter("text <> ''").select(key, "text")
+    subs = rows.mapInArrow(_substrings(lengths), T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("name", T.StringType())]))
     hits = subs.join(dictionary.select("label", "name").distinct(), "name")
     hits = hits.select(key, F.struct(F.col("name").alias("text"), "start", (F.col("start") + F.length("name")).alias("end"), "label", F.lit(score).alias("score")).alias("s"))
     found = hits.groupBy(key).agg(F.collect_list("s").alias("spans"))

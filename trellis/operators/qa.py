@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..runtime import removed, stored
 from .graph import Graph
 
 # Question patterns in their order of precedence, and words that are no entity.
@@ -170,17 +171,21 @@ def understood(graph: Graph, questions: DataFrame, intents: dict[str, tuple] = I
     """`questions` (question_id, question) with intent and entity: the name of the best node that a search finds, else the words asked for.
 
     The best node has the words as its name, else the shortest name, then the first. Unknown questions keep an entity, but no node is looked for.
+    The rows are stored, as each of the many joins that answer them reads them again.
     """
     asked = questions.withColumn("i_", intent_of(F.col("question")))
     words = F.when(F.col("i_.entity") != "", F.col("i_.entity")).otherwise(longest_token(F.col("question")))
-    asked = asked.withColumns({"intent": F.col("i_.intent"), "words_": words}).drop("i_")
+    asked = stored(asked.withColumns({"intent": F.col("i_.intent"), "words_": words}).drop("i_"), "asked")
     wanted = asked.join(_kinds(questions, intents), "intent").select("intent", F.col("words_").alias("entity"), "key_label").distinct()
     nodes = _keyed(graph.nodes, wanted.select("key_label").distinct())
     found = nodes_meant(wanted.select("entity", "key_label").distinct(), nodes.select("key", "key_label", "aliases"), inside_aliases=True)
     order = F.struct(F.when(F.lower("key") == F.lower("entity"), 0).otherwise(1), F.length("key"), F.col("key"))
     best = found.groupBy("entity", "key_label").agg(F.min_by("key", order).alias("best"))
     best = wanted.join(best, ["entity", "key_label"]).select("intent", F.col("entity").alias("words_"), "best")
-    return asked.join(best, ["intent", "words_"], "left").withColumn("entity", F.coalesce("best", "words_")).select(*questions.columns, "intent", "entity")
+    rows = asked.join(best, ["intent", "words_"], "left").withColumn("entity", F.coalesce("best", "words_")).select(*questions.columns, "intent", "entity")
+    rows = stored(rows, "understood")
+    removed(asked)
+    return rows
 
 
 def ask_batch(graph: Graph, questions: DataFrame, top_k: int = 10, active_only: bool = False, intents: dict[str, tuple] = INTENTS) -> DataFrame:
