@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trellis import runtime, schemas
 from trellis.functions import text
-from trellis.operators import components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
+from trellis.operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
 from trellis.sources import files
 from trellis.streaming import ingest
 
@@ -334,3 +334,120 @@ def test_streaming_ingest(spark, tmp_path):
     run()
     got = {r["tail"]: (r["frequency"], r["confidence"]) for r in ingest.fused_so_far(spark, str(tmp_path / "out")).collect()}
     assert got == {"B": (2, 0.75), "C": (2, 0.75)}
+
+
+TRIPLE = "head string, relation string, tail string, source string, confidence double, seq long"
+
+
+def test_build_and_fused_files(spark, tmp_path):
+    """Edges come in the order of scores, the lowest last; a re-read file gives the same graph; a second build merges into the first."""
+    rows = [("糖尿病(DM)", "HAS_SYMPTOM", "多尿", "x", 1.0, 0), ("糖尿病", "CAUSES", "肾病", "x", 1.0, 1), ("DM", "CAUSES", "肾病", "y", 1.0, 2), ("糖尿病", "AFFECTS_BODY", "肾病", "x", 0.5, 3), ("糖尿病", "PROP_DESC", "ab", "x", 1.0, 4), ("dm", "PROP_DESC", "abcd", "x", 1.0, 5)]
+    made = build.build(spark.createDataFrame(rows, TRIPLE))
+    order = [r["relation"] for r in made.fused.filter("tail = '肾病'").orderBy("seq").collect()]
+    assert order == ["CAUSES", "AFFECTS_BODY"]
+    edges = {(r["src"], r["rel_type"], r["dst"]): r["frequency"] for r in made.graph.edges.collect()}
+    assert edges == {("糖尿病(dm)", "HAS_SYMPTOM", "多尿"): 1, ("dm", "RELATED_TO", "肾病"): 1}
+    nodes = {(r["label"], r["name"]): (r["aliases"], r["props"]) for r in made.graph.nodes.collect()}
+    assert nodes["Entity", "dm"] == (None, {"desc": "abcd"}) and nodes["Disease", "糖尿病(dm)"] == (["糖尿病(dm)"], {}) and nodes["Entity", "肾病"][0] == ["肾病"]
+    files.write_fused(made.fused, str(tmp_path / "fused"), "2024-01-01")
+    again = build.empty_graph(spark).upsert_triples(files.read_fused(spark, str(tmp_path / "fused")))
+    assert {(r["src"], r["rel_type"], r["dst"], r["edge_score"]) for r in again.edges.collect()} == {(r["src"], r["rel_type"], r["dst"], r["edge_score"]) for r in made.graph.edges.collect()}
+    more = build.build(spark.createDataFrame([("dm", "CAUSES", "肾病", "z", 0.1, 0)], TRIPLE), onto=made.graph)
+    assert more.graph.edges.count() == 2 and {r["source"] for r in more.graph.edges.filter("dst = '肾病'").collect()} == {"z"}
+
+
+def test_writers(spark, tmp_path):
+    raw = spark.createDataFrame([("a", "R", "b", "x", 0.5, 0), ("a", "R", "c", "y", 1.0, 1)], TRIPLE)
+    files.write_triples(raw, str(tmp_path / "raw.jsonl"))
+    assert {(r["head"], r["tail"], r["confidence"]) for r in files.read_triples(spark, str(tmp_path / "raw.jsonl")).collect()} == {("a", "b", 0.5), ("a", "c", 1.0)}
+    files.write_conflicts(fusion.conflicts(raw, []), str(tmp_path / "conflicts"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "conflicts")).select("head", "relation", "tails", "sources").collect()] == [("a", "R", ["b", "c"], ["x", "y"])]
+    files.write_eval_set(spark.createDataFrame([("q?", "i", "e", ["g"])], "question string, intent string, entity string, gold_answers array<string>"), str(tmp_path / "eval"))
+    assert [tuple(r) for r in files.read_eval_set(spark, str(tmp_path / "eval")).collect()] == [("q?", "i", ["e"], ["g"])]
+
+
+def test_ontology_and_settings(tmp_path):
+    (tmp_path / "o.json").write_text(json.dumps({"entity_types": [{"id": "Disease", "aliases": ["d", "病"]}], "relation_types": [{"id": "TREATS", "aliases": ["治"]}]}), encoding="utf-8")
+    assert files.read_ontology(str(tmp_path / "o.json")) == ({"d": "Disease", "D": "Disease", "病": "Disease"}, {"治": "TREATS"})
+    assert files.read_ontology(str(tmp_path / "none.json")) == ({}, {})
+    (tmp_path / "s.json").write_text(json.dumps({"fusion": {"enable_fuzzy": False, "fuzzy_threshold": 80, "source_weights": {"x": 2.0}, "scoring": {"source_weight": 0.1}}}))
+    assert files.read_settings(str(tmp_path / "s.json")) == {"weights": {"x": 2.0}, "source_weight_": 0.1}
+
+
+def test_models_with_thresholds_and_fallbacks(spark):
+    def ner(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError
+        return [[{"word": "##感", "start": 0, "end": 1, "label": "B-DIS", "score": 0.9}, {"word": "冒", "start": 1, "end": 2, "label": "I-DIS", "score": 0.7}, {"word": "咳", "start": 4, "end": 5, "label": "B-SYM", "score": 0.8}, {"word": "x", "start": 9, "end": 10, "label": "B-SYM", "score": 0.2}] for _ in texts]
+
+    names = {"DIS": "Disease", "SYM": "Symptom"}
+    spans = extract.model_spans(ner, lambda x: extract.map_label(x, {}, names), 0.5, lambda t: extract.dictionary_spans(t, {"Drug": ["bad"]}))
+    texts = spark.createDataFrame([("s1", "感冒引起咳"), ("s2", "a bad text"), ("s3", "")], "source string, text string").repartition(3, "source")
+    got = {r["source"]: [tuple(s) for s in r["spans"]] for r in extract.with_spans(texts, spans).collect()}
+    if len(got["s1"]) == 2:  # texts in one batch share its fate
+        assert got["s1"] == [("感冒", 0, 2, "Disease", pytest.approx(0.8)), ("咳", 4, 5, "Symptom", 0.8)]
+    assert got["s2"] == [("bad", 2, 5, "Drug", 0.85)] and got["s3"] == []
+    one = texts.filter("source = 's1'")
+    triples = extract.model_triples(one, spans, lambda asked: [("引起", 0.6 if a == "感冒[SEP]咳[SEP]感冒引起咳" else 0.1) for a in asked], {"引起": "CAUSES"})
+    assert [(r["head"], r["relation"], r["tail"], r["head_type"], r["confidence"], r["source"]) for r in triples.collect()] == [("感冒", "CAUSES", "咳", "Disease", 0.6, "s1")]
+    assert extract.model_triples(one, spans, lambda asked: [("引起", 0.4)] * len(asked), {"引起": "CAUSES"}).count() == 0
+    raw = spark.createDataFrame([("感冒", "CAUSES", "咳", "t", 1.0, 0)], TRIPLE)
+    both = extract.appended(raw, triples)
+    assert [r["source"] for r in both.orderBy("seq").collect()] == ["t", "s1"] and fusion.fuse(both).first()["frequency"] == 2
+
+
+def test_failing_rules_are_left_out(spark):
+    edges = edges_of(spark, [("Disease", "d1", "R", "Symptom", "s1", 1.0)])
+    own = [rules.Rule("good", "select src as head, dst as tail from {edges}", "X"), rules.Rule("bad", "select nothing as head from {edges}", "Y")]
+    failed = {}
+    assert [r["rule_id"] for r in rules.run_rules(graph.Graph(nodes_of(spark, []), edges), own, failed=failed).collect()] == ["good"] and list(failed) == ["bad"]
+    assert rules.run_rules(graph.Graph(nodes_of(spark, []), edges), own[1:], failed={}).count() == 0
+    with pytest.raises(Exception, match="nothing"):
+        rules.run_rules(graph.Graph(nodes_of(spark, []), edges), own)
+
+
+def test_cooccurrence_in_blocks(spark):
+    pairs = spark.createDataFrame([(f"s{i}", d) for i in range(23) for d in ("a", "b") if d == "a" or i % 2], "src string, dst string")
+    wanted = {tuple(r) for r in rules.cooccurrence(pairs, 1).collect()}
+    assert len(wanted) == 23 * 22 // 2 and {tuple(r) for r in rules.cooccurrence(pairs, 1, block=4).collect()} == wanted
+    assert rules.cooccurrence(pairs, 2, block=3).count() == 11 * 10 // 2
+
+
+def test_percentiles_of_any_values(spark):
+    import random
+
+    rng = random.Random(3)
+    for values in ([1, 2, 3, 4], [7] * 9, [5], [rng.randint(-5, 10**6) for _ in range(500)], [0] * 50 + [10**9] * 3 + [1]):
+        rows = spark.createDataFrame([(v,) for v in values], "latency_ms long")
+        ranked = sorted(values)
+        at = lambda q: ranked[min(int(len(ranked) * q), len(ranked) - 1)]
+        assert tuple(evaluate.latency_percentiles(rows).first()) == (at(0.5), at(0.95))
+    assert tuple(evaluate.latency_percentiles(spark.createDataFrame([], "latency_ms long")).first()) == (0, 0)
+
+
+def test_exact_split(spark):
+    rows = spark.range(101).withColumn("x", F.lit("a"))
+    train, valid = labels.split_rows(rows, "id", 0.2)
+    assert train.columns == rows.columns and train.count() == 80 and valid.count() == 21
+    assert {r["id"] for r in train.collect()} | {r["id"] for r in valid.collect()} == set(range(101))
+    for n, share in ((1, 0.5), (3, 0.01), (5, 0.0), (5, 1.0)):
+        train, valid = labels.split_rows(spark.range(n), "id", share)
+        assert (train.count(), valid.count()) == ((n, 0) if n < 2 or share in (0.0, 1.0) else (int(n * (1 - share)), n - int(n * (1 - share))))
+
+
+def test_definitions_in_batch(spark):
+    nodes = nodes_of(spark, [("Disease", "感冒", ["伤风"]), ("Drug", "感冒灵", None), ("Symptom", "咳嗽", None)])
+    edges = edges_of(spark, [("Disease", "感冒", "HAS_SYMPTOM", "Symptom", "咳嗽", 0.5)])
+    g = graph.Graph(nodes, edges)
+    asked = spark.createDataFrame([(1, "介绍一下感冒"), (2, "伤风有哪些症状？"), (3, "哪些疾病会出现咳嗽的症状？"), (4, "hello")], "question_id long, question string")
+    got = {r["question_id"]: (r["intent"], r["entity"], r["predicted"]) for r in qa.ask_batch(g, qa.understood(g, asked)).collect()}
+    assert got == {1: ("entity_definition", "感冒", ["感冒"]), 2: ("disease_to_symptom", "感冒", ["咳嗽"]), 3: ("symptom_to_disease", "咳嗽", ["感冒"]), 4: ("unknown", "hello", [])}
+
+
+def test_plans(spark, tmp_path):
+    """One scan of the edges for a batch of questions."""
+    edges_of(spark, [("Disease", "a", "HAS_SYMPTOM", "Symptom", "b", 1.0)]).write.parquet(str(tmp_path / "edges"))
+    g = graph.Graph(nodes_of(spark, [("Disease", "a", None)]), spark.read.parquet(str(tmp_path / "edges")))
+    asked = spark.createDataFrame([(1, "disease_to_symptom", "a")], "question_id long, intent string, entity string")
+    plan = qa.ask_batch(g, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("edge_score#") > 0 and plan.count("parquet") == 1

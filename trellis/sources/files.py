@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,35 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("question is not null and intent is not null and gold_answers is not null")
 
 
+def read_ontology(path: str) -> tuple[dict[str, str], dict[str, str]]:
+    """(label names, relation names) of an ontology file: each alias, of a label in upper case too, to its id. A missing or broken file gives none.
+
+    Both go to `extract.map_label` and `extract.map_relation`. The file is small and read by the driver.
+    """
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return {}, {}
+    labels = {form: kind["id"] for kind in found.get("entity_types", []) for alias in kind.get("aliases", []) for form in (alias, alias.upper())}
+    return labels, {alias: kind["id"] for kind in found.get("relation_types", []) for alias in kind.get("aliases", [])}
+
+
+def read_settings(path: str) -> dict:
+    """The settings of a build from a JSON file: `fuzzy`, `allow_multi`, `weights` and the three weights of a score, as `build.build` takes them.
+
+    Keys: fusion.enable_fuzzy, fuzzy_threshold, allow_multi_relations, source_weights, and scoring.frequency_weight, source_weight, confidence_weight.
+    """
+    with open(path, encoding="utf-8") as f:
+        fusion = json.load(f).get("fusion", {})
+    scoring = fusion.get("scoring", {})
+    given = {
+        "fuzzy": float(fusion.get("fuzzy_threshold", 90)) if fusion.get("enable_fuzzy") else None, "allow_multi": fusion.get("allow_multi_relations"), "weights": fusion.get("source_weights"),
+        "frequency_weight": scoring.get("frequency_weight"), "source_weight_": scoring.get("source_weight"), "confidence_weight": scoring.get("confidence_weight"),
+    }
+    return {k: v for k, v in given.items() if v is not None}
+
+
 def write_fused(fused: DataFrame, path: str, created_at: str | None = None) -> None:
     """Fused triples as JSON lines, the best score first, without types."""
     columns = [f.name for f in schemas.FUSED_TRIPLE]
