@@ -17,12 +17,6 @@ def triple_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16)
     return with_defaults(rows.filter("head is not null and tail is not null"))
 
 
-def malformed_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
-    """(value, file): the lines of such files that are no JSON objects, for a folder that is checked before it is read."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    return lines.filter(F.trim("value") != "").filter(F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("")).startswith("OBJECT") == F.lit(False))
-
-
 def counts_by_window(stream: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window, relation, n) of a stream with a time column: tumbling windows, closed once the watermark has passed."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), "relation").agg(F.count("*").alias("n"))
