@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_scoring, pieces, simhash, url_filter
+from . import chat_format, conversation_repair, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_scoring, pieces, secret_scan, simhash, token_alignment, url_filter
 
 #: Fixed rules of the URL query: verdict, host and path.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -127,6 +127,48 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults: by a number of each (conversation, turn), a row goes, loses its text, its sentence ends or its role, or is said twice."""
+    n = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))) % 20
+    rows = turns.select("conv_id", "turn", "role", "text", n.alias("n")).filter("n > 0").withColumn("copy", F.explode(F.when(F.col("n") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    text = F.when(F.col("n") == 1, "").when(F.col("n") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("n") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = conversation_repair.repair(damaged(turns))
+    rows = made.report.join(conversation_repair.digests(made).withColumnRenamed("conv_id", "own"), F.col("conv_id").eqNullSafe(F.col("own"))).drop("own")
+    every = turns.select(F.col("conv_id").alias("own")).distinct()
+    rows = every.join(rows, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    zeros = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return rows.select(F.col("own").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules, base = secret_scan.RULES, [r.kind for r in secret_scan.BASE_RULES]
+    ledger = secret_scan.scan(secret_scan.unseen(versions, rules), rules)
+    rows, spans = secret_scan.findings(versions, ledger, rules), F.col("spans")
+    counts = (secret_scan.number_of(spans, k).alias(f"n_{k}") for k in base)
+    return rows.select("doc_id", *counts, F.sha2(secret_scan.as_text(spans, base), 256).alias("base_sha256"), secret_scan.as_text(spans, [r.kind for r in rules]).alias("spans"))
+
+
+def tokenizer_path(variable: str, installed: str) -> str:
+    """The file that an environment variable names, or the installed public one."""
+    path = os.environ.get(variable)
+    if not path:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path(installed))
+    return path
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, tokenizer_path("TRELLIS_BYTES", "byte_bpe_50k.json"), tokenizer_path("TRELLIS_PIECES", "piece_bpe_32k.model"))[0]
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
@@ -165,5 +207,69 @@ FROM d LEFT JOIN p ON d.row = p.row LEFT JOIN t ON d.row = t.row""",
 }
 
 
+_STATES = ("s0", "s1", "s2", "s3")
+
+
+def _edit(state: str, cost: str, initial: str, said: str | None) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'r': {state}.r" + (f" || chr(10) || {said}}}" if said else "}")
+
+
+def _least(*found: str) -> str:
+    return f"list_sort([{', '.join(found)}])[1]"
+
+
+def _repair_sql() -> str:
+    """The same dynamic program, a layer of four (cost, audit, repaired) states in each step of a recursion."""
+    more, none = "CASE WHEN fault = 3 THEN 3 ELSE 0 END", "{'c': 1000000000, 'a': '', 'r': ''}"
+    keep = {"s1": [("s0", "s")], "s2": [("s0", "u"), ("s1", "u"), ("s3", "u")], "s3": [("s2", "a")]}
+    rerole = {"s2": ["s0", "s1", "s3"], "s3": ["s2"]}
+    name = {"s2": "user", "s3": "assistant"}
+    new = {}
+    for to in _STATES:
+        ways = [_edit(to, "4", "D", None)]
+        ways += [f"CASE WHEN free AND starts_with(role, '{x}') THEN {_edit(q, more, 'K', "role || ':' || text")} ELSE {none} END" for q, x in keep.get(to, [])]
+        ways += [f"CASE WHEN free THEN {_edit(q, f'3 + {more}', 'R', f"'{name[to]}:' || text")} ELSE {none} END" for q in rerole.get(to, [])]
+        new[to] = _least(*ways)
+    layer = ", ".join(f"{v} AS {k}" for k, v in new.items())
+    user = _least("s2", *(_edit(q, "3", "I", "'user:'") for q in ("s0", "s1", "s3")))
+    turn = _least("s3", _edit("s2", "3", "I", "'assistant:'"))
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+  k AS (SELECT *, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM conversations, crc),
+  g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 20 AS n FROM k),
+  x AS (SELECT conv_id, turn, CASE n WHEN 4 THEN 'user' ELSE role END AS role, CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN n = 3 THEN [1, 2] ELSE [1] END) AS copy FROM g WHERE n > 0),
+  o AS (SELECT *, row_number() OVER w AS i, coalesce(lag(role[1]) OVER w || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+  f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+  t AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+      count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+  dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {none} AS s1, {{'c': 3, 'a': 'I', 'r': chr(10) || 'user:'}} AS s2, {{'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM t
+    UNION ALL SELECT conv_id, i, s0, s1, s2, {turn} AS s3 FROM (SELECT conv_id, i, s0, s1, {user} AS s2, s3 FROM (SELECT conv_id, i, {layer} FROM (
+      SELECT dp.conv_id, f.i, s0, s1, s2, s3, role, text, fault, fault NOT IN (1, 2) AS free FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i + 1)))),
+  b AS (SELECT conv_id, i, {_least("s0", "s3")} AS best FROM dp)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN t ON e.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.n"""
+
+
+def _secrets_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    rules = " UNION ALL ".join(
+        f"SELECT row, '{r.kind}' AS kind, {i} AS rank, {r.least} AS least, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS hits, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS said, regexp_split_to_array(t, {quoted(r.pattern)}) AS gaps FROM d"
+        for i, r in enumerate(secret_scan.RULES)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents), r AS ({rules}),
+  u AS (SELECT row, kind, rank, least, unnest(hits) AS hit, unnest(said) AS said, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM r),
+  p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+  s AS (SELECT row, kind, rank, stop - length(hit) AS start, kind || ':' || (stop - length(hit)) || ':' || stop AS span FROM p WHERE length(said) >= least)
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s ON d.row = s.row GROUP BY doc_id, d.row"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"op11_conversation_repair": _repair_sql(), "op12_secret_scan": _secrets_sql()}
