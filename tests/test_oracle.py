@@ -51,4 +51,5 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
 def test_gives_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+    # a count would leave out the columns that nothing is made of
+    assert queries.QUERIES[name](spark, SF).collect()

@@ -86,9 +86,12 @@ def _joined(spans: list) -> list[tuple]:
 
 
 def _folded(spans: Column, fold: Callable[[list], list]) -> Column:
+    # stored spans come as dictionaries, those of another Python function of the same stage as the tuples that it made
+    plain = lambda s: tuple(s) if isinstance(s, tuple) else (s["text"], s["start"], s["end"], s["label"], s["score"])
+
     @F.pandas_udf(SPAN)
     def apply(x: pd.Series) -> pd.Series:
-        return x.map(lambda row: None if row is None else fold([(s["text"], s["start"], s["end"], s["label"], s["score"]) for s in row]))
+        return x.map(lambda row: None if row is None else fold([plain(s) for s in row]))
 
     return apply(spans)
 

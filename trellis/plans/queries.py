@@ -521,7 +521,8 @@ def span_metrics(s: Star) -> DataFrame:
     return labels.span_scores(gold, found).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query()
+@query(f"""SELECT doc_id, n, round(n * {extract.DICTIONARY_SCORE}, 6) AS score FROM (
+    SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '(?:th|er|on)(?:(?s:.)?(?:th|er|on))*')) AS INTEGER) AS n FROM documents)""", families=False)
 def span_merge(s: Star) -> DataFrame:
     rows = s.table("documents").select("doc_id", extract.merge_adjacent(extract.dictionary_spans(F.col("text"), {"Join": ["th", "er", "on"]})).alias("spans"))
     return rows.select("doc_id", F.size("spans").alias("n"), F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["score"]), 6).alias("score"))
