@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,14 +113,84 @@ def dictionary_spans(text: Column, dictionary: dict[str, list[str]], score: floa
     return find(text)
 
 
-#: Substrings that one batch has, about.
-SUBSTRINGS = 100_000
+#: Characters that are hashed at once, and rows of a batch, about.
+WINDOW, FOUND = 1 << 20, 100_000
+#: The filter has so many bits a name, and so many bytes at most; it is cut into segments of as many bits when it is made.
+BITS_A_NAME, FILTER_BYTES, SEGMENT_BITS, PROBES = 24, 64 << 20, 1 << 19, 4
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _substrings(lengths: list[int]) -> Callable:
-    """Batches (key, text) to batches (key, start, name): every substring of the given lengths, in batches of about SUBSTRINGS rows however long a text is."""
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    def cut(batches):
+
+def _substring_hashes(points: np.ndarray, lengths: list[int], powers: np.ndarray, back: np.ndarray):
+    """(length, hashes of all substrings of that length), each from two prefix sums of a polynomial modulo 2^64."""
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=sums[1:])
+    for n in lengths:
+        if n <= len(points):
+            h = (sums[n:] - sums[:-n]) * back[: len(points) - n + 1]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            yield n, h ^ (h >> np.uint64(29))
+
+
+def _spots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of hashes in a filter of a power of two of bits."""
+    step = (hashes >> np.uint64(33)) | np.uint64(1)
+    return [(hashes + step * np.uint64(i)) & np.uint64(bits - 1) for i in range(PROBES)]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _name_bits(bits: int) -> Callable:
+    """Batches (name) to batches (segment, bit): where the names stand in the filter."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.empty(0, np.uint64)]
+            for name in batch.column(0).to_pylist():
+                points = _points(name)
+                found += [h for _, h in _substring_hashes(points, [len(points)], _powers(_BASE, len(points)), _powers(_BACK, len(points)))]
+            spots = np.unique(np.concatenate(_spots(np.concatenate(found), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((spots // SEGMENT_BITS).astype(np.int32)), pa.array((spots % SEGMENT_BITS).astype(np.int32))], names=["segment", "bit"])
+
+    return run
+
+
+def _packed(batches):
+    for batch in batches:
+        rows = []
+        for bits in batch.column(1):
+            made = np.zeros(SEGMENT_BITS, np.uint8)
+            made[bits.values.to_numpy()] = 1
+            rows.append(np.packbits(made, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["segment", "bits"])
+
+
+def name_filter(dictionary: DataFrame, names: int) -> np.ndarray:
+    """A Bloom filter of the dictionary's names, made by Spark in segments; the driver gets its FILTER_BYTES at most, whatever the dictionary's size."""
+    bits = min(FILTER_BYTES * 8, max(SEGMENT_BITS, 1 << (names * BITS_A_NAME - 1).bit_length()))
+    spots = dictionary.select("name").mapInArrow(_name_bits(bits), "segment int, bit int").groupBy("segment").agg(F.collect_set("bit").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in spots.mapInArrow(_packed, "segment int, bits binary").toLocalIterator():
+        at = r["segment"] * SEGMENT_BITS // 8
+        out[at : at + SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _passing(lengths: list[int], table) -> Callable:
+    """Batches (key, text) to batches (key, start, name): the substrings of the given lengths that pass the filter."""
+
+    def run(batches):
+        bits = table.value
+        powers, back = _powers(_BASE, WINDOW + lengths[-1]), _powers(_BACK, WINDOW + lengths[-1])
         for batch in batches:
             rows, starts, names = [], [], []
 
@@ -127,38 +198,50 @@ def _substrings(lengths: list[int]) -> Callable:
                 return pa.RecordBatch.from_arrays([key.take(pa.array(rows, pa.int32())), pa.array(starts, pa.int32()), pa.array(names, pa.string())], names=[name, "start", "name"])
 
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for n in lengths:
-                    for low in range(0, len(text) - n + 1, SUBSTRINGS):
-                        high = min(low + SUBSTRINGS, len(text) - n + 1)
-                        rows += [row] * (high - low)
-                        starts += range(low, high)
-                        names += [text[i : i + n] for i in range(low, high)]
-                        if len(rows) >= SUBSTRINGS:
-                            yield full()
-                            rows, starts, names = [], [], []
+                # windows overlap by what a name may reach into the next one; a name belongs to the window that it starts in
+                for low in range(0, len(text), WINDOW):
+                    part = text[low : low + WINDOW + lengths[-1] - 1]
+                    for n, hashes in _substring_hashes(_points(part), lengths, powers, back):
+                        hashes = hashes[:WINDOW]
+                        good = np.ones(len(hashes), bool)
+                        for spot in _spots(hashes, len(bits) * 8):
+                            good &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        for i in np.flatnonzero(good).tolist():
+                            rows.append(row)
+                            starts.append(low + i)
+                            names.append(part[i : i + n])
+                            if len(rows) >= FOUND:
+                                yield full()
+                                rows, starts, names = [], [], []
             if rows:
                 yield full()
 
-    return cut
+    return run
 
 
 def joined_spans(texts: DataFrame, dictionary: DataFrame, key: str = "text_id", score: float = DICTIONARY_SCORE) -> DataFrame:
     """(key, spans) for `texts` (key, text) against a dictionary of any size (label, name): substrings of the names' lengths meet names by an equi-join.
 
-    Only the substrings leave a text's row. Every place where a name stands counts; overlaps are then removed as in `dictionary_spans`.
+    Only substrings that pass a Bloom filter of the names leave a text's row, so that the exchange has about as many rows as there are hits; names that
+    very many texts have are split by Spark's skew join. Every place where a name stands counts; overlaps are then removed as in `dictionary_spans`.
     """
-    lengths = [r[0] for r in dictionary.select(F.length("name").alias("n")).distinct().orderBy("n").collect()]
-    if not lengths:
+    counts = dictionary.filter("name <> ''").groupBy(F.length("name").alias("n")).agg(F.count("*").alias("names")).orderBy("n").collect()
+    if not counts:
         return texts.select(key, F.array().cast(SPAN).alias("spans"))
-    rows = texts.filter("text <> ''").select(key, "text")
-    subs = rows.mapInArrow(_substrings(lengths), T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("name", T.StringType())]))
-    hits = subs.join(dictionary.select("label", "name").distinct(), "name")
+    hits = passing(texts, dictionary, key, [r["n"] for r in counts], sum(r["names"] for r in counts)).join(dictionary.select("label", "name").distinct(), "name")
     hits = hits.select(key, F.struct(F.col("name").alias("text"), "start", (F.col("start") + F.length("name")).alias("end"), "label", F.lit(score).alias("score")).alias("s"))
     found = hits.groupBy(key).agg(F.collect_list("s").alias("spans"))
     rows = texts.select(key).join(found, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     return rows.withColumn("spans", remove_overlaps(F.col("spans"), []))
 
 
+def passing(texts: DataFrame, dictionary: DataFrame, key: str, lengths: list[int], names: int) -> DataFrame:
+    """(key, start, name): what of the texts goes into the exchange."""
+    table = texts.sparkSession.sparkContext.broadcast(name_filter(dictionary.filter("name <> ''"), names))
+    rows = texts.filter("text <> ''").select(key, "text")
+    return rows.mapInArrow(_passing(lengths, table), T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("name", T.StringType())]))
+
+
 def remove_overlaps(spans: Column, labels: list[str]) -> Column:
     """From left to right, the longest first at one start (then by a label's place in `labels`), each span that begins at or after the end of the last kept one."""
     rank = {label: i for i, label in enumerate(labels)}

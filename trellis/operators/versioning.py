@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from .graph import Graph
+from .temporal import valid_at
 
 
 def next_revisions(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,6 +77,10 @@ class VersionedGraph:
         edges = self.graph.edges.withColumns({"active": F.when(own, False).otherwise(F.col("active")), "valid_to": F.when(own, stamp).otherwise(F.col("valid_to"))})
         return count, VersionedGraph(Graph(self.graph.nodes, edges), changesets, events)
 
+    def as_of(self, time: str) -> Graph:
+        """The graph at a time: edges valid then, in their last revision, what was rolled back later among them; nodes have no times, and all stay."""
+        return Graph(self.graph.nodes, valid_at(self.graph.edges, time))
+
     def list_changesets(self, limit: int = 50) -> DataFrame:
         counts = self.events.groupBy("change_id").agg(F.count("*").alias("event_count"))
         rows = self.changesets.join(counts, "change_id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, versioning
-from ..runtime import stored
+from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, temporal, versioning
+from ..runtime import shared_folder, stored
 from ..schemas import EDGES, NODES
+from ..sources.store import GraphStore
 from .stargraph import SQL, Star, pairs
 
 QUERIES: dict = {}
@@ -339,6 +342,65 @@ def rollback_effect(s: Star) -> DataFrame:
     return rows.agg(F.count_if(~F.col("active")).alias("inactive"), F.count("*").alias("n"))
 
 
+@query(f"""WITH {_EVENT_SQL} SELECT head, relation, tail, max(revision) AS revision FROM versioned WHERE ts <= TIMESTAMP '2024-01-20 06:00:00' AND change_id <> 7 GROUP BY 1, 2, 3""", families=False)
+def graph_as_of(s: Star) -> DataFrame:
+    """The graph at a time after the rollback of one changeset: the last revision that is valid then."""
+    _, after = _versioned(s).rollback("7", "2024-01-15 00:00:00")
+    rows = after.as_of("2024-01-20 06:00:00").edges
+    # edges that the changeset made after its rollback had begun when they had ended, and never are valid
+    return rows.select(F.col("src").alias("head"), F.col("rel_type").alias("relation"), F.col("dst").alias("tail"), F.col("revision").cast("long").alias("revision"))
+
+
+_INTERVALS = "spans AS (SELECT head, relation, tail, revision, ts, lead(ts) OVER (PARTITION BY head, relation, tail ORDER BY ts, event_id) AS until FROM versioned)"
+
+
+def _intervals(s: Star) -> DataFrame:
+    """Versioned edges with the time until which each revision is valid."""
+    rows = _versioned(s).graph.edges
+    until = F.lead("valid_from").over(Window.partitionBy("src", "rel_type", "dst").orderBy("revision"))
+    return rows.select(F.col("src").alias("head"), F.col("rel_type").alias("relation"), F.col("dst").alias("tail"), "revision", "valid_from", until.alias("valid_to"))
+
+
+@query(f"""WITH {_EVENT_SQL}, {_INTERVALS} SELECT a.head, a.relation, a.tail AS tail_1, a.revision AS revision_1, b.tail AS tail_2, b.revision AS revision_2 FROM spans a JOIN spans b ON a.head = b.head AND a.relation = b.relation AND a.tail < b.tail
+    WHERE a.ts < coalesce(b.until, TIMESTAMP '9999-01-01') AND b.ts < coalesce(a.until, TIMESTAMP '9999-01-01')""", families=False)
+def edges_overlapping(s: Star) -> DataFrame:
+    """Revisions of different edges of one user and relation that were valid at once."""
+    rows = temporal.overlapping(_intervals(s), _intervals(s), ["head", "relation"]).filter("l.tail < r.tail")
+    return rows.select("head", "relation", F.col("l.tail").alias("tail_1"), F.col("l.revision").cast("long").alias("revision_1"), F.col("r.tail").alias("tail_2"), F.col("r.revision").cast("long").alias("revision_2"))
+
+
+@query("""WITH views AS (SELECT user_id, event_id AS view_id, ts AS viewed FROM events WHERE event_type = 'view')
+    SELECT event_id, e.user_id AS user_id, view_id FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN views v ON e.user_id = v.user_id AND e.ts >= v.viewed""", families=False)
+def last_view_before(s: Star) -> DataFrame:
+    """Each event with its user's last view before it."""
+    events = s.table("events").select("event_id", "user_id", "event_type", "ts")
+    views = events.filter("event_type = 'view'").select("user_id", F.col("ts").alias("viewed"), F.col("event_id").alias("view_id"))
+    rows = temporal.last_before(events.filter("event_type <> 'view'"), views, ["user_id"], "ts", "viewed")
+    return rows.select("event_id", "user_id", F.col("found.view_id").alias("view_id"))
+
+
+def _stored_triples(s: Star, part: str, confidence: float) -> DataFrame:
+    """Customers' segments and nations as fused triples."""
+    customer = s.table("customer").join(s.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter(part)
+    triple = lambda relation, tail, shift: customer.select(
+        F.col("c_name").alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"), F.array(F.lit("crm")).alias("sources"), F.lit(confidence).alias("confidence"), F.lit(1).alias("frequency"),
+        F.lit(0.5).alias("edge_score"), F.lit(False).alias("conflict"), (F.col("c_custkey") + shift).alias("seq"),
+    )
+    return triple("TREATS", "c_mktsegment", 0).union(triple("HAS_SYMPTOM", "n_name", 1_000_000))
+
+
+@query("""SELECT src_label, src, rel_type, dst, CASE WHEN c_custkey % 50 = 7 THEN 0.9 ELSE 0.4 END AS confidence, 3 AS versions, old FROM (
+    SELECT c_custkey, 'Drug' AS src_label, c_name AS src, 'TREATS' AS rel_type, c_mktsegment AS dst, 0.4 AS old FROM customer UNION ALL SELECT c_custkey, 'Disease', c_name, 'HAS_SYMPTOM', n_name, 0.4 FROM customer JOIN nation ON c_nationkey = n_nationkey)""", families=False)
+def graph_store_merge(s: Star) -> DataFrame:
+    """A graph in a store: loaded, then some customers' edges merged into what was read from it; beside each edge its confidence in the version before."""
+    store = GraphStore.create(s.spark, f"{shared_folder(s.spark).rstrip('/')}/trellis-store-{uuid.uuid4().hex}", buckets=16)
+    store.merge(_stored_triples(s, "true", 0.4))
+    store.merge(_stored_triples(s, "c_custkey % 50 = 7", 0.9))
+    keys = ["src_label", "src", "rel_type", "dst"]
+    old = store.read(1).edges.select(*keys, F.col("confidence").alias("old"))
+    return store.read().edges.join(old, keys, "left").select(*keys, "confidence", F.lit(len(store.versions())).alias("versions"), "old")
+
+
 # --- evaluation
 
 _RESULTS = """answers AS (SELECT o_orderkey, list(DISTINCT p_brand ORDER BY p_brand) AS gold, list(DISTINCT p_brand ORDER BY p_brand) FILTER (l_returnflag <> 'R') AS predicted
@@ -545,7 +607,13 @@ def rule_relations(s: Star) -> DataFrame:
     return extract.extracted_triples(texts).select("source", "place", "head", "relation", "tail", "head_type", "tail_type", "confidence")
 
 
-@query()
+@query("""WITH names AS (SELECT DISTINCT lower(p_name || ' ' || p_brand || ' ' || p_type) AS name FROM part),
+    n AS (SELECT name, string_split(name, '') AS cs, list_transform(string_split(' abcdefghijklmnopqrstuvwxyz0123456789#', ''), lambda c: length(name) - length(replace(name, c, ''))) AS had FROM names),
+    near AS (SELECT a.name AS src, b.name AS dst, a.cs AS x, b.cs AS y FROM n a JOIN n b ON a.name < b.name
+      AND 2 * list_sum(list_transform(range(1, len(a.had) + 1), lambda i: least(a.had[i], b.had[i]))) >= 0.9 * (len(a.cs) + len(b.cs)) - 1e-9),
+    bits AS (SELECT src, dst, x, y, map_from_entries(list_transform(list_distinct(x), lambda c: {'k': c, 'v': CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT)})) AS masks FROM near),
+    steps AS (SELECT src, dst, len(x) AS m, len(y) AS n, list_reduce(list_prepend((CAST(1 AS BIGINT) << len(x)) - 1, list_transform(y, lambda c: coalesce(masks[c], 0))), lambda v, mask: ((v + (v & mask)) | (v - (v & mask))) & ((CAST(1 AS BIGINT) << len(x)) - 1)) AS row FROM bits)
+    SELECT src, dst FROM steps WHERE 200.0 * (m - bit_count(row)) / (m + n) >= 90""", families=False)
 def fuzzy_link(s: Star) -> DataFrame:
     return linking.similar_edges(s.table("part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")), 90.0)
 
