@@ -68,6 +68,9 @@ class Pair:
             self.b[i] = bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode()
             if " " in self.b[i].decode("utf-8", "replace").lstrip(" ") and not self._b.is_control(i):
                 raise ValueError("a piece has a space mark after another character")
+        self.size_a, self.name_a = [len(self.a.get(i, b"")) for i in range(max(self.a) + 1)], [str(i) for i in range(max(self.a) + 1)]
+        self.size_b, self.name_b = [len(self.b[i]) for i in range(len(self.b))], [str(i) for i in range(len(self.b))]
+        self.made: dict[str, str] = {}
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
@@ -75,51 +78,47 @@ class Pair:
     def a_id(merge, vocab: dict[str, int]) -> int:
         return vocab["".join(merge if isinstance(merge, list) else merge.split(" "))]
 
-    def encoded(self, unit: str) -> tuple[list[int], list[int]]:
-        return self._a.encode_ordinary(" " + unit), self._b.encode(unit)
-
-    def groups(self, unit: str) -> tuple[str, ...] | None:
-        """The groups `a1,a2|b1` of a space and `unit`; None where a tokenizer changes it."""
-        ids_a, ids_b = self.encoded(unit)
-        want = (" " + unit).encode()
-        if b"".join(map(self.a.__getitem__, ids_a)) != want or b"".join(map(self.b.__getitem__, ids_b)) != want:
-            return None
-        if len(ids_a) == 1 and len(ids_b) == 1:
-            return (f"{ids_a[0]}|{ids_b[0]}",)
-        out, i, j, end_a, end_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(ids_a):
-            end_a += len(self.a[ids_a[i]])
-            i += 1
-            while end_b < end_a:
-                end_b += len(self.b[ids_b[j]])
-                j += 1
-            if end_a == end_b:
-                out.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-                from_a, from_b = i, j
-        return tuple(out)
-
-    def units(self, text: str) -> list[tuple[str, ...]] | None:
-        """The groups of a whole text by unit, or None."""
+    def groups(self, units: list[str]) -> list[tuple[str, ...] | None]:
+        """For each unit the groups `a1,a2|b1` of a space and it; None where B changes it (A keeps every byte)."""
+        size_a, size_b, name_a, name_b, say_b, made = self.size_a, self.size_b, self.name_a, self.name_b, self.b, self.made
+        if len(made) > MEMO:
+            made.clear()
         out = []
-        for unit in _UNITS.split(text):
-            found = self.young.get(unit, 0)
-            if found == 0:
-                found = self.old.get(unit, 0)
-                if found == 0:
-                    found = self.groups(unit)
-                if len(unit) <= MEMO_CHARS:
-                    if len(self.young) >= MEMO:
-                        self.old, self.young = self.young, {}
-                    self.young[unit] = found
-            if found is None:
-                return None
-            out.append(found)
+        for unit, ids_b in zip(units, self._b.encode(units, num_threads=1), strict=True):
+            if b"".join([say_b[b] for b in ids_b]) != (" " + unit).encode():
+                out.append(None)
+                continue
+            found, j, end_a, end_b, said_a, said_b = [], 0, 0, 0, "", ""
+            for a in self._a.encode_ordinary(" " + unit):
+                end_a += size_a[a]
+                said_a = said_a + "," + name_a[a] if said_a else name_a[a]
+                while end_b < end_a:
+                    b = ids_b[j]
+                    j += 1
+                    end_b += size_b[b]
+                    said_b = said_b + "," + name_b[b] if said_b else name_b[b]
+                if end_a == end_b:
+                    group = said_a + "|" + said_b
+                    found.append(made.setdefault(group, group))
+                    said_a = said_b = ""
+            out.append(tuple(found))
         return out
 
-
-def _sizes(group: str) -> tuple[int, int]:
-    a, b = group.split("|")
-    return a.count(",") + 1, b.count(",") + 1
+    def units(self, text: str) -> list[tuple[str, ...]] | None:
+        """The groups of a whole text by unit, or None."""
+        units = _UNITS.split(text)
+        young, old = self.young, self.old
+        found = [young.get(u, 0) for u in units]
+        if 0 in found:
+            missing = {u for u, f in zip(units, found, strict=True) if f == 0}
+            again = {u: old[u] for u in missing if u in old}
+            new = [u for u in missing if u not in again]
+            again |= zip(new, self.groups(new), strict=True)
+            found = [again[u] if f == 0 else f for u, f in zip(units, found, strict=True)]
+            young.update((u, f) for u, f in again.items() if len(u) <= MEMO_CHARS)
+            if len(young) >= MEMO:
+                self.old, self.young = young, {}
+        return None if None in found else found
 
 
 _CHUNK = (
@@ -133,7 +132,8 @@ class _Chunk:
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.shape: list[tuple[int, int]] = []
+        self.of_a: list[int] = []
+        self.of_b: list[int] = []
         self.docs, self.cells, self.freqs, self.tokens = [], [], [], 0
 
     def add(self, doc_id, units: list[tuple[str, ...]] | None) -> None:
@@ -146,14 +146,16 @@ class _Chunk:
             seen = Counter(chain.from_iterable(units))
             known = self.known
             for g in seen.keys() - known.keys():
-                known[g] = len(self.shape)
-                self.shape.append(_sizes(g))
+                known[g] = len(self.of_a)
+                a, b = g.split("|")
+                self.of_a.append(a.count(",") + 1)
+                self.of_b.append(b.count(",") + 1)
             cells, freqs = np.fromiter(map(known.__getitem__, seen), np.int32, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
             order = np.argsort(cells)
             cells, freqs = cells[order], freqs[order]
-            sizes = np.array([self.shape[c] for c in cells], np.int64)
-            n_a, n_b = int(freqs @ sizes[:, 0]), int(freqs @ sizes[:, 1])
-            row |= {"n_a": n_a, "n_b": n_b, "n_groups": int(freqs.sum()), "n_links": int(freqs @ (sizes[:, 0] * sizes[:, 1])), "sha": digest.hexdigest()}
+            of_a, of_b = (np.fromiter(map(x.__getitem__, cells.tolist()), np.int64, len(cells)) for x in (self.of_a, self.of_b))
+            n_a, n_b = int(freqs @ of_a), int(freqs @ of_b)
+            row |= {"n_a": n_a, "n_b": n_b, "n_groups": int(freqs.sum()), "n_links": int(freqs @ (of_a * of_b)), "sha": digest.hexdigest()}
             self.tokens += n_a + n_b
         self.tokens += 50
         self.docs.append(row)
@@ -163,7 +165,7 @@ class _Chunk:
     def row(self, chunk: int) -> dict:
         cells = np.concatenate(self.cells)
         counts = np.array([len(c) for c in self.cells], np.int32)
-        names = [""] * len(self.shape)
+        names = [""] * len(self.of_a)
         for g, i in self.known.items():
             names[i] = g
         a, b, n = _repeats(names, cells, counts)
