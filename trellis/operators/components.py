@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,43 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         turn += 1
     smallest = root.groupBy("root").agg(F.min("node").alias("component"))
     return looked_up(root, smallest, "root", 2 * size, 2 * size, "inner", most).select("node", "component")
+
+
+@dataclass
+class Components:
+    """Components that grow: `roots` (node, root) never changes but for new nodes, `moved` (root, component) says where old roots are now.
+
+    `add` looks up the ends of a batch, contracts the batch over their components, and patches `moved`, which has a row for each root that was ever
+    joined to another. No pass over all edges or nodes is made; `table` gives (node, component) as `connected_components` of all edges would.
+    """
+
+    roots: DataFrame
+    moved: DataFrame
+
+    @classmethod
+    def of(cls, edges: DataFrame, src: str = "src", dst: str = "dst") -> Components:
+        roots = connected_components(edges, src, dst).select("node", F.col("component").alias("root"))
+        return cls(checkpointed(roots), roots.limit(0).select("root", F.col("root").alias("component")))
+
+    def add(self, edges: DataFrame, src: str = "src", dst: str = "dst") -> Components:
+        """Components with a batch of edges. A self loop makes a new node known; nulls at either end are ignored."""
+        batch = checkpointed(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null").distinct())
+        nodes = batch.select(F.col("src").alias("node")).union(batch.select("dst")).distinct()
+        found = self.roots.join(nodes, "node", "left_semi").join(self.moved, "root", "left").select("node", F.coalesce("component", "root").alias("at"))
+        ends = checkpointed(nodes.join(found, "node", "left").select("node", F.coalesce("at", "node").alias("at"), F.col("at").isNull().alias("new")))
+        size = 2 * batch.count()
+        met = looked_up(batch, ends.select(F.col("node").alias("src"), F.col("at").alias("u")), "src", size, size, "inner")
+        met = looked_up(met, ends.select(F.col("node").alias("dst"), F.col("at").alias("v")), "dst", size, size, "inner")
+        joined = checkpointed(connected_components(met, "u", "v"))
+        fresh = ends.filter("new").join(joined, "node").select("node", F.col("component").alias("root"))
+        went = joined.filter("node <> component").join(ends.filter("new").select("node"), "node", "left_anti").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = self.moved.join(went, "component", "left").select("root", F.coalesce("to", "component").alias("component"))
+        moved = moved.unionByName(went.select(F.col("component").alias("root"), F.col("to").alias("component")))
+        out = Components(self.roots.unionByName(checkpointed(fresh)), checkpointed(moved))
+        removed(batch, ends, joined)
+        return out
+
+    def table(self, most: int = BROADCAST_ROWS) -> DataFrame:
+        """(node, component) of every node."""
+        n = self.roots.count()
+        return looked_up(self.roots, self.moved, "root", n, min(n, self.moved.count()), "left", most).select("node", F.coalesce("component", "root").alias("component"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, temporal, versioning
+from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, search_index, temporal, versioning
 from ..runtime import shared_folder, stored
 from ..schemas import EDGES, NODES
 from ..sources.store import GraphStore
@@ -172,6 +172,24 @@ def entity_search(s: Star) -> DataFrame:
     return graph.Graph(_nodes(s), _nodes(s).limit(0)).search("Brand#1").select("name", "label", F.col("match_type").cast("long").alias("match_type"), F.col("name_len").cast("long").alias("name_len"))
 
 
+_CALLED = """called AS (SELECT p_name || '#' || p_partkey AS name, 'Part' AS label, p_brand AS alias FROM part UNION ALL SELECT s_name, 'Supplier', NULL FROM supplier UNION ALL SELECT c_name, 'Customer', NULL FROM customer),
+    asked AS (SELECT p_brand AS asked FROM part UNION SELECT p_name FROM part UNION SELECT p_name || '#' || p_partkey FROM part WHERE p_size = 1 UNION SELECT right(s_name, 4) FROM supplier UNION SELECT substr(c_mktsegment, 1, 2) FROM customer)"""
+
+
+@query(f"""WITH {_CALLED} SELECT asked, name, label, match_type, name_len FROM (
+    SELECT asked, name, label, CASE WHEN lower(name) = lower(asked) THEN 0 ELSE 1 END AS match_type, length(name) AS name_len,
+      row_number() OVER (PARTITION BY asked ORDER BY CASE WHEN lower(name) = lower(asked) THEN 0 ELSE 1 END, length(name), name, label) AS r
+    FROM asked JOIN called ON contains(lower(name), lower(asked)) OR coalesce(contains(lower(alias), lower(asked)), false)) WHERE r <= 10""", families=False)
+def entity_search_index(s: Star) -> DataFrame:
+    """Batch search in a stored gram index of two segments: the ranked top ten of each question, as a scan of all nodes gives them."""
+    index = search_index.SearchIndex(s.spark, f"{shared_folder(s.spark).rstrip('/')}/trellis-index-{uuid.uuid4().hex}")
+    index.add(_nodes(s).filter("label <> 'Customer'"))
+    index.add(_nodes(s).filter("label = 'Customer'"))
+    part = s.table("part")
+    asked = part.select("p_brand").union(part.select("p_name")).union(s.parts().filter("p_size = 1").select("part")).union(s.table("supplier").select(F.expr("right(s_name, 4)"))).union(s.table("customer").select(F.substring("c_mktsegment", 1, 2)))
+    return index.search_batch(asked.toDF("asked")).select("asked", "name", "label", F.col("match_type").cast("long").alias("match_type"), F.col("name_len").cast("long").alias("name_len"))
+
+
 @query("""SELECT head AS entity, string_agg(tail, '|' ORDER BY r) AS predicted FROM (
     SELECT head, tail, row_number() OVER (PARTITION BY head ORDER BY round(score, 6) DESC NULLS FIRST, tail) AS r FROM scored) WHERE r <= 3 GROUP BY head""")
 def ask_batch_topk(s: Star) -> DataFrame:
@@ -497,6 +515,20 @@ def alias_components(s: Star) -> DataFrame:
     return linking.canonical_names(s.table("supplier").select(F.concat("s_name", F.lit(" ("), alias, F.lit(")")).alias("name")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT lower(s_name) AS a, 'g' || s_suppkey % 7 || '.' || s_suppkey // 40 AS b FROM supplier UNION SELECT 'g' || k || '.0', 'g' || k || '.1' FROM (SELECT unnest([1, 3]) AS k)),
+    link AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+    reach AS (SELECT a AS name, b AS other FROM link UNION SELECT r.name, l.b FROM reach r JOIN link l ON r.other = l.a)
+    SELECT name AS node, min(other) AS component FROM reach GROUP BY name""", families=False)
+def alias_components_incremental(s: Star) -> DataFrame:
+    """Components of aliases that come in three batches, the last of which joins groups of the first ones."""
+    alias = F.concat(F.lit("G"), F.col("s_suppkey") % 7, F.lit("."), F.floor(F.col("s_suppkey") / 40))
+    names = s.table("supplier").select("s_suppkey", F.concat("s_name", F.lit(" ("), alias, F.lit(")")).alias("name"))
+    made = components.Components.of(linking.alias_edges(names.filter("s_suppkey % 3 > 0")))
+    made = made.add(linking.alias_edges(names.filter("s_suppkey % 3 = 0")))
+    late = s.spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(3))).alias("k")).select(F.concat(F.lit("g"), "k", F.lit(".0")).alias("src"), F.concat(F.lit("g"), "k", F.lit(".1")).alias("dst"))
+    return made.add(late).table()
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\t-\r -~]', '', 'g')), '[\t-\r ]+', ' ', 'g')) AS name FROM documents""", families=False)
 def normalize_ascii(s: Star) -> DataFrame:
     rows = s.table("documents").select("doc_id", F.regexp_replace("text", r"[^\t-\r -~]", "").alias("t"))

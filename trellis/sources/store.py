@@ -129,6 +129,11 @@ class GraphStore:
         found = [self.manifest(v) for v in reversed(self.versions())]
         return [{"version": m["version"], "operation": m["operation"], "at": m["at"]} | {t: len(m["rewritten"].get(t, [])) for t in TABLES} for m in found]
 
+    def nodes_rewritten(self, since: int, version: int) -> DataFrame:
+        """The nodes of a version that lie in buckets written after version `since`."""
+        old, new = self.manifest(since)["tables"]["nodes"], self.manifest(version)
+        return self._rows(new, "nodes", {int(b) for b, w in new["tables"]["nodes"].items() if old.get(b) != w})
+
     def node_bucket(self, label: str | None, name: str) -> int:
         """Where a node is: a lookup by key reads one bucket."""
         return self.spark.range(1).select(self._bucket(self.manifest()["buckets"], [F.lit(label), F.lit(name)])).first()[0]
