@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import stored
 from . import chat_format, conversation_repair, decontaminate, fingerprints, html_extract, language_id, line_dedup, lm_scoring, pieces, secret_scan, simhash, token_alignment, url_filter
 
 #: Fixed rules of the URL query: verdict, host and path.
@@ -148,7 +149,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules, base = secret_scan.RULES, [r.kind for r in secret_scan.BASE_RULES]
-    ledger = secret_scan.scan(secret_scan.unseen(versions, rules), rules)
+    # stored, as a ledger is: its join with the versions then has an exchange of its own, in which Spark splits a blob that very many have
+    ledger = stored(secret_scan.scan(secret_scan.unseen(versions, rules), rules), "ledger")
     rows, spans = secret_scan.findings(versions, ledger, rules), F.col("spans")
     counts = (secret_scan.number_of(spans, k).alias(f"n_{k}") for k in base)
     return rows.select("doc_id", *counts, F.sha2(secret_scan.as_text(spans, base), 256).alias("base_sha256"), secret_scan.as_text(spans, [r.kind for r in rules]).alias("spans"))
