@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..runtime import removed, stored
 from .graph import Graph
 from .qa import INTENTS, ask_batch, understood
 
@@ -89,6 +92,8 @@ def run(graph: Graph, samples: DataFrame, top_k: int = 10) -> DataFrame:
 
 #: Ranges that values are counted by before the exact percentiles are looked for within one of them.
 RANGES = 1024
+#: Relative error of quantiles from sketches.
+SKETCH_ERROR = 0.01
 
 
 def latency_percentiles(results: DataFrame, column: str = "latency_ms") -> DataFrame:
@@ -135,14 +140,77 @@ def _markdown(rows: list, columns: list[tuple[str, str, str]]) -> str:
     return "\n".join("| " + " | ".join(row) + " |" for row in cells)
 
 
+def cube(results: DataFrame) -> DataFrame:
+    """All totals in one pass: (by_intent, by_executable, intent, executable, total, executable_count, executable_rate, accuracy_at_1, avg_precision,
+    avg_recall, avg_f1, coverage) over the grouping sets (), (intent), (executable) and (intent, executable); by_ tells what a row is grouped by. Without results there are no rows."""
+    answered = F.col("executable") & (F.size("predicted") > 0)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    rows = results.select("intent", "executable", "predicted", "exact_match", "precision", "recall", "f1", F.col("executable").alias("could"), answered.alias("answered"))
+    sets = rows.groupingSets([[], ["intent"], ["executable"], ["intent", "executable"]], "intent", "executable")
+    return sets.agg(
+        (F.grouping("intent") == 0).alias("by_intent"), (F.grouping("executable") == 0).alias("by_executable"), F.count("*").alias("total"), F.coalesce(F.sum(F.col("could").cast("long")), F.lit(0)).alias("executable_count"),
+        _share(F.col("could")).alias("executable_rate"), _share(F.col("exact_match")).alias("accuracy_at_1"), mean("precision").alias("avg_precision"), mean("recall").alias("avg_recall"), mean("f1").alias("avg_f1"),
+        _share(F.col("answered")).alias("coverage"),
+    )
+
+
+def latency_sketches(results: DataFrame, keys: list[str], error: float = SKETCH_ERROR) -> DataFrame:
+    """(keys, n, sketch, questions): for each group a histogram of latencies and a HyperLogLog sketch of its distinct questions.
+
+    The histogram counts values by the power of (1 + error) / (1 - error) that they lie under, so that a quantile is off by a factor of `error` at most; it has some
+    hundred bins whatever the number of rows. Sketches of batches, days or intents are merged by `merged_sketches`, and no result is read twice."""
+    bins = F.map_from_entries(F.sort_array(F.collect_list(F.struct("bin", "n"))))
+    rows = results.filter("latency_ms is not null").select(*keys, _bin(F.col("latency_ms"), error).alias("bin"), "question")
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.hll_sketch_agg(F.col("question").cast("string"), F.lit(12)).alias("questions"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"), bins.alias("sketch"), F.hll_union_agg("questions").alias("questions"))
+
+
+def _bin(value: Column, error: float) -> Column:
+    """0 for values under 1, else the number of the power that a value lies under."""
+    return F.when(value < 1, 0).otherwise(F.floor(F.log(value.cast("double")) / math.log((1 + error) / (1 - error))).cast("int") + 1)
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches (n, sketch, questions) of finer groups, or of other batches, as those of `keys`."""
+    own = sketches.select(*keys, F.explode("sketch").alias("bin", "m"))
+    bins = own.groupBy(*keys, "bin").agg(F.sum("m").alias("m")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bin", "m")))).alias("sketch"))
+    rest = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_union_agg("questions").alias("questions"))
+    if not keys:
+        return rest.crossJoin(bins).select("n", "sketch", "questions")  # one row each
+    return rest.join(bins, keys).select(*keys, "n", "sketch", "questions")
+
+
+def sketched(sketches: DataFrame, quantiles: dict[str, float], error: float = SKETCH_ERROR) -> DataFrame:
+    """`sketches` with the values at index floor(n * q) of the ascending list for each name of `quantiles`, off by a factor of `error` at most (values
+    under 1 are 0), and `distinct`, the number of distinct questions, off by 1.6 % (one standard deviation)."""
+    base = (1 + error) / (1 - error)
+    ordered = F.array_sort(F.map_entries("sketch"))
+    out = sketches
+    for name, q in quantiles.items():
+        index = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+        start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(-1).alias("bin"))
+        found = F.aggregate(ordered, start, _to_index(index))["bin"]
+        out = out.withColumn(name, F.when(found == 0, 0.0).otherwise(F.pow(F.lit(base), found - 1) * 2 * base / (1 + base)))
+    return out.withColumn("distinct", F.hll_sketch_estimate("questions"))
+
+
+def _to_index(index: Column):
+    return lambda a, x: F.struct((a["upto"] + x["value"]).alias("upto"), F.when((a["bin"] < 0) & (a["upto"] + x["value"] > index), x["key"]).otherwise(a["bin"]).alias("bin"))
+
+
 def report(results: DataFrame, made_at: str, failures: int = 20) -> str:
-    """A Markdown report of overall metrics, intents, the slowest ten questions and the first `failures` failed ones. Only these few rows leave Spark."""
-    total = overall(results).crossJoin(latency_percentiles(results))
+    """A Markdown report of overall metrics, intents, the slowest ten questions and the first `failures` failed ones. Results are made once and stored
+    for it; only these few rows leave Spark."""
+    results = stored(results, "results")
+    totals = cube(results).filter("not by_executable").collect()
+    over = next((r.asDict() for r in totals if not r["by_intent"]), {})
+    first = {name: over.get("total" if name == "total_samples" else name, 0) for _, name, _ in OVERALL} | latency_percentiles(results).first().asDict()
     bad = failed(results).withColumn("why", F.when(F.col("executable"), "no result").otherwise("not executable")).orderBy("question")
     parts = {
-        f"Evaluation of {made_at}": (total, OVERALL),
-        "By intent": (per_intent(results).orderBy("intent"), PER_INTENT),
-        "Slowest": (slowest(results), SLOWEST),
-        f"Failed: {failed(results).count()}": (bad.limit(failures), FAILED),
+        f"Evaluation of {made_at}": ([first], OVERALL),
+        "By intent": (sorted((r for r in totals if r["by_intent"]), key=lambda r: (r["intent"] is not None, r["intent"])), PER_INTENT),
+        "Slowest": (slowest(results).collect(), SLOWEST),
+        f"Failed: {failed(results).count()}": (bad.limit(failures).collect(), FAILED),
     }
-    return "\n\n".join(f"## {heading}\n\n{_markdown(rows.collect(), columns)}" for heading, (rows, columns) in parts.items()) + "\n"
+    removed(results)
+    return "\n\n".join(f"## {heading}\n\n{_markdown(rows, columns)}" for heading, (rows, columns) in parts.items()) + "\n"

@@ -12,9 +12,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..schemas import RAW_TRIPLE
 
@@ -366,3 +367,56 @@ def map_label(raw: Column, model_labels: dict[str, str], names: dict[str, str])
         clean = F.replace(clean, F.lit(prefix), F.lit(""))
     table = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) if d else F.create_map().cast("map<string,string>")
     return F.coalesce(F.element_at(table(model_labels), F.lower(clean)), F.element_at(table(names), clean), F.element_at(table(names), raw), F.lit("Entity"))
+
+
+SPAN_ROW = "start int, end int, label string, span string, score double"
+RELATION_ROW = "head string, relation string, tail string, head_type string, tail_type string, confidence double"
+
+
+def register_extractor(spark: SparkSession, name: str, found: Callable[[list[str]], list[list[tuple]]], columns: str = SPAN_ROW) -> None:
+    """Make an extractor a table function of SQL: `SELECT d.doc_id, s.* FROM docs d, LATERAL name(d.text) s`, in queries and in rules alike.
+
+    `found` gets a list of texts (that of one call), nulls as empty ones, and gives a list of rows for each. The function has the given columns, or fewer: a call may name
+    those that it wants, as `name(d.text, 'label, span')`, which `analyze` checks before anything runs. A text that `found` fails on fails the query."""
+    kinds = [c.strip().split(" ", 1) for c in columns.split(",")]
+    schema = {k: T.StructType.fromDDL(f"`{k}` {kind}") for k, kind in kinds}
+
+    class Extractor:
+        @staticmethod
+        def analyze(text: AnalyzeArgument, wanted: AnalyzeArgument | None = None) -> AnalyzeResult:
+            if not isinstance(text.dataType, T.StringType):
+                raise ValueError(f"{name}: the first argument must be a text")
+            names = [k for k, _ in kinds]
+            if wanted is not None:
+                if not wanted.isConstantExpression:
+                    raise ValueError(f"{name}: the columns must be a constant")
+                names = [n.strip() for n in str(wanted.value).split(",")]
+                if unknown := [n for n in names if n not in schema]:
+                    raise ValueError(f"{name}: no such column: {', '.join(unknown)}; it has {', '.join(schema)}")
+            return AnalyzeResult(T.StructType([schema[n].fields[0] for n in names]))
+
+        def eval(self, text: str, wanted: str | None = None):
+            order = [k for k, _ in kinds]
+            picked = range(len(order)) if wanted is None else [order.index(n.strip()) for n in wanted.split(",")]
+            for row in found([text or ""])[0]:
+                yield tuple(row[i] for i in picked)
+
+    spark.udtf.register(name, F.udtf(Extractor, useArrow=True))
+
+
+def rule_relations_of(texts: list[str]) -> list[list[tuple]]:
+    """The pattern relations of texts, for register_extractor with RELATION_ROW."""
+    return [relations_in(t) for t in texts]
+
+
+def dictionary_spans_of(dictionary: dict[str, list[str]], score: float = DICTIONARY_SCORE) -> Callable[[list[str]], list[list[tuple]]]:
+    """Dictionary spans of texts, for register_extractor, as `dictionary_spans` finds them."""
+    patterns = [(label, "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n)))) for label, names in dictionary.items() if names]
+    rank = {label: i for i, (label, _) in enumerate(patterns)}
+
+    def found(texts: list[str]) -> list[list[tuple]]:
+        # re keeps compiled patterns by itself
+        rows = (_kept([(m[0], m.start(), m.end(), label, score) for label, p in patterns for m in re.finditer(p, t)], rank) for t in texts)
+        return [[(start, end, label, text, score_) for text, start, end, label, score_ in row] for row in rows]
+
+    return found

@@ -6,13 +6,15 @@ which no rule reads.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+from .counters import Counters
 from .graph import Graph, hop, undirected, without
 
 
@@ -34,9 +36,10 @@ class Rule:
         return rows.select("head", "relation", "tail", F.col("confidence").cast("double").alias("confidence"), "via", F.lit(self.rule_id).alias("rule_id"))
 
     def _over_views(self, graph: Graph) -> DataFrame:
-        graph.nodes.createOrReplaceTempView("nodes")
-        graph.edges.createOrReplaceTempView("edges")
-        return graph.edges.sparkSession.sql(self.plan)
+        """SQL that names `nodes` and `edges` as tables sees this graph's, in common table expressions: views of the session stay as they are."""
+        plan = self.plan.strip().replace("{", "{{").replace("}", "}}")
+        more = f", {plan[4:]}" if re.match(r"(?is)with\s", plan) and not re.match(r"(?is)with\s+recursive\s", plan) else f" {plan}"
+        return graph.edges.sparkSession.sql(f"WITH nodes AS (SELECT * FROM {{nodes_}}), edges AS (SELECT * FROM {{edges_}}){more}", nodes_=graph.nodes, edges_=graph.edges)
 
 
 def star(left: DataFrame, right: DataFrame, existing: DataFrame, distinct: bool = False) -> DataFrame:
@@ -104,12 +107,13 @@ MEDICAL_RULES = [
 
 
 def run_rules(
-    graph: Graph, rules: list[Rule] = MEDICAL_RULES, max_inferences: int = 1000, active_only: bool = False, failed: dict[str, Exception] | None = None
+    graph: Graph, rules: list[Rule] = MEDICAL_RULES, max_inferences: int = 1000, active_only: bool = False, failed: dict[str, Exception] | None = None, counters: Counters | None = None
 ) -> DataFrame:
     """All rules' inferences with rule_order, up to and with the rule that reaches `max_inferences`: rules are kept whole or not at all.
 
-    With `active_only`, edges of rolled-back changesets are not read. Given a dict `failed`, a rule whose plan Spark rejects (a column that is not there,
-    SQL that cannot be read) is left out and named there, and the others run; without one it is an error.
+    With `active_only`, edges of rolled-back changesets are not read. Given a dict `failed`, each rule is run and stored by itself: one that fails, be it in
+    planning (a column that is not there, SQL that cannot be read) or in a task, is left out and named there, and the others run; without one it is an
+    error of the whole. `counters` get the inferences of each rule under its id.
     """
     if active_only:
         graph = Graph(graph.nodes, graph.edges.filter(F.coalesce("active", F.lit(True))))
@@ -117,8 +121,9 @@ def run_rules(
     for order, rule in enumerate(rules):
         try:
             own = rule.apply(graph).withColumn("rule_order", F.lit(order))
-            own.schema  # noqa: B018 - has the plan checked here, not at the first action
-        except PySparkException as error:
+            own = own if counters is None else counters.count(rule.rule_id, own)
+            own = own if failed is None else stored(own, "rule")
+        except Exception as error:  # noqa: BLE001 - whatever a rule raises, the others run
             if failed is None:
                 raise
             failed[rule.rule_id] = error

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, search_index, temporal, versioning
+from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, search_index, temporal, vectors, versioning
 from ..runtime import shared_folder, stored
 from ..schemas import EDGES, NODES
 from ..sources.store import GraphStore
@@ -468,6 +468,32 @@ def latency_index_percentiles(s: Star) -> DataFrame:
     return evaluate.latency_percentiles(_results(s))
 
 
+_TOTALS = """count(*) AS total, count(*) FILTER (executable) AS executable_count, round(avg(CAST(executable AS DOUBLE)), 6) AS executable_rate, round(avg(CAST(exact_match AS DOUBLE)), 6) AS accuracy_at_1,
+    round(avg("precision"), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(f1), 6) AS avg_f1, round(avg(CAST(executable AND len(predicted) > 0 AS DOUBLE)), 6) AS coverage"""
+
+
+@query(f"""WITH {_RESULTS} SELECT grouping(intent) = 0 AS by_intent, grouping(executable) = 0 AS by_executable, intent, executable, {_TOTALS} FROM metrics
+    GROUP BY GROUPING SETS ((), (intent), (executable), (intent, executable))""", families=False)
+def eval_cube(s: Star) -> DataFrame:
+    """All totals of an evaluation in one pass."""
+    rows = evaluate.cube(_results(s))
+    return rows.select("by_intent", "by_executable", "intent", "executable", "total", "executable_count", *(F.round(c, 6).alias(c) for c in rows.columns if c[:4] == "avg_" or c in ("executable_rate", "accuracy_at_1", "coverage")))
+
+
+_SKETCH_BASE = (1 + evaluate.SKETCH_ERROR) / (1 - evaluate.SKETCH_ERROR)
+
+
+@query(f"""WITH {_RESULTS}, ranked AS (SELECT intent, latency_ms, row_number() OVER (PARTITION BY intent ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY intent) AS n FROM metrics),
+    found AS (SELECT intent, max(n) AS n, max(latency_ms) FILTER (i = floor(n * 0.5)) AS p50, max(latency_ms) FILTER (i = least(floor(n * 0.95), n - 1)) AS p95 FROM ranked GROUP BY intent)
+    SELECT intent, n, round(CASE WHEN p50 < 1 THEN 0 ELSE pow({_SKETCH_BASE!r}, floor(ln(p50) / ln({_SKETCH_BASE!r}))) * 2 * {_SKETCH_BASE!r} / (1 + {_SKETCH_BASE!r}) END, 4) AS latency_p50,
+      round(CASE WHEN p95 < 1 THEN 0 ELSE pow({_SKETCH_BASE!r}, floor(ln(p95) / ln({_SKETCH_BASE!r}))) * 2 * {_SKETCH_BASE!r} / (1 + {_SKETCH_BASE!r}) END, 4) AS latency_p95, true AS distinct_near FROM found""", families=False)
+def latency_sketch(s: Star) -> DataFrame:
+    """Percentiles and distinct questions of each intent from sketches of finer groups that are merged: values within one hundredth of the exact ones."""
+    fine = evaluate.latency_sketches(_results(s), ["intent", "executable"])
+    rows = evaluate.sketched(evaluate.merged_sketches(fine, ["intent"]), {"latency_p50": 0.5, "latency_p95": 0.95})
+    return rows.select("intent", "n", F.round("latency_p50", 4).alias("latency_p50"), F.round("latency_p95", 4).alias("latency_p95"), (F.abs(F.col("distinct") - F.col("n")) <= 0.07 * F.col("n")).alias("distinct_near"))
+
+
 @query(f"WITH {_RESULTS} SELECT question, executable FROM metrics WHERE NOT executable OR len(predicted) = 0", families=False)
 def failed_samples(s: Star) -> DataFrame:
     return evaluate.failed(_results(s)).select("question", "executable")
@@ -622,6 +648,20 @@ def span_merge(s: Star) -> DataFrame:
     return rows.select("doc_id", F.size("spans").alias("n"), F.round(F.aggregate("spans", F.lit(0.0), lambda a, x: a + x["score"]), 6).alias("score"))
 
 
+@query(_SPANS_SQL.replace("array_to_string(found, '|') AS names", "array_to_string(list_sort(found), '|') AS names"), families=False)
+def extractor_function(s: Star) -> DataFrame:
+    """Dictionary spans by a table function that SQL calls for each text."""
+    extract.register_extractor(s.spark, "dictionary_spans_of", extract.dictionary_spans_of(DICTIONARY))
+    rows = s.spark.sql("SELECT d.doc_id, x.span, x.end FROM {docs} d LEFT JOIN LATERAL dictionary_spans_of(d.text, 'span, end') x ON true", docs=s.table("documents"))
+    return rows.groupBy("doc_id").agg(F.count("span").cast("int").alias("n"), F.array_join(F.sort_array(F.collect_list("span")), "|").alias("names"), F.coalesce(F.max("end"), F.lit(0)).cast("long").alias("last_end"))
+
+
+def _rule_texts(s: Star) -> DataFrame:
+    """Customers as nodes whose description is a text in words."""
+    text = F.concat(F.lit("糖尿病的症状有"), "c_name", F.lit("、"), "c_mktsegment", F.lit("。"))
+    return s.table("customer").select(F.lit("Customer").alias("label"), F.col("c_name").alias("name"), F.create_map(F.lit("desc"), text).alias("props"))
+
+
 def _pattern_sql(i: int, pattern: str, relation: str, head_type: str, tail_type: str) -> str:
     """What one pattern finds: heads and tails are the first and the second group, a third one counting instead of the second."""
     groups = pattern.replace("(?:", "").count("(")
@@ -639,6 +679,15 @@ def rule_relations(s: Star) -> DataFrame:
     return extract.extracted_triples(texts).select("source", "place", "head", "relation", "tail", "head_type", "tail_type", "confidence")
 
 
+@query("SELECT '糖尿病' AS head, 'HAS_SYMPTOM' AS relation, unnest([c_name, c_mktsegment || '。']) AS tail, 0.7 AS confidence, c_name AS via FROM customer", families=False)
+def rule_with_extractor(s: Star) -> DataFrame:
+    """A rule in SQL that calls an extractor on the nodes' descriptions."""
+    extract.register_extractor(s.spark, "relations_of", extract.rule_relations_of, extract.RELATION_ROW)
+    rule = rules.Rule("described", "SELECT r.head, r.tail, r.confidence, n.name AS via FROM nodes n, LATERAL relations_of(n.props['desc']) r WHERE r.relation = 'HAS_SYMPTOM'", "HAS_SYMPTOM")
+    rows = rules.run_rules(graph.Graph(_rule_texts(s), s.spark.range(0).selectExpr("'' AS src", "'' AS rel_type", "'' AS dst")), [rule], max_inferences=1)
+    return rows.select("head", "relation", "tail", "confidence", "via")
+
+
 @query("""WITH names AS (SELECT DISTINCT lower(p_name || ' ' || p_brand || ' ' || p_type) AS name FROM part),
     n AS (SELECT name, string_split(name, '') AS cs, list_transform(string_split(' abcdefghijklmnopqrstuvwxyz0123456789#', ''), lambda c: length(name) - length(replace(name, c, ''))) AS had FROM names),
     near AS (SELECT a.name AS src, b.name AS dst, a.cs AS x, b.cs AS y FROM n a JOIN n b ON a.name < b.name
@@ -670,6 +719,15 @@ def intent_patterns(s: Star) -> DataFrame:
     return s.table("customer").select("c_custkey", qa.intent_of(question).alias("i"), qa.longest_token(question).alias("longest")).select("c_custkey", "i.intent", "i.entity", "longest")
 
 
+@query()
+def vector_neighbours(s: Star) -> DataFrame:
+    """The ten most similar embeddings of every twentieth one, among all of them. These vectors have no clusters: half of the cells are probed for a recall over 0.9."""
+    rows = s.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vectors.index_vectors(rows, cells=64)
+    near = index.neighbours(rows.filter("id % 20 = 0"), 10, probes=32)
+    return near.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbour"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT node, min(other) OVER (PARTITION BY k) AS component FROM (SELECT c_custkey AS node, c_custkey AS other, c_custkey % 97 AS k FROM customer WHERE c_custkey >= 0)", families=False)
 def chain_components(s: Star) -> DataFrame:
     """Long chains: customers 97 apart are joined."""
