@@ -56,19 +56,10 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return stored(df, "step")
 
 
-#: A table of up to so many rows (a key and a few numbers each) is broadcast.
-BROADCAST_ROWS = 500_000
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """`rows` joined with `table`, which has each `key` once, however many rows share one.
 
-
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, n_table: int, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """`rows` joined with `table`, which has each `key` once, however many rows share one. `n_rows` and `n_table` are bounds of their numbers.
-
-    A table of up to `most` rows is broadcast. Of a larger one only the keys that more than n_rows / most rows have (so at most `most` of them) are broadcast with
-    what they have there; all other rows are joined by an exchange in which no key has more rows than that.
+    One plan for every size: Spark broadcasts a table whose bytes it has measured to be few, and splits what the exchange of a key that very many rows
+    have would bring to one task (adaptive execution). What stands above the join must not need the rows of a key together, or Spark does not split.
     """
-    if n_table <= most:
-        return rows.join(F.broadcast(table), key, how)
-    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, n_rows // most)).select(key)
-    hot = checkpointed(hot, min(n_rows, most))
-    few = table.join(F.broadcast(hot), key, "left_semi")
-    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
+    return rows.join(table, key, how)
