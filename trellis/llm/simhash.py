@@ -96,8 +96,7 @@ def link(prints: DataFrame, distance: int = DISTANCE, segments: int | None = Non
     chains = F.array(*(F.struct(F.lit(i).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_chain_mask(i, equal, segments))).alias("chain")) for i in range(segments)))
     keys = prints.select("fingerprint", F.explode(chains).alias("k")).select("fingerprint", F.struct("k.start", "k.chain").alias("k"))
     sizes = keys.groupBy("k").agg(F.count("*").alias("members")).filter("members > 1")
-    n_keys = segments * n_prints
-    shared = stored(looked_up(keys, sizes, "k", n_keys, n_keys // 2, "inner").select("fingerprint", "k.start", "k.chain", "members"), "ring")
+    shared = stored(looked_up(keys, sizes, "k", "inner").select("fingerprint", "k.start", "k.chain", "members"), "ring")
     few = shared.filter(F.col("members") <= limit)
     a, b = few.select("start", "chain", F.col("fingerprint").alias("src")), few.select("start", "chain", F.col("fingerprint").alias("dst"))
     differ = F.col("src").bitwiseXOR(F.col("dst"))
@@ -129,12 +128,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         raise ValueError("keys shared by many are linked through neighbours at one bit, which is exact for a distance of 2")
     prints = stored(fingerprints(docs, shingle), "simhash")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "prints")
-    n = distinct.count()
     links = link(distinct, distance, segments, limit)
     parts = connected_components(links)
     # the component of a fingerprint, by its smallest; then the smallest document of all its fingerprints
     grouped = distinct.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     first = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_print = stored(looked_up(grouped, first, "component", n, n, "inner").select("fingerprint", "component_id"), "components")
+    of_print = stored(looked_up(grouped, first, "component", "inner").select("fingerprint", "component_id"), "components")
     removed(links, distinct)
-    return looked_up(prints, of_print, "fingerprint", prints.count(), n, "inner").select("doc_id", "fingerprint", "component_id")
+    return looked_up(prints, of_print, "fingerprint", "inner").select("doc_id", "fingerprint", "component_id")
