@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..runtime import checkpointed, stamped
 from ..schemas import LABELS, PROPERTY_NAMES, RELATION_LABELS
 
 ALLOWED = sorted({r for _, r, _ in RELATION_LABELS.values()})
@@ -75,13 +76,13 @@ class Graph:
     def clear(self) -> Graph:
         return Graph(self.nodes.limit(0), self.edges.limit(0))
 
-    def upsert_triples(self, triples: DataFrame, aliases: DataFrame | None = None, now: str = "1970-01-01 00:00:00") -> Graph:
+    def upsert_triples(self, triples: DataFrame, aliases: DataFrame | None = None, now: str | None = None) -> Graph:
         """Merge fused triples into the graph at time `now`, in the order of their `seq`, a number or a struct.
 
         Properties merge into nodes, the longest value staying. A node keeps the aliases it was created with. An edge
         takes all attributes of its last writer.
         """
-        stamp = F.lit(now).cast("timestamp")
+        stamp = stamped(now)
         rels = label_inference(triples.filter(~is_property(F.col("relation")) & (F.col("head") != "") & (F.col("tail") != "")))
         new_props = longest_properties(property_rows(triples))
         ends = rels.select(F.col("src_label").alias("label"), F.col("head").alias("name"), F.struct(F.lit(1).alias("phase"), F.col("seq"), F.lit(0).alias("end")).alias("seq"))
@@ -159,6 +160,29 @@ def hop(edges: DataFrame, rel_type: str, src_label: str | None = None, dst_label
     return rows.select("src", "dst")
 
 
+#: Rows of one side of a hub that one block of a join has, about.
+BLOCK = 1_000
+
+
+def joined_at(left: DataFrame, right: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """The inner join of two frames on `key`, for keys that may have very many rows on either side.
+
+    The rows of a hub are dealt into blocks of about `block` on each side, and each block of one side meets each of the other under a key of
+    its own, so that no key of the join has more than block x block pairs. Rows of other keys have one block, and are sent once."""
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias(name))
+
+    one = F.lit(1)
+    hubs = checkpointed(sizes(left, "l_").join(sizes(right, "r_"), key, "full").select(key, F.coalesce("l_", one).alias("l_"), F.coalesce("r_", one).alias("r_")))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        n = F.coalesce(own, one)
+        rows = df.join(hubs, key, "left").withColumn(f"{own}at", F.pmod(F.hash(*(F.col(c) for c in df.columns if c != key)), n))
+        return rows.withColumn(f"{other}at", F.explode(F.sequence(F.lit(0), F.coalesce(other, one) - 1))).drop("l_", "r_")
+
+    return dealt(left, "l_", "r_").join(dealt(right, "r_", "l_"), [key, "l_at", "r_at"]).drop("l_at", "r_at")
+
+
 def undirected(pairs: DataFrame) -> DataFrame:
     """Each pair in both directions, a self loop once."""
     return pairs.union(pairs.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..runtime import stamped, stored
 from .counters import Counters
-from .graph import Graph, hop, undirected, without
+from .graph import Graph, hop, joined_at, undirected, without
 
 
 @dataclass
@@ -44,7 +44,7 @@ class Rule:
 
 def star(left: DataFrame, right: DataFrame, existing: DataFrame, distinct: bool = False) -> DataFrame:
     """(head, tail, via): right's target for left's target over a shared source, unless the pair is there already. With `distinct`, each (head, tail) once, without via."""
-    rows = left.select(F.col("src").alias("via"), F.col("dst").alias("tail")).join(right.select(F.col("src").alias("via"), F.col("dst").alias("head")), "via")
+    rows = joined_at(left.select(F.col("src").alias("via"), F.col("dst").alias("tail")), right.select(F.col("src").alias("via"), F.col("dst").alias("head")), "via")
     return without(rows.select("head", "tail").distinct() if distinct else rows.select("head", "tail", "via"), existing)
 
 
@@ -69,13 +69,13 @@ def cooccurrence(pairs: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
 
 def chain(first: DataFrame, second: DataFrame, existing: DataFrame) -> DataFrame:
     """(head, tail, via): two hops, unless the ends are joined already."""
-    rows = first.select(F.col("src").alias("head"), F.col("dst").alias("via")).join(second.select(F.col("src").alias("via"), F.col("dst").alias("tail")), "via")
+    rows = joined_at(first.select(F.col("src").alias("head"), F.col("dst").alias("via")), second.select(F.col("src").alias("via"), F.col("dst").alias("tail")), "via")
     return without(rows.select("head", "tail", "via"), existing)
 
 
 def propagation(targets: DataFrame, related: DataFrame, existing: DataFrame) -> DataFrame:
     """(head, tail, via): what holds for one end of an undirected relation, for the other end, unless it holds there already."""
-    rows = targets.select(F.col("src").alias("head"), F.col("dst").alias("via")).join(undirected(related).select(F.col("src").alias("via"), F.col("dst").alias("tail")), "via")
+    rows = joined_at(targets.select(F.col("src").alias("head"), F.col("dst").alias("via")), undirected(related).select(F.col("src").alias("via"), F.col("dst").alias("tail")), "via")
     return without(rows.select("head", "tail", "via"), existing)
 
 
@@ -142,7 +142,7 @@ def capped(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(F.broadcast(kept), "rule_order", "left_semi")
 
 
-def write_predictions(graph: Graph, inferences: DataFrame, change_id: str | None = None, now: str = "1970-01-01 00:00:00") -> Graph:
+def write_predictions(graph: Graph, inferences: DataFrame, change_id: str | None = None, now: str | None = None) -> Graph:
     """Merge inferences as INFERRED edges on (head, tail, relation): the last by (rule_order, via) wins.
 
     Ends are matched by name alone, so a name under several labels gives several edges; unknown names give none.
@@ -152,7 +152,7 @@ def write_predictions(graph: Graph, inferences: DataFrame, change_id: str | None
     rows = best.join(ends.select(F.col("label").alias("src_label"), F.col("name").alias("head")), "head").join(ends.select(F.col("label").alias("dst_label"), F.col("name").alias("tail")), "tail")
     fresh = rows.select(
         "src_label", F.col("head").alias("src"), F.lit("INFERRED").alias("rel_type"), "dst_label", F.col("tail").alias("dst"), F.col("relation").alias("relation_type"), "w.confidence", "w.rule_id", "w.via",
-        F.lit(True).alias("predicted"), F.lit(change_id).cast("string").alias("change_id"), F.lit(now).cast("timestamp").alias("created_at"),
+        F.lit(True).alias("predicted"), F.lit(change_id).cast("string").alias("change_id"), stamped(now).alias("created_at"),
     )
     keys = ["src_label", "src", "rel_type", "dst_label", "dst", "relation_type"]
     match = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..runtime import stamped
 from .graph import Graph
 from .temporal import valid_at
 
@@ -33,24 +34,24 @@ class VersionedGraph:
         spark = graph.nodes.sparkSession
         return cls(graph, spark.createDataFrame([], schemas.CHANGESETS), spark.createDataFrame([], schemas.AUDIT_EVENTS))
 
-    def begin(self, actor: str, reason: str, source: str = "pipeline", change_id: str | None = None, now: str = "1970-01-01 00:00:00") -> tuple[str, VersionedGraph]:
+    def begin(self, actor: str, reason: str, source: str = "pipeline", change_id: str | None = None, now: str | None = None) -> tuple[str, VersionedGraph]:
         """A new active changeset; its id must be new."""
         change_id = change_id or str(uuid.uuid4())
         if not self.changesets.filter(F.col("change_id") == change_id).isEmpty():
             raise ValueError(f"changeset exists: {change_id}")
         row = self.changesets.sparkSession.range(1).select(
             F.lit(change_id).alias("change_id"), F.lit(actor).alias("actor"), F.lit(reason).alias("reason"), F.lit(source).alias("source"),
-            F.lit(now).cast("timestamp").alias("created_at"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("rolled_back_at"),
+            stamped(now).alias("created_at"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("rolled_back_at"),
         )
         return change_id, replace(self, changesets=self.changesets.unionByName(row))
 
-    def upsert(self, triples: DataFrame, change_id: str, now: str = "1970-01-01 00:00:00") -> VersionedGraph:
+    def upsert(self, triples: DataFrame, change_id: str, now: str | None = None) -> VersionedGraph:
         """A new edge with the next revision, and an audit event, for every valid triple (head, relation, tail, confidence, source, seq).
 
         Ends are matched by name alone; a name under several labels gives several edges and events, an unknown one a node without label.
         Relation names other than `[A-Z0-9_]+` are skipped. Triples of an unknown changeset are ignored: no nodes, edges or events come of them.
         """
-        stamp = F.lit(now).cast("timestamp")
+        stamp = stamped(now)
         rows = triples.filter((F.col("head") != "") & (F.col("tail") != "") & F.col("relation").rlike("(?d)^[A-Z0-9_]+$"))
         known = self.changesets.filter(F.col("change_id") == change_id).select("change_id")
         rows = next_revisions(rows, self.graph.edges).crossJoin(F.broadcast(known))
@@ -66,10 +67,10 @@ class VersionedGraph:
         events = rows.select("change_id", stamp.alias("timestamp"), F.lit("CREATE").alias("action"), "head", "relation", "tail", "revision", F.lit(None).cast("boolean").alias("rolled_back"))
         return VersionedGraph(Graph(nodes, self.graph.edges.unionByName(edges, allowMissingColumns=True)), self.changesets, self.events.unionByName(events))
 
-    def rollback(self, change_id: str, now: str = "1970-01-01 00:00:00") -> tuple[int, VersionedGraph]:
+    def rollback(self, change_id: str, now: str | None = None) -> tuple[int, VersionedGraph]:
         """(audit events of the changeset, the graph with its edges inactive)."""
         own = F.col("change_id").eqNullSafe(F.lit(change_id))
-        stamp = F.lit(now).cast("timestamp")
+        stamp = stamped(now)
         known = not self.changesets.filter(own).isEmpty()
         count = self.events.filter(own).count() if known else 0
         changesets = self.changesets.withColumns({"status": F.when(own, "rolled_back").otherwise(F.col("status")), "rolled_back_at": F.when(own, stamp).otherwise(F.col("rolled_back_at"))})

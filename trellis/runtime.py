@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stamped(now: str | None) -> Column:
+    """A given time, or that of the query."""
+    return F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: cut lineage that survives lost executors."""
     spark = df.sparkSession

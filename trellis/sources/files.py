@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,11 @@ def _csv_encoding(spark: SparkSession, path: str) -> str:
     return name
 
 
-def read_triples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_triples(spark: SparkSession, path: str, strict: bool = True, line_breaks: bool = True) -> DataFrame:
     """Raw triples from .jsonl, .json (array or one object) or .csv (header), with defaults for missing fields and `seq`, the order of input.
 
-    With `strict`, malformed lines and unknown suffixes are errors; without, an unknown suffix gives no rows.
+    With `strict`, malformed lines and unknown suffixes are errors; without, an unknown suffix gives no rows. A CSV file is read by one task, as its values
+    may have line breaks; without `line_breaks`, where none has, it is split.
     """
     suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     reader = spark.read.schema(schemas.RAW_TRIPLE)
@@ -44,7 +46,7 @@ def read_triples(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     elif suffix == "json":
         rows = reader.option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
     elif suffix == "csv":
-        names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        names = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
         rows = names.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in names.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RAW_TRIPLE))
     elif strict:
         raise ValueError(f"unknown format: {path}")
@@ -67,16 +69,16 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     })
 
 
-def read_eav(spark: SparkSession, path: str) -> DataFrame:
-    """A headerless file of entity, predicate, value; shorter rows are skipped. `seq` is the order of input."""
-    rows = spark.read.schema("entity string, predicate string, value string").option("encoding", _csv_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
+def read_eav(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A headerless file of entity, predicate, value; shorter rows are skipped. `seq` is the order of input. For `line_breaks` see read_triples."""
+    rows = spark.read.schema("entity string, predicate string, value string").option("encoding", _csv_encoding(spark, path)).option("multiLine", line_breaks).option("escape", '"').csv(path)
     first = F.regexp_replace("entity", "^﻿", "")
     return rows.withColumns({"entity": first, "seq": F.monotonically_increasing_id()}).filter("value is not null")
 
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """A file with a header, one entity a row; all columns are strings. `seq` is the order of input."""
-    rows = spark.read.option("header", True).option("encoding", _csv_encoding(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
+def read_wide(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A file with a header, one entity a row; all columns are strings. `seq` is the order of input. For `line_breaks` see read_triples."""
+    rows = spark.read.option("header", True).option("encoding", _csv_encoding(spark, path)).option("multiLine", line_breaks).option("escape", '"').csv(path)
     return rows.toDF(*(c.lstrip("﻿") for c in rows.columns)).withColumn("seq", F.monotonically_increasing_id())
 
 
@@ -123,14 +125,66 @@ def read_ontology(path: str) -> tuple[dict[str, str], dict[str, str]]:
     return labels, {alias: kind["id"] for kind in found.get("relation_types", []) for alias in kind.get("aliases", [])}
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a settings file says, by section, under the names that the functions take: `build` for build.build and fusion, `rules` for
+    rules.run_rules (with `enabled` apart), `spans` and `relations` for the extractors, `samples` for evaluate.gold_set, `answers` for qa."""
+
+    build: dict
+    rules: dict
+    spans: dict
+    relations: dict
+    samples: dict
+    answers: dict
+    ontology: str | None = None
+    reports: str | None = None
+    rules_enabled: bool = True
+
+
+def read_configuration(path: str) -> Settings:
+    """All sections of a settings file, JSON or (by its suffix, .yaml or .yml) YAML. Missing keys are left out, so that defaults hold.
+
+    Keys: fusion (see `read_settings`), reasoning.enabled and max_inferences, nlp.ner.min_score, nlp.relation.min_score, eval.samples_per_type,
+    random_seed and output_dir, api.default_top_k, schema.path."""
+    found = _settings(path)
+    section = lambda *names: _inside(found, names)
+    given = lambda **kept: {k: v for k, v in kept.items() if v is not None}
+    reasoning, sampling = section("reasoning"), section("eval")
+    return Settings(
+        build=_build_settings(found), rules=given(max_inferences=reasoning.get("max_inferences")), spans=given(least=section("nlp", "ner").get("min_score")), relations=given(least=section("nlp", "relation").get("min_score")),
+        samples=given(samples=sampling.get("samples_per_type"), seed=sampling.get("random_seed")), answers=given(top_k=section("api").get("default_top_k")),
+        ontology=section("schema").get("path"), reports=sampling.get("output_dir"), rules_enabled=bool(reasoning.get("enabled", True)),
+    )
+
+
+def _inside(found: dict, names: tuple[str, ...]) -> dict:
+    for n in names:
+        found = (found or {}).get(n) or {}
+    return found
+
+
+def _settings(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        if path.lower().endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError(f"{path}: YAML needs the package yaml; JSON does not") from e
+            return yaml.safe_load(f) or {}
+        return json.load(f)
+
+
 def read_settings(path: str) -> dict:
-    """The settings of a build from a JSON file: `fuzzy`, `allow_multi`, `weights` and the three weights of a score, as `build.build` takes them.
+    """The settings of a build from a JSON or YAML file: `fuzzy`, `allow_multi`, `weights` and the three weights of a score, as `build.build` takes them.
 
     Keys: fusion.enable_fuzzy, fuzzy_threshold, allow_multi_relations, source_weights, and scoring.frequency_weight, source_weight, confidence_weight.
     """
-    with open(path, encoding="utf-8") as f:
-        fusion = json.load(f).get("fusion", {})
-    scoring = fusion.get("scoring", {})
+    return _build_settings(_settings(path))
+
+
+def _build_settings(found: dict) -> dict:
+    fusion = found.get("fusion") or {}
+    scoring = fusion.get("scoring") or {}
     given = {
         "fuzzy": float(fusion.get("fuzzy_threshold", 90)) if fusion.get("enable_fuzzy") else None, "allow_multi": fusion.get("allow_multi_relations"), "weights": fusion.get("source_weights"),
         "frequency_weight": scoring.get("frequency_weight"), "source_weight_": scoring.get("source_weight"), "confidence_weight": scoring.get("confidence_weight"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ class ConcurrentWrite(Exception):
     """Another writer made the version that this one was about to make; read again and repeat."""
 
 
+def _now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
 @dataclass
 class Files:
     """The few operations on a folder that a log needs, on any file system that Spark reads."""
@@ -93,10 +98,10 @@ class GraphStore:
         self.files = Files(self.spark, self.path)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, buckets: int = 64, now: str = "1970-01-01 00:00:00", tasks_a_bucket: int = 1) -> GraphStore:
+    def create(cls, spark: SparkSession, path: str, buckets: int = 64, now: str | None = None, tasks_a_bucket: int = 1) -> GraphStore:
         """An empty store. Take as many buckets as leave about a gigabyte in each."""
         store = cls(spark, path, tasks_a_bucket)
-        first = {"version": 0, "operation": "create", "at": now, "buckets": buckets, "rewritten": {}, "tables": {t: {} for t in TABLES}}
+        first = {"version": 0, "operation": "create", "at": now or _now(), "buckets": buckets, "rewritten": {}, "tables": {t: {} for t in TABLES}}
         if not store.files.put_new("log/0.json", json.dumps(first)):
             raise ValueError(f"there is a store already: {path}")
         return store
@@ -151,17 +156,17 @@ class GraphStore:
 
     # --- writing
 
-    def overwrite(self, graph: Graph, now: str = "1970-01-01 00:00:00") -> int:
+    def overwrite(self, graph: Graph, now: str | None = None) -> int:
         """A version with just this graph."""
         base = self.manifest()
         every = set(range(base["buckets"]))
         return self._commit(base, "overwrite", now, {t: (getattr(graph, t), every) for t in TABLES})
 
-    def clear(self, now: str = "1970-01-01 00:00:00") -> int:
+    def clear(self, now: str | None = None) -> int:
         base = self.manifest()
         return self._commit(base, "clear", now, {t: (None, set(range(base["buckets"]))) for t in TABLES})
 
-    def merge(self, triples: DataFrame, aliases: DataFrame | None = None, now: str = "1970-01-01 00:00:00", base: dict | None = None) -> int:
+    def merge(self, triples: DataFrame, aliases: DataFrame | None = None, now: str | None = None, base: dict | None = None) -> int:
         """Upsert fused triples (see `Graph.upsert_triples`) into the last version; only the buckets of their nodes and edges are read and rewritten."""
         base = base or self.manifest()
         batch = stored(triples, "merge")
@@ -174,7 +179,7 @@ class GraphStore:
         removed(batch)
         return version
 
-    def delete_edges(self, keys: DataFrame, now: str = "1970-01-01 00:00:00") -> int:
+    def delete_edges(self, keys: DataFrame, now: str | None = None) -> int:
         """A version without the edges of these keys."""
         base = self.manifest()
         touched = self._touched(base, keys, EDGE_KEY)
@@ -187,6 +192,7 @@ class GraphStore:
         return {r[0] for r in keys.select(self._bucket(base["buckets"], [F.col(n) for n in names]).alias("b")).distinct().collect()}
 
     def _commit(self, base: dict, operation: str, now: str, changes: dict[str, tuple[DataFrame | None, set[int]]]) -> int:
+        now = now or _now()
         version, write = base["version"] + 1, f"{base['version'] + 1}-{uuid.uuid4().hex}"
         tables = {t: dict(base["tables"][t]) for t in TABLES}
         for table, (rows, buckets) in changes.items():
