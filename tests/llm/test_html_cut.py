@@ -62,3 +62,12 @@ def test_large_pages_take_linear_time(page):
 def test_text_before_any_element_ends_the_head():
     assert html_extract.extract(f"<head><title>t</title> {LONG}<p>{LONG}") == f"{LONG} {LONG}"
     assert html_extract.extract("<form><p>" + LONG + "</form>") == "" == html_extract.extract("<head><style>p</style></head>")
+
+
+def test_a_trailing_slash_closes_foreign_elements_only():
+    """Scripts run to their end tag whatever their tag ends in, unquoted addresses may end in a slash, and an empty drawing hides nothing."""
+    page = f"<article><p>{LONG}</p><script src='a.js'/>var x = 1; {LONG}</script><svg/><p>{LONG}</p><div/><p>{LONG}</p></article>"
+    blocks, _ = html_extract.blocks_of(page)
+    assert [b.text for b in blocks] == [LONG] * 3 and html_extract.extract(page) == " ".join([LONG] * 3)
+    links, _ = html_extract.blocks_of("<p><a href=/sport/>All the sport</a></p>")
+    assert links[0].linked == len("All the sport")

@@ -23,6 +23,8 @@ from .common import in_batches
 # Names of HTML elements and words of class names, by their role.
 SKIPPED = frozenset("script style noscript template title textarea select option datalist iframe object embed svg math canvas audio video head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose tags a trailing slash closes.
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meta q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link".split())
 #: Never text of a page, wherever they stand.
 FORMS = frozenset("form button fieldset".split())
@@ -151,7 +153,8 @@ class _Page:
             self.end_block()
 
     def begin(self, name: str, attributes: str) -> None:
-        if name in VOID or attributes.endswith("/"):
+        # a slash at the end of a tag closes nothing in HTML; it may be the end of an unquoted address
+        if name in VOID:
             if name not in INLINE:
                 self.end_block()
             return
@@ -196,7 +199,7 @@ class _Page:
             if self.open.get("head") and name not in HEAD_ONLY:
                 self.close("head")
             if name in SKIPPED and name != "head":
-                if name not in VOID and not attributes.endswith("/"):
+                if name not in VOID and not (name in FOREIGN and attributes.endswith("/")):
                     end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                     at = end.end() if end else n
                 continue

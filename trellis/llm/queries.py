@@ -51,7 +51,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    turns = turns.union(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema))
+    turns = turns.union(spark.range(2).select(F.lit(-1), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(probe)))
     rows = chat_format.format_conversations(turns)
     rows = rows.select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
