@@ -12,10 +12,10 @@ from ..operators import build, components, convert, evaluate, extract, fusion, g
 from ..runtime import shared_folder, stored
 from ..schemas import EDGES, NODES
 from ..sources.store import GraphStore
-from .stargraph import SQL, Star, pairs
+from . import file_queries  # noqa: F401 - registers its queries
+from .registry import ORACLE, QUERIES, query
+from .stargraph import Star, pairs
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 #: Weights of the sources of SUPPLIES for the weighted query.
 FLAG_WEIGHTS = {"default": 1.0, "flag_A": 1.2, "flag_R": 0.8}
 #: What the graph queries ask for: a supplier, and a part of parts' names.
@@ -23,21 +23,6 @@ SUPPLIER, PART_WORDS = "Supplier#000000003", "small widget"
 SHARED_PARTS = 4
 
 
-def query(sql: str | None = None, families: bool = True):
-    """Register a query under its function's name; its SQL may use the families of stargraph.SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(Star(spark, folder))
-        if sql:
-            with_ = sql.strip()
-            if families:
-                with_ = f"WITH {SQL.strip()}" + (f", {with_[5:]}" if with_.upper().startswith("WITH ") else f" {with_}")
-            ORACLE[f.__name__] = with_
-        return f
-
-    return add
-
-
 def _fused(s: Star) -> DataFrame:
     return fusion.fuse(s.supply_sums(), allow_multi=["SUPPLIES"])
 
