@@ -29,7 +29,7 @@ def test_scores_of_deleted_interpolation(spark, docs):  # noqa: F811
         return uni, bi, sum(uni.values())
 
     def bucket(n):
-        return min(n.bit_length(), 19)
+        return n.bit_length()
 
     # the fold's estimates, on the grid of eighths of the natural logarithm
     grid = lambda p: math.exp(round(8 * math.log(p)) / 8) if p else 0.0
@@ -39,7 +39,7 @@ def test_scores_of_deleted_interpolation(spark, docs):  # noqa: F811
         if role[i] == "deleted":
             for v, w in own:
                 cells[bucket(uni[v])][grid(bi[v, w] / max(uni[v], 1)), grid(uni[w] / n), 1 / (len(uni) + 1)] += 1
-    weights = {b: (0.4, 0.5, 0.1) if b else (0.0, 0.9, 0.1) for b in range(20)}
+    weights = {b: (0.4, 0.5, 0.1) if b else (0.0, 0.9, 0.1) for b in range(64)}
     for b, seen in cells.items():
         w = weights[b]
         for _ in range(60):

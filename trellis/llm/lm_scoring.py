@@ -30,7 +30,7 @@ from .common import in_batches, pack, unpack, words_of
 
 #: Roles of a text: scored only, counted, counted but deleted while the weights are learned.
 SCORED, CORE, DELETED = 0, 1, 2
-BUCKETS = 20
+BUCKETS = 64
 #: Grid steps for one unit of the natural logarithm, for the counts that the weights are learned from.
 GRID = 8
 NONE = -10_000
@@ -199,7 +199,7 @@ def _answered(state: pd.DataFrame, totals: pd.DataFrame):
 
 def _bucket(context_count: np.ndarray) -> np.ndarray:
     """0 for an unseen context, then one bucket for each power of two."""
-    return np.where(context_count > 0, np.minimum(np.log2(np.maximum(context_count, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
+    return np.minimum(np.frexp(np.maximum(context_count, 0).astype(np.float64))[1].astype(np.int64), BUCKETS - 1)
 
 
 def _gridder(n_core: int):
