@@ -1,12 +1,13 @@
 """Benchmark passages in training texts, from a distributed positional inverted index.
 
-The index is stored in segments, each a row for some thousands of documents: for each term of the query vocabulary the
-sorted list of its positions, and where each document begins. A query phrase is looked up in every segment: the list
-of its term that is rarest there gives candidate starts, and the lists of its other terms, rarest first, are intersected
-with them after adjusting for offsets. With a slop, a term may stand that many words from its place.
+The index holds all words of the texts and is made once, whatever is asked of it. It is stored in segments, each a row for some
+thousands of documents: its words, for each the sorted list of its positions, and where each document begins. A query phrase is looked up
+in every segment: the list of its term that is rarest there gives candidate starts, and the lists of its other terms, rarest first, are
+intersected with them after adjusting for offsets. With a slop, a term may stand that many words from its place.
 
 Segments hold a bounded number of words unless a single text is longer, and nothing is shuffled: a phrase that many
-documents share costs each segment what it has of it.
+documents share costs each segment what it has of it. Items that have a window in common are a numbered set, and a match has the number:
+a passage that many items and many documents share is not written for every pair of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import removed, stored
+from ..runtime import looked_up, stored
 from .common import in_batches, pack, unpack
 
 WINDOW = 10
@@ -53,50 +54,59 @@ def windows(items: list[tuple[object, str | None]], size: int = WINDOW) -> Queri
     return terms, groups
 
 
-def _indexer(terms, segment_words: int):
-    def segment(number: int, docs: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(tokens)
-        at = np.flatnonzero(flat >= 0)
-        order = at[np.argsort(flat[at], kind="stable")]
-        distinct, counts = np.unique(flat[order], return_counts=True)
-        row = [number, pack(distinct.astype(np.int32)), pack(counts.astype(np.int32)), pack(order.astype(np.int32)), [d[0] for d in docs], [d[1] for d in docs]]
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["segment", "terms", "counts", "positions", "doc_ids", "sizes"])
+def _segment(number: int, docs: list, tokens: list[np.ndarray], words: dict[bytes, int]) -> pa.RecordBatch:
+    """A row of the index: positions are grouped by word and stored as differences."""
+    flat = np.concatenate(tokens)
+    order = np.argsort(flat, kind="stable")
+    counts = np.bincount(flat, minlength=len(words))
+    row = [number, pack(np.frombuffer(b" ".join(words), dtype=np.uint8)), pack(counts.astype(np.int32)), pack(np.diff(order, prepend=0).astype(np.int32)), [d[0] for d in docs], [d[1] for d in docs]]
+    types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["segment", "words", "counts", "steps", "doc_ids", "sizes"])
 
+
+def _indexer(segment_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for t, i in terms.value.items()}
         part, made, docs, tokens, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        number: dict[bytes, int] = {}
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                tokens.append(np.fromiter((number.get(w, -1) for w in words), dtype=np.int64, count=len(words)))
+                tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)))
                 docs.append((doc_id, len(words)))
                 size += len(words) + 1
                 if size >= segment_words:
-                    yield segment(part + made, docs, tokens)
-                    made, docs, tokens, size = made + 1, [], [], 0
+                    yield _segment(part + made, docs, tokens, number)
+                    made, docs, tokens, size, number = made + 1, [], [], 0, {}
         if docs:
-            yield segment(part + made, docs, tokens)
+            yield _segment(part + made, docs, tokens, number)
 
     return run
 
 
-_SEGMENT = "segment long, terms binary, counts binary, positions binary, doc_ids array<bigint>, sizes array<int>"
-_MATCH = "segment long, place int, doc_id long, n_words long, matches array<struct<start:int,length:int,item:string,exact:boolean>>"
+_SEGMENT = "segment long, words binary, counts binary, steps binary, doc_ids array<bigint>, sizes array<int>"
+
+
+def _match(item: str) -> str:
+    return f"segment long, place int, doc_id long, n_words long, matches array<struct<start:int,length:int,item:{item},exact:boolean>>"
 
 
 class _Postings:
-    """The position lists of a segment, as one sorted list of (term, position)."""
+    """What a segment has of the query's terms, as one sorted list of (term, position)."""
 
-    def __init__(self, row: dict, terms: int):
-        self.terms = unpack(row["terms"], np.int32).astype(np.int64)
+    def __init__(self, row: dict, terms: dict[bytes, int]):
+        words = unpack(row["words"], np.uint8).tobytes().split()
+        known = np.fromiter((terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
         counts = unpack(row["counts"], np.int32).astype(np.int64)
-        self.positions = unpack(row["positions"], np.int32).astype(np.int64)
-        self.keys = (np.repeat(self.terms, counts) << 32) | self.positions
-        self.size = np.zeros(terms, dtype=np.int64)
-        self.size[self.terms] = counts
-        self.start = np.zeros(terms, dtype=np.int64)
-        self.start[self.terms] = np.cumsum(counts) - counts
+        self.size = np.zeros(len(terms), dtype=np.int64)
+        self.size[known[known >= 0]] = counts[known >= 0]
+        self.start = np.cumsum(self.size) - self.size
+        if not self.size.any():
+            self.keys = self.positions = np.empty(0, dtype=np.int64)
+            return
+        term = np.repeat(known, counts)
+        positions = np.cumsum(unpack(row["steps"], np.int32), dtype=np.int64)
+        self.keys = np.sort((term[term >= 0] << 32) | positions[term >= 0])
+        self.positions = self.keys & 0xFFFFFFFF
 
     def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether the list of each term has a position from low to high."""
@@ -126,7 +136,7 @@ def _phrases(postings: _Postings, phrases: np.ndarray, slop: int) -> tuple[np.nd
     return alive[which], start
 
 
-def _searcher(queries, slop: int):
+def _searcher(queries, slop: int, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, groups = queries.value
         for batch in batches:
@@ -136,7 +146,7 @@ def _searcher(queries, slop: int):
                 begins = ends - sizes
                 matches: list[list] = [[] for _ in sizes]
                 if terms:
-                    postings = _Postings(row, len(terms))
+                    postings = _Postings(row, terms)
                     for length, phrases, items in groups:
                         which, start = _phrases(postings, phrases, slop) if len(postings.keys) else ((), ())
                         if not len(which):
@@ -150,7 +160,7 @@ def _searcher(queries, slop: int):
                                 exact &= postings.has(phrases[which, k], start + k, start + k)
                         for w, s, d, e in zip(which.tolist(), (start - begins[doc]).tolist(), doc.tolist(), exact.tolist(), strict=True):
                             matches[d].extend({"start": s, "length": length, "item": i, "exact": e} for i in items[w])
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("exact", pa.bool_())]))
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", item_type), ("exact", pa.bool_())]))
                 n = len(sizes)
                 yield pa.record_batch(
                     [pa.array([row["segment"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array(matches, kind)],
@@ -182,42 +192,81 @@ def _blocks(benchmark: DataFrame, block_words: int, size: int = WINDOW) -> Itera
     yield block
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, slop: int = 0, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_words and `matches`, one for each place where a window of a `benchmark`
-    item (item_id, text) occurs: start and length in words, the item's id as a string, and whether it is an exact phrase or, with
-    a slop, one with words up to so many places off.
-
-    Null texts have no words; the windows of rows without item_id are matches with a null item; repeated rows each count. Other columns are ignored. Without items
-    every row has no matches; an empty table gives no rows. Items come in blocks of bounded size; for each, the texts are
-    indexed for its terms and searched.
-    """
-    context = docs.sparkSession.sparkContext
+def index_texts(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """The stored index of all words of `docs` (doc_id, text), for any number of searches. Null texts have no words; other columns are ignored;
+    repeated rows each count; an empty table gives an index without segments."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, blocks = [], _blocks(benchmark, block_words)
-    items = next(blocks)
+    return stored(in_batches(rows, _indexer(segment_words), _SEGMENT), "postings")
+
+
+def _numbered(groups: list, block: int) -> tuple[list, list[tuple[int, str]]]:
+    """The windows with the number of their set of items in place of the items; and the sets' rows."""
+    sets: dict[tuple, int] = {}
+    changed = [(n, phrases, [[sets.setdefault(tuple(i), (block << 32) | len(sets))] for i in items]) for n, phrases, items in groups]
+    return changed, [(number, item) for items, number in sets.items() for item in items]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for more in frames[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _search(index: DataFrame, benchmark: DataFrame, slop: int, block_words: int, numbered: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(rows by doc_id, n_words, matches; with numbers, the sets of items): one search of the index for each block of items."""
+    context, spark = index.sparkSession.sparkContext, index.sparkSession
+    found, sets, blocks = [], [], _blocks(benchmark, block_words)
+    items, number = next(blocks), 0
     while items is not None:
         following = next(blocks, None)
-        if following is not None and not found:
-            rows = stored(rows, "texts")  # each block must cut the same segments
-        queries = windows(items)
-        index = stored(in_batches(rows, _indexer(context.broadcast(queries[0]), segment_words), _SEGMENT), "postings")
-        matches = in_batches(index, _searcher(context.broadcast(queries), slop), _MATCH)
-        if following is not None or found:
-            # what a block has found is stored, and its index goes
-            part = stored(matches, "matches")
-            removed(index)
-            matches = part
-        found.append(matches)
-        items = following
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "matches")
-    # segments are cut alike for every block, so a row is known by segment and place
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    # an item that is split over blocks has the windows of its overlaps once only
-    whole = whole.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return whole.select("doc_id", "n_words", "matches")
+        terms, groups = windows(items)
+        if numbered:
+            groups, rows = _numbered(groups, number)
+            sets.append(stored(spark.createDataFrame(rows, "items long, item string"), "item-sets"))
+        kind = pa.int64() if numbered else pa.string()
+        matches = in_batches(index, _searcher(context.broadcast((terms, groups)), slop, kind), _match("bigint" if numbered else "string"))
+        # what a block has found is stored, unless it is all there is and is read once
+        found.append(stored(matches, "matches") if numbered or found or following is not None else matches)
+        items, number = following, number + 1
+    if len(found) > 1:
+        # a row is known by segment and place; an item that is split over blocks has the windows of its overlaps once only
+        whole = _union(found).groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
+    else:
+        whole = found[0]
+    return whole.select("doc_id", "n_words", "matches"), _union(sets) if numbered else None
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per text of an index that index_texts() made: doc_id, n_words and `matches`, one for each place where a window of a `benchmark`
+    item (item_id, text) occurs: start and length in words, the item's id as a string, and whether it is an exact phrase or, with
+    a slop, one with words up to so many places off. The windows of rows without item_id are matches with a null item. Without items
+    every row has no matches. Items come in blocks of bounded size, a search of the index for each."""
+    return _search(index, benchmark, slop, block_words, False)[0]
+
+
+def search_sets(index: DataFrame, benchmark: DataFrame, slop: int = 0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """As search_index(), but a match's item is the number of the set of items that have the window; and the sets (items, item), one row
+    for each member. A window has one number in each block of items that has it."""
+    return _search(index, benchmark, slop, block_words, True)
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, slop: int = 0, segment_words: int = SEGMENT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_words and `matches` as search_index() gives them, through an index of their own."""
+    return search_index(index_texts(docs, segment_words), benchmark, slop, block_words)
+
+
+def with_items(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of search_sets() with `items`, the distinct items of their matches, sorted as strings, a null one last. Sets are resolved once
+    for each combination of them that some row has."""
+    rows = rows.withColumn("held", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))))
+    clean, hit = rows.filter(F.size("held") == 0).withColumn("items", F.array().cast("array<string>")), rows.filter(F.size("held") > 0)
+    each = hit.select("held").distinct().select("held", F.explode("held").alias("items"))
+    members = looked_up(each, sets.groupBy("items").agg(F.collect_set(F.struct("item")).alias("members")), "items")
+    # null items are kept inside structs, which collecting leaves alone
+    known = members.groupBy("held").agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members"))
+    known = known.select("held", F.array_sort(F.transform("members", lambda m: m["item"])).alias("items"))
+    return clean.unionByName(looked_up(hit, known, "held")).drop("held")
 
 
 def hit_words(matches) -> Column:

@@ -105,8 +105,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    rows = rows.select("doc_id", "n_words", decontaminate.hit_words(F.col("matches")).alias("n_hit"), decontaminate.item_ids(F.col("matches")).alias("items"))
+    rows, sets = decontaminate.search_sets(decontaminate.index_texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.with_items(rows.withColumn("n_hit", decontaminate.hit_words(F.col("matches"))), sets)
     return rows.select(
         "doc_id",
         "n_words",
