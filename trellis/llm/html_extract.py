@@ -1,7 +1,8 @@
 """The main text of web pages, by minimum cut.
 
-A page becomes a row of text blocks. A linear classifier with stated weights gives each block the log odds of being content, from its
-words, links, punctuation and what the elements around it are called; they become the capacities of its edges to the terminals. Blocks that
+A page becomes a row of text blocks. A linear classifier gives each block the log odds of being content, from its words, links, punctuation,
+neighbours and place, whose weights fit_weights() learns, and from what the elements around it are called, whose weights are stated; they become the capacities of its
+edges to the terminals. Blocks that
 follow each other and blocks that are close in the tree of elements are joined by smoothness edges, weaker across the border of a
 region. The minimum cut of the whole page separates content from boilerplate: no name decides by itself, so
 short lines among content stay and a layout word on a wrapper does not drop what it wraps. Only text of scripts, styles and forms is no part of the network.
@@ -16,7 +17,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_batches
 
@@ -48,8 +52,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 #: What may stand in a page's head; anything else ends it.
 HEAD_ONLY = frozenset("head title meta link base script style noscript template".split())
-#: The classifier's weights, in log odds: for a block itself, then for the region it stands in.
-WEIGHTS = {"bias": -1.0, "word": 0.12, "linked": -3.0, "sentence": 0.8, "heading": 0.4, "elsewhere": -3.0, "share": 3.0}
+#: What a block's text and place say, without any name of an element: weights for use without labels; fit_weights() learns others.
+TEXT_WEIGHTS = {"bias": -1.0, "word": 0.12, "linked": -3.0, "sentence": 0.8, "around": 0.0, "edge": 0.0}
+#: Bounds of what they say together, so that no text outweighs a region that is surely no content.
+TEXT_LEAST, TEXT_MOST = -4.0, 2.8
+#: Pages whose blocks the weights are learned from, on average; never more than twice as many.
+FIT_PAGES = 2_000
+#: Weights of the region a block stands in, in log odds.
+WEIGHTS = {"heading": 0.4, "elsewhere": -3.0, "share": 3.0}
 MOST_WORDS = 25
 ARTICLE_REGION, NAMED_REGION, HARD_REGION, SOFT_REGION, MIXED = 4.5, 1.5, -5.0, -3.5, -3.0
 #: Smoothness between neighbours, and between blocks of one container; how much of it a step in the tree and a region's border leave.
@@ -214,18 +224,28 @@ def blocks_of(page: str) -> tuple[list[Block], list[float]]:
     return reader.blocks, reader.regions
 
 
-def content_logits(blocks: list[Block], regions: list[float]) -> list[float]:
+def text_features(blocks: list[Block]) -> list[list[float]]:
+    """For each block, in the order of TEXT_WEIGHTS after the bias: words, share of linked text, end of a sentence, words of the blocks beside it, distance from the middle of the page."""
+    words = [min(b.text.count(" ") + 1, MOST_WORDS) for b in blocks]
+    beside, last = [0, *words, 0], max(len(blocks) - 1, 1)
+    return [
+        [float(n), b.linked / b.chars, float(b.text[-1] in ".!?\"'”»…"), (beside[k] + beside[k + 2]) / 2, abs(2 * k / last - 1)]
+        for k, (b, n) in enumerate(zip(blocks, words, strict=True))
+    ]
+
+
+def content_logits(blocks: list[Block], regions: list[float], text_weights: dict[str, float] = TEXT_WEIGHTS) -> list[float]:
     """The classifier: log odds that each block is content."""
     own = [b.chars - b.linked for b in blocks]
     whole, of_region = sum(own) or 1, [0] * len(regions)
     for b, n in zip(blocks, own, strict=True):
         of_region[b.region] += n
     article = any(b.in_article and regions[b.region] > HARD_REGION for b in blocks)
-    w, out = WEIGHTS, []
-    for b in blocks:
-        words, says = b.text.count(" ") + 1, regions[b.region]
-        z = w["bias"] + w["word"] * min(words, MOST_WORDS) + w["linked"] * b.linked / b.chars + says
-        z += w["sentence"] * (b.text[-1] in ".!?\"'”»…") + w["heading"] * (b.heading and words > 2)
+    w, (bias, *by_feature), out = WEIGHTS, text_weights.values(), []
+    for b, features in zip(blocks, text_features(blocks), strict=True):
+        says = regions[b.region]
+        text = bias + sum(x * y for x, y in zip(by_feature, features, strict=True))
+        z = min(max(text, TEXT_LEAST), TEXT_MOST) + says + w["heading"] * (b.heading and features[0] > 2)
         if article:
             z += w["elsewhere"] * (not b.in_article)
         elif says < 0:
@@ -316,23 +336,59 @@ def smoothness(blocks: list[Block], neighbours: float = NEIGHBOURS, siblings: fl
     return edges
 
 
-def extract(page: str | None, neighbours: float = NEIGHBOURS, siblings: float = SIBLINGS) -> str:
+def extract(page: str | None, neighbours: float = NEIGHBOURS, siblings: float = SIBLINGS, text_weights: dict[str, float] = TEXT_WEIGHTS) -> str:
     """The content blocks of a page, joined by one space."""
     blocks, regions = blocks_of(page or "")
-    logits = content_logits(blocks, regions)
+    logits = content_logits(blocks, regions, text_weights)
     source = [max(z, 0.0) + math.log1p(math.exp(-abs(z))) for z in logits]
     sink = [x - z for x, z in zip(source, logits, strict=True)]
     kept = minimum_cut(source, sink, smoothness(blocks, neighbours, siblings))
     return " ".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and label of each block of pages that have an article: content is what stands in it, but for what its elements name otherwise."""
     for batch in batches:
-        texts = [extract(x) for x in batch.column("html").to_pylist()]
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        features, labels = [], []
+        for page in batch.column("html").to_pylist():
+            blocks, regions = blocks_of(page)
+            inside = [b.in_article and regions[b.region] > 0 for b in blocks]
+            if any(inside):
+                features += text_features(blocks)
+                labels += inside
+        yield pa.record_batch([pa.array(features, pa.list_(pa.float64())), pa.array(map(float, labels), pa.float64())], names=["features", "label"])
+
+
+def fit_weights(pages: DataFrame, most_pages: int = FIT_PAGES) -> dict[str, float]:
+    """Weights like TEXT_WEIGHTS by logistic regression over the blocks of a sample of distinct pages (html) that have an article. What elements
+    are called gives the labels only and is no feature, so text, links and place carry the decision on pages that name nothing.
+
+    The sample has `most_pages` pages on average and never over twice as many; it is chosen by the hash of the page, and copies count once. Null pages are
+    no part of it; other columns are ignored. Where no page of it has both kinds of blocks, the weights are TEXT_WEIGHTS.
+    """
+    share = min(1.0, most_pages / max(1, pages.count()))
+    dealt = F.xxhash64("html")
+    chosen = pages.filter(F.col("html").isNotNull() & (F.pmod(dealt, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).groupBy(dealt.alias("page")).agg(F.min("html").alias("html"))
+    blocks = in_batches(chosen.limit(2 * most_pages).select("html"), _labelled, "features array<double>, label double").cache()
+    try:
+        if blocks.select("label").distinct().count() < 2:
+            return dict(TEXT_WEIGHTS)
+        model = LogisticRegression(regParam=0.01, maxIter=50).fit(blocks.select(array_to_vector("features").alias("features"), "label"))
+    finally:
+        blocks.unpersist()
+    return dict(zip(TEXT_WEIGHTS, [model.intercept, *model.coefficients.tolist()], strict=True))
+
+
+def _extractor(text_weights: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [extract(x, text_weights=text_weights) for x in batch.column("html").to_pylist()]
+            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, text_weights: dict[str, float] = TEXT_WEIGHTS) -> DataFrame:
     """Columns page_id, url, text for `pages` (page_id, url, html): the main text of each page, one row per row.
 
     A null page, an empty one or one without content has the empty text; repeated rows stay; other columns are ignored; an empty
@@ -340,4 +396,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", "html")
     types = dict(rows.dtypes)
-    return in_batches(rows, _run, f"page_id {types['page_id']}, url string, text string")
+    return in_batches(rows, _extractor(text_weights), f"page_id {types['page_id']}, url string, text string")

@@ -44,7 +44,8 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = html_extract.extract_text(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    rows = html_extract.extract_text(pages, html_extract.fit_weights(pages))
     return rows.select("*", F.length("text").cast("long").alias("n_chars"))
 
 
