@@ -1,9 +1,10 @@
 """Reads in time: the graph as it was, the last row before each of many, and pairs of intervals that overlap.
 
 No join here compares all pairs of a key. A lookup of the last row goes by time bins: what a bin's rows cannot answer is what the bins before
-it ended with. Overlapping intervals meet by nodes of a tree of bins: an interval is a few nodes, however long it is, and an instant lies
-in one node of each level, so that an interval and an instant in it share exactly one node. A key with very many rows is split by its bins
-and nodes alike. Times are timestamps; intervals begin with their start and end before their end, a null end being open.
+it ended with. Of two intervals that overlap the later one begins within the earlier one: a key's rows are cut, in the order of their starts, into
+blocks of whole bins, and an interval goes to the blocks that it reaches into. So it is sent once, and once more for each block's worth of rows
+that it overlaps, however long it is. A key with very many rows is split by its bins and blocks alike. Times are timestamps; intervals begin with
+their start and end before their end, a null end being open.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A node has FAN children; the tree has LEVELS levels above its smallest bins, so instants lie within FAN ** LEVELS bins of 1970.
-FAN, LEVELS = 4, 13
+#: Rows of one key that one block of starts has, about.
+BLOCK = 128
 _EDGE = ["src_label", "src", "rel_type", "dst_label", "dst"]
 
 
@@ -56,53 +57,41 @@ def last_before(rows: DataFrame, table: DataFrame, keys: list[str], time: str, t
     return seen.join(ends, [*keys, "bin_"], "left").select("row_.*", F.coalesce("inside", F.col("before.found")).alias("found"))
 
 
-def _nodes(low: Column, high: Column) -> Column:
-    """The fewest nodes (level, number) that make up the bins low..high: whole nodes of a level whose parents are not whole."""
-    parts = []
-    for k in range(LEVELS + 1):
-        size = FAN**k
-        first, stop = F.ceil(low / size), F.floor((high + 1) / size)
-        up_first, up_stop = F.ceil(low / (size * FAN)) * FAN, F.floor((high + 1) / (size * FAN)) * FAN
-        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-        if k == LEVELS:
-            found = run(first, stop)
-        else:
-            found = F.when(up_first < up_stop, F.concat(run(first, F.least(up_first, stop)), run(F.greatest(up_stop, first), stop))).otherwise(run(first, stop))
-        parts.append(_numbered(found, k))
-    return F.flatten(F.array(*parts))
+def _bounds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bounds): the bins that a key's blocks begin with, in order. A block has about BLOCK rows, of very many rows the square root; rows of one bin stay together."""
+    bins, own = rows.groupBy(*keys, "low_").agg(F.count("*").alias("n")), Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(own.orderBy("low_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block = F.floor(before / F.greatest(F.lit(float(BLOCK)), F.sqrt(F.sum("n").over(own))))
+    firsts = bins.select(*keys, "low_", block.alias("block_")).groupBy(*keys, "block_").agg(F.min("low_").alias("low_"))
+    return firsts.groupBy(*keys).agg(F.sort_array(F.collect_list("low_")).alias("bounds_"))
 
 
-def _numbered(found: Column, level: int) -> Column:
-    return F.transform(found, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
-
-
-def _above(bin_: Column) -> Column:
-    """The nodes of all levels that a bin lies in."""
-    return F.array(*(F.struct(F.lit(k).alias("level"), F.floor(bin_ / FAN**k).alias("number")) for k in range(LEVELS + 1)))
+def _block(bin_: str) -> Column:
+    """The block that a bin lies in, -1 before the first one."""
+    return F.size(F.filter("bounds_", lambda b: b <= F.col(bin_))) - 1
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str = "valid_from", end: str = "valid_to", grain: str = "1 hour") -> DataFrame:
     """Pairs (keys, l, r) of rows with the same keys whose intervals overlap, as structs of their other columns; each pair once, checked exactly.
 
     `grain` is the smallest bin: take about the length of a short interval. Empty intervals, and those without a start or a key, overlap nothing."""
-    top, cell = F.lit(FAN**LEVELS), lambda df, c: F.floor(_micros(df, c) / _length(grain))
 
     def shaped(df: DataFrame, name: str) -> DataFrame:
         rows = df.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
-        return rows.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name))
-
-    a, b = shaped(left, "l"), shaped(right, "r")
-
-    def spans(df: DataFrame, name: str) -> DataFrame:
-        last = F.when(F.col(f"{name}.{end}").isNull(), top - 1).otherwise(F.floor((_micros(df, f"{name}.{end}") - 1) / _length(grain)))
-        return df.withColumn("node", F.explode(_nodes(cell(df, f"{name}.{start}"), last)))
+        low, high = F.floor(_micros(df, start) / _length(grain)), F.floor((_micros(df, end) - 1) / _length(grain))
+        return rows.select(*keys, F.struct(*(c for c in df.columns if c not in keys)).alias(name), low.alias("low_"), high.alias("high_"))
 
-    def instants(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("node", F.explode(_above(cell(df, f"{name}.{start}"))))
+    def met(a: DataFrame, b: DataFrame, span: str, instant: str) -> DataFrame:
+        """Rows of `a` beside those of `b` that begin in a block that they reach into."""
+        bounds = _bounds(b, keys)
+        last = F.when(F.col("high_").isNull(), F.size("bounds_") - 1).otherwise(_block("high_"))
+        spans = a.join(bounds, keys).select(*keys, span, F.greatest(_block("low_"), F.lit(0)).alias("first_"), last.alias("last_")).filter("last_ >= first_")
+        spans = spans.select(*keys, span, F.explode(F.sequence("first_", "last_")).alias("block_"))
+        return spans.join(b.join(bounds, keys).select(*keys, instant, _block("low_").alias("block_")), [*keys, "block_"])
 
+    a, b = shaped(left, "l"), shaped(right, "r")
     within = lambda p, i: F.col(f"{i}.{end}").isNull() | (F.col(f"{p}.{start}") < F.col(f"{i}.{end}"))
-    on = [*keys, "node"]
     # of two that overlap, the later one begins within the earlier one
-    first = spans(a, "l").join(instants(b, "r"), on).filter((F.col(f"r.{start}") >= F.col(f"l.{start}")) & within("r", "l"))
-    second = spans(b, "r").join(instants(a, "l"), on).filter((F.col(f"l.{start}") > F.col(f"r.{start}")) & within("l", "r"))
+    first = met(a, b, "l", "r").filter((F.col(f"r.{start}") >= F.col(f"l.{start}")) & within("r", "l"))
+    second = met(b, a, "r", "l").filter((F.col(f"l.{start}") > F.col(f"r.{start}")) & within("l", "r"))
     return first.select(*keys, "l", "r").unionByName(second.select(*keys, "l", "r"))

@@ -368,7 +368,8 @@ def _intervals(s: Star) -> DataFrame:
     WHERE a.ts < coalesce(b.until, TIMESTAMP '9999-01-01') AND b.ts < coalesce(a.until, TIMESTAMP '9999-01-01')""", families=False)
 def edges_overlapping(s: Star) -> DataFrame:
     """Revisions of different edges of one user and relation that were valid at once."""
-    rows = temporal.overlapping(_intervals(s), _intervals(s), ["head", "relation"]).filter("l.tail < r.tail")
+    spans = stored(_intervals(s), "intervals")  # read six times: for the blocks, and as either side of two joins
+    rows = temporal.overlapping(spans, spans, ["head", "relation"]).filter("l.tail < r.tail")
     return rows.select("head", "relation", F.col("l.tail").alias("tail_1"), F.col("l.revision").cast("long").alias("revision_1"), F.col("r.tail").alias("tail_2"), F.col("r.revision").cast("long").alias("revision_2"))
 
 
