@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from re import _parser
 
 import numpy as np
 import pandas as pd
@@ -254,11 +255,45 @@ def merge_adjacent(spans: Column) -> Column:
     return _folded(spans, _joined)
 
 
+def needed_words(pattern: str | re.Pattern) -> list[tuple[str, ...]]:
+    """Sets of literals of a pattern: any match has one of each set. What is optional, or not plain characters, asks for nothing."""
+    tree = _parser.parse(pattern.pattern, pattern.flags) if isinstance(pattern, re.Pattern) else _parser.parse(pattern)
+    return [] if tree.state.flags & re.IGNORECASE else _needed(tree)
+
+
+def _needed(tree) -> list[tuple[str, ...]]:
+    sets, run = [], ""
+    for op, value in [*tree, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        sets, run = sets + [(run,)] * bool(run), ""
+        if op is _parser.SUBPATTERN and not value[1]:
+            sets += _needed(value[3])
+        elif op is _parser.BRANCH:
+            ways = [max(_needed(way), key=lambda words: min(map(len, words)), default=()) for way in value[1]]
+            sets += [tuple(dict.fromkeys(w for way in ways for w in way))] * all(ways)
+        elif op is _parser.IN and all(kind is _parser.LITERAL for kind, _ in value):
+            sets += [tuple(chr(c) for _, c in value)]
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            sets += _needed(value[2])
+    return sets
+
+
 def relations_in(text: str | None, patterns=RELATION_PATTERNS) -> list[tuple]:
     """Triples that the patterns find in a text, each once, in order."""
+    return _found(text, [(*p, needed_words(p[0])) for p in patterns])
+
+
+def _found(text: str | None, patterns: list[tuple]) -> list[tuple]:
+    """`relations_in` for patterns with their needed words. A pattern whose words a text has not all is not tried, as it would go through all
+    of the text's substrings."""
     found: dict[tuple, tuple] = {}
-    for pattern, relation, head_type, tail_type in patterns:
-        for m in re.finditer(pattern, text or ""):
+    text = text or ""
+    for pattern, relation, head_type, tail_type, needed in patterns:
+        if not all(any(w in text for w in words) for words in needed):
+            continue
+        for m in re.finditer(pattern, text):
             parts = m.groups()
             tail = parts[-1] if len(parts) == 2 else parts[2]
             for item in _ITEMS.split(tail.strip()):
@@ -270,10 +305,11 @@ def relations_in(text: str | None, patterns=RELATION_PATTERNS) -> list[tuple]:
 
 def rule_relations(text: Column, patterns: list[tuple] = RELATION_PATTERNS) -> Column:
     """Triples that the patterns find, as an array."""
+    prepared = [(*p, needed_words(p[0])) for p in patterns]
 
     @F.pandas_udf(RELATION)
     def find(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: relations_in(s, patterns))
+        return x.map(lambda s: _found(s, prepared))
 
     return find(text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import build, components, convert, evaluate, extract, fusion, graph, labels, linking, qa, rules, search_index, temporal, vectors, versioning
-from ..runtime import shared_folder, stored
+from ..runtime import shared_folder, spread, stored
 from ..schemas import EDGES, NODES
 from ..sources.store import GraphStore
 from . import file_queries  # noqa: F401 - registers its queries
@@ -661,7 +661,7 @@ def _pattern_sql(i: int, pattern: str, relation: str, head_type: str, tail_type:
     good AS (SELECT *, trim(item) AS tail, row_number() OVER (PARTITION BY source, head, relation, trim(item) ORDER BY p, m, i) AS r FROM items WHERE trim(item) <> '' AND length(trim(item)) <= {extract.LONGEST_TAIL})
     SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY p, m, i) - 1 AS INTEGER) AS place, head, relation, tail, head_type, tail_type, {extract.RULE_SCORE}::DOUBLE AS confidence FROM good WHERE r = 1""", families=False)
 def rule_relations(s: Star) -> DataFrame:
-    texts = s.table("customer").select(F.col("c_name").alias("source"), F.concat(F.lit("糖尿病的症状有"), "c_name", F.lit("、"), "c_mktsegment", F.lit("。")).alias("text"))
+    texts = spread(s.table("customer").select("c_name", "c_mktsegment")).select(F.col("c_name").alias("source"), F.concat(F.lit("糖尿病的症状有"), "c_name", F.lit("、"), "c_mktsegment", F.lit("。")).alias("text"))
     return extract.extracted_triples(texts).select("source", "place", "head", "relation", "tail", "head_type", "tail_type", "confidence")
 
 

@@ -68,3 +68,10 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") ->
     have would bring to one task (adaptive execution). What stands above the join must not need the rows of a key together, or Spark does not split.
     """
     return rows.join(table, key, how)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Small `rows` dealt to as many partitions as the session's shuffles have, four for each core at least: for work that costs far more than reading, as files of few
+    bytes are few partitions."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
