@@ -416,6 +416,9 @@ def register_extractor(spark: SparkSession, name: str, found: Callable[[list[str
     those that it wants, as `name(d.text, 'label, span')`, which `analyze` checks before anything runs. A text that `found` fails on fails the query."""
     kinds = [c.strip().split(" ", 1) for c in columns.split(",")]
     schema = {k: T.StructType.fromDDL(f"`{k}` {kind}") for k, kind in kinds}
+    # rows go to Spark one by one, not as a batch for each text, and so must have just the types of the columns
+    as_ = {T.StringType: str, T.IntegerType: int, T.LongType: int, T.DoubleType: float, T.FloatType: float, T.BooleanType: bool}
+    casts = [as_.get(type(schema[k].fields[0].dataType), lambda v: v) for k, _ in kinds]
 
     class Extractor:
         @staticmethod
@@ -435,14 +438,17 @@ def register_extractor(spark: SparkSession, name: str, found: Callable[[list[str
             order = [k for k, _ in kinds]
             picked = range(len(order)) if wanted is None else [order.index(n.strip()) for n in wanted.split(",")]
             for row in found([text or ""])[0]:
-                yield tuple(row[i] for i in picked)
+                yield tuple(None if row[i] is None else casts[i](row[i]) for i in picked)
 
-    spark.udtf.register(name, F.udtf(Extractor, useArrow=True))
+    spark.udtf.register(name, F.udtf(Extractor, useArrow=False))
+
+
+_PREPARED = [(*p, needed_words(p[0])) for p in RELATION_PATTERNS]
 
 
 def rule_relations_of(texts: list[str]) -> list[list[tuple]]:
     """The pattern relations of texts, for register_extractor with RELATION_ROW."""
-    return [relations_in(t) for t in texts]
+    return [_found(t, _PREPARED) for t in texts]
 
 
 def dictionary_spans_of(dictionary: dict[str, list[str]], score: float = DICTIONARY_SCORE) -> Callable[[list[str]], list[list[tuple]]]:

@@ -135,7 +135,8 @@ def run_rules(
 
 
 def capped(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of the rules before which fewer than `most` inferences were made."""
+    """Rows of the rules before which fewer than `most` inferences were made. They are stored, as they are counted and read: each rule runs once."""
+    rows = stored(rows, "inferences")
     counts = rows.groupBy("rule_order").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("rule_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = counts.withColumn("before", before).filter(F.col("before") < most).select("rule_order")  # one row per rule

@@ -645,7 +645,7 @@ def extractor_function(s: Star) -> DataFrame:
 def _rule_texts(s: Star) -> DataFrame:
     """Customers as nodes whose description is a text in words."""
     text = F.concat(F.lit("糖尿病的症状有"), "c_name", F.lit("、"), "c_mktsegment", F.lit("。"))
-    return s.table("customer").select(F.lit("Customer").alias("label"), F.col("c_name").alias("name"), F.create_map(F.lit("desc"), text).alias("props"))
+    return spread(s.table("customer").select("c_name", "c_mktsegment")).select(F.lit("Customer").alias("label"), F.col("c_name").alias("name"), F.create_map(F.lit("desc"), text).alias("props"))
 
 
 def _pattern_sql(i: int, pattern: str, relation: str, head_type: str, tail_type: str) -> str:
