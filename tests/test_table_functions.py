@@ -31,3 +31,9 @@ def test_a_rule_runs_once(spark):
     graph = Graph(spark.range(7).selectExpr("'L' as label", "string(id) as name", "map('desc', string(id)) as props"), spark.range(0).selectExpr("'' AS src", "'' AS rel_type", "'' AS dst"))
     rule = rules.Rule("once", "SELECT r.head, r.tail FROM nodes n, LATERAL counted(n.props['desc']) r", "R")
     assert rules.run_rules(graph, [rule]).count() == 7 and ran.value == 7
+
+
+def test_texts_do_not_meet_texts(spark):
+    df = queries.QUERIES["extractor_function"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(df.collect()) == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -638,8 +638,14 @@ def span_merge(s: Star) -> DataFrame:
 def extractor_function(s: Star) -> DataFrame:
     """Dictionary spans by a table function that SQL calls for each text."""
     extract.register_extractor(s.spark, "dictionary_spans_of", extract.dictionary_spans_of(DICTIONARY))
-    rows = s.spark.sql("SELECT d.doc_id, x.span, x.end FROM {docs} d LEFT JOIN LATERAL dictionary_spans_of(d.text, 'span, end') x ON true", docs=s.table("documents"))
-    return rows.groupBy("doc_id").agg(F.count("span").cast("int").alias("n"), F.array_join(F.sort_array(F.collect_list("span")), "|").alias("names"), F.coalesce(F.max("end"), F.lit(0)).cast("long").alias("last_end"))
+    docs = s.table("documents")
+    # an outer lateral join would join texts with texts, each span carrying its own; texts without spans come by their ids instead
+    rows = s.spark.sql("SELECT d.doc_id, x.span, x.end FROM {docs} d, LATERAL dictionary_spans_of(d.text, 'span, end') x", docs=docs)
+    rows = rows.union(docs.select("doc_id", F.lit(None).cast("string"), F.lit(None).cast("int")))
+    # a span's repeats are counted before they are listed
+    names = rows.groupBy("doc_id", "span").agg(F.count("span").cast("int").alias("n"), F.max("end").alias("end"))
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("span", "n")))), lambda x: F.array_repeat(x["span"], x["n"])))
+    return names.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n"), F.array_join(listed, "|").alias("names"), F.coalesce(F.max("end"), F.lit(0)).cast("long").alias("last_end"))
 
 
 def _rule_texts(s: Star) -> DataFrame:
