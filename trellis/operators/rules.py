@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stamped, stored
+from ..runtime import freed, looked_up, removed, stamped, stored
 from .counters import Counters
 from .graph import Graph, hop, joined_at, undirected, without
 
@@ -50,21 +50,66 @@ def star(left: DataFrame, right: DataFrame, existing: DataFrame, distinct: bool
 
 #: Sources of one target that one block of the co-occurrence join has, about.
 BLOCK = 1000
+#: Paths between sources that one pass sends through an exchange, and that one of its tasks counts, about.
+PASS, TASK = 500_000_000, 2_000_000
 
 
 def cooccurrence(pairs: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     """(head, tail, evidence_count): sources that share targets, head < tail, at least `least` paths.
 
-    Targets with one source make no pair and go before the self join. The sources of a target are dealt into blocks of about `block`, and
-    each block meets every other and itself under a key of its own, so that no key of the join has more than block x block pairs.
+    Sources are numbered, those of few pairs first. A source is sent, for each of its targets, the list of the target's sources with higher numbers, four bytes each,
+    and counts what is in its lists: a path is no row of an exchange, and a source of very many pairs gets those of its like only. Targets with one source make no path.
+    The sources of a target of very many are dealt into blocks of about `block`, and each block's sources get the lists of every block. Paths beyond PASS go in
+    passes, each over a part of the sources, so that disk is bounded whatever their number.
     """
-    sizes = pairs.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    shared = pairs.join(sizes, "dst").select("dst", "src", "blocks", F.pmod(F.hash("src"), F.col("blocks")).alias("own"))
-    a = shared.select("dst", F.col("src").alias("one"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    b = shared.select("dst", F.col("src").alias("other"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-    met = a.join(b, ["dst", "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("one") != F.col("other")) | (F.col("i") == F.col("j")) & (F.col("one") < F.col("other")))
-    counts = met.groupBy(F.least("one", "other").alias("head"), F.greatest("one", "other").alias("tail")).agg(F.count("*").alias("evidence_count"))
-    return counts.filter(F.col("evidence_count") >= least)
+    spark = pairs.sparkSession
+    pairs = stored(pairs.select("src", "dst").filter("src is not null and dst is not null"), "pairs")
+    freed(spark)
+    numbers = _numbered(pairs.groupBy("src").agg(F.count("*").alias("n")))
+    met = pairs.join(numbers.select("src", "id"), "src").select("dst", "id")
+    sizes = met.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes = stored(sizes, "hubs")
+    met = looked_up(met, sizes, "dst").select("dst", "id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    lists = met.groupBy("dst", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("at")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    lists = stored(lists.filter("blocks > 1 or size(ids) > 1"), "lists")
+    removed(pairs, sizes)
+    del met
+    freed(spark)
+    few, hubs = lists.filter("blocks = 1"), lists.filter("blocks > 1")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = hubs.select("dst", F.col("at").alias("i"), every.alias("j"), F.col("ids").alias("own"))
+    b = hubs.select("dst", every.alias("i"), F.col("at").alias("j"), "ids")
+    n = F.size("ids").cast("long")
+    total = (few.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) + (hubs.groupBy("dst").agg(F.sum(n).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0)
+    passes, rows = int(total // PASS) + 1, None
+    tasks = max(int(total / passes // TASK) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(passes):
+        now = lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == k  # noqa: B023, E731 - used in this turn
+        sent = few.select("ids", F.posexplode("ids").alias("pos", "one")).filter(now("one")).select("one", F.slice("ids", F.col("pos") + 2, F.size("ids")).alias("others"))
+        dealt = a.join(b, ["dst", "i", "j"]).select("ids", F.explode("own").alias("one")).filter(now("one"))
+        sent = sent.union(dealt.select("one", F.filter("ids", lambda x: x > F.col("one")))).filter("size(others) > 0")
+        # counted where the lists of a source are: no second exchange
+        counts = sent.repartition(tasks, "one").select("one", F.explode("others").alias("other")).groupBy("one", "other").agg(F.count("*").alias("evidence_count"))
+        found = stored(counts.filter((F.col("evidence_count") >= least) & (F.col("one") != F.col("other"))), "counted")
+        rows = found if rows is None else rows.union(found)
+        if passes > 1:
+            del sent, dealt, counts
+            freed(spark)
+    removed(lists)
+    for end in ("one", "other"):
+        rows = rows.join(numbers.select(F.col("src").alias(f"{end}_src"), F.col("id").alias(end)), end)
+    return rows.select(F.least("one_src", "other_src").alias("head"), F.greatest("one_src", "other_src").alias("tail"), "evidence_count")
+
+
+def _numbered(degrees: DataFrame) -> DataFrame:
+    """(src, n, id) of sources with their numbers of pairs: ids from 0 on without gaps, in the order of n."""
+    rows = stored(degrees.orderBy("n", "src").withColumn("at", F.monotonically_increasing_id()), "degrees")
+    # monotonic ids have the task's number above 33 bits
+    task, before, starts = F.shiftright("at", 33), 0, {}
+    for r in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():
+        starts[r["task"]], before = before, before + r["n"]
+    start = F.element_at(F.create_map(*(F.lit(v) for kv in starts.items() for v in kv)), task) if starts else F.lit(0)
+    return rows.select("src", "n", (start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int" if before < 1 << 31 else "long").alias("id"))
 
 
 def chain(first: DataFrame, second: DataFrame, existing: DataFrame) -> DataFrame:

@@ -242,9 +242,18 @@ _RELATED = f"""related AS (SELECT a.head AS head, b.head AS tail, count(*) AS ev
     JOIN (SELECT DISTINCT head, tail FROM ordered) b ON a.tail = b.tail AND a.head < b.head GROUP BY 1, 2 HAVING count(*) >= {SHARED_PARTS})"""
 
 
+def _related(s: Star) -> DataFrame:
+    """Customers that ordered the same parts: counted by keys, named at the end."""
+    keys, names = s.ordered_keys()
+    rows = rules.cooccurrence(keys, SHARED_PARTS)
+    for end in ("head", "tail"):
+        rows = rows.join(names.select(F.col("src").alias(end), F.col("name").alias(f"{end}_name")), end)
+    return rows.select(F.least("head_name", "tail_name").alias("head"), F.greatest("head_name", "tail_name").alias("tail"), "evidence_count")
+
+
 @query(f"WITH {_RELATED} SELECT * FROM related")
 def rule_cooccurrence(s: Star) -> DataFrame:
-    return rules.cooccurrence(pairs(s.ordered()), SHARED_PARTS)
+    return _related(s)
 
 
 @query("""SELECT DISTINCT o.head AS head, b.tail AS tail FROM ordered o JOIN branded b ON o.tail = b.head
@@ -259,21 +268,17 @@ def rule_chain(s: Star) -> DataFrame:
     ways AS (SELECT head, tail FROM related UNION ALL SELECT tail, head FROM related)
     SELECT DISTINCT r.head AS head, b.tail AS tail FROM returned r JOIN ways b ON r.tail = b.head WHERE NOT EXISTS (SELECT 1 FROM returned x WHERE x.head = r.head AND x.tail = b.tail)""")
 def rule_undirected(s: Star) -> DataFrame:
-    ordered = s.ordered()
-    related = rules.cooccurrence(pairs(ordered), SHARED_PARTS).select(F.col("head").alias("src"), F.col("tail").alias("dst"))
-    returned = pairs(ordered.filter("l_returnflag = 'R'")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    # both are read several times: for hubs, and for either side of a join
+    related = stored(_related(s).select(F.col("head").alias("src"), F.col("tail").alias("dst")), "related")
+    returned = stored(pairs(s.ordered().filter("l_returnflag = 'R'")).select(F.col("dst").alias("src"), F.col("src").alias("dst")), "returned")
     return rules.propagation(returned, related, returned).select("head", "tail").distinct()
 
 
-def _inferred(s: Star) -> DataFrame:
-    return rules.cooccurrence(pairs(s.ordered()), SHARED_PARTS)
-
-
 @query(f"""WITH {_RELATED}, center AS (SELECT min(head) AS name FROM related)
     SELECT DISTINCT * FROM ((SELECT tail AS answer, evidence_count / 100.0 AS score FROM related, center WHERE head = name ORDER BY score DESC, answer LIMIT 5)
     UNION (SELECT head AS answer, evidence_count / 100.0 AS score FROM related, center WHERE tail = name ORDER BY score DESC, answer LIMIT 5))""")
 def inferred_topk_union(s: Star) -> DataFrame:
-    rows = _inferred(s).select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.lit("INFERRED").alias("rel_type"), F.lit("RELATED").alias("relation_type"), (F.col("evidence_count") / 100).alias("confidence"), F.lit("r2").alias("rule_id"), F.lit(None).cast("string").alias("via"))
+    rows = _related(s).select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.lit("INFERRED").alias("rel_type"), F.lit("RELATED").alias("relation_type"), (F.col("evidence_count") / 100).alias("confidence"), F.lit("r2").alias("rule_id"), F.lit(None).cast("string").alias("via"))
     rows = stored(rows, "inferred")  # read three times: for the entity, and for its edges either way
     name = rows.agg(F.min("src")).first()[0] or ""
     return rules.inferred_for(graph.Graph(rows, rows), name, 5).select("answer", "score")
@@ -283,7 +288,7 @@ def inferred_topk_union(s: Star) -> DataFrame:
     running AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rule_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per_rule)
     SELECT rule_order, n FROM running WHERE before < 1000""")
 def inference_cap(s: Star) -> DataFrame:
-    rows = _inferred(s).withColumn("rule_order", F.col("evidence_count") % 3)
+    rows = _related(s).withColumn("rule_order", F.col("evidence_count") % 3)
     return rules.capped(rows, 1000).groupBy("rule_order").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,12 @@ def removed(*frames: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Have the shuffle files of frames that nothing refers to deleted: Spark deletes them when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of an iterative algorithm's frame that one partition has at least.
 ROWS_A_PARTITION = 100_000
 
