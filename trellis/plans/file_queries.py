@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import convert, evaluate, extract, fusion, graph, labels, linking, versioning
-from ..runtime import shared_folder
+from ..runtime import freed, removed, shared_folder, stored
 from ..schemas import EDGES, NODES
 from ..sources import files
 from .registry import query
@@ -66,7 +66,12 @@ def triples_from_csv(s: Star) -> DataFrame:
 def fused_from_lines(s: Star) -> DataFrame:
     """Fused triples exported as JSON lines and read again, in the order of their scores."""
     path = _folder(s, "fused")
-    files.write_fused(fusion.fuse(s.supply_sums(), allow_multi=["SUPPLIES"]), path, "2024-01-01 00:00:00")
+    # stored, so that what the fusion shuffled is gone when the sort shuffles, and that when the window does
+    fused = stored(fusion.fuse(s.supply_sums(), allow_multi=["SUPPLIES"]), "fused")
+    freed(s.spark)
+    files.write_fused(fused, path, "2024-01-01 00:00:00", compression="gzip")
+    removed(fused)
+    freed(s.spark)
     rows = files.read_fused(s.spark, path)
     place = F.row_number().over(Window.partitionBy("head").orderBy("seq"))
     return rows.select("head", "relation", "tail", "frequency", F.array_join("sources", ",").alias("sources"), "conflict", place.alias("place"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,8 +50,10 @@ def removed(*frames: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Have the shuffle files of frames that nothing refers to deleted: Spark deletes them when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python has let go of is let go of by Spark a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Rows of an iterative algorithm's frame that one partition has at least.

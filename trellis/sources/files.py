@@ -192,11 +192,12 @@ def _build_settings(found: dict) -> dict:
     return {k: v for k, v in given.items() if v is not None}
 
 
-def write_fused(fused: DataFrame, path: str, created_at: str | None = None) -> None:
-    """Fused triples as JSON lines, the best score first, without types."""
+def write_fused(fused: DataFrame, path: str, created_at: str | None = None, compression: str = "none") -> None:
+    """Fused triples as JSON lines, the best score first, without types. `compression` (gzip, zstd) makes the files, which repeat names of fields and sources, a fraction; read_fused
+    knows it by their names."""
     columns = [f.name for f in schemas.FUSED_TRIPLE]
     stamp = F.coalesce(F.lit(created_at), F.current_timestamp().cast("string")).alias("created_at")
-    fused.orderBy("seq").select(*columns, stamp).write.mode("overwrite").json(path)
+    fused.orderBy("seq").select(*columns, stamp).write.mode("overwrite").option("compression", compression).json(path)
 
 
 def write_triples(triples: DataFrame, path: str) -> None:
